@@ -1,0 +1 @@
+"""Empty on purpose: the system rebuilt here is batch only, it has no streaming operator."""
