@@ -50,7 +50,7 @@ def exact_quantiles(
     probs = [float(p) for p in probs]
     values = df.select(*keys, F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
 
-    slack = 2.0 / accuracy
+    slack = 4.0 / accuracy
     lows = [max(p - slack, 0.0) for p in probs]
     highs = [min(p + slack, 1.0) for p in probs]
     sketch = values.groupBy(*keys).agg(
@@ -71,28 +71,30 @@ def exact_quantiles(
         )
         for i, p in enumerate(probs)
     ])
-    placed = (
-        bracketed.select(*keys, "_v", "_n", F.explode(brackets).alias("_b"))
-        .where(F.col("_v") <= F.col("_b.hi"))
-        .select(
-            *keys,
-            F.col("_b.prob").alias("prob"),
-            "_n",
-            # All values under the bracket collapse into one NULL row, map-side.
-            F.when(F.col("_v") >= F.col("_b.lo"), F.col("_v")).alias("_v"),
-        )
+    side = F.when(F.col("_v") < F.col("_b.lo"), -1).when(F.col("_v") > F.col("_b.hi"), 1).otherwise(0)
+    placed = bracketed.select(*keys, "_v", "_n", F.explode(brackets).alias("_b")).select(
+        *keys, F.col("_b.prob").alias("prob"), "_n", side.alias("_side"), "_v"
+    )
+    # Values under and over the bracket collapse map-side into one row each, which keeps their
+    # number and the value next to the bracket.
+    counted = placed.groupBy(
+        *keys, "prob", "_n", "_side", F.when(F.col("_side") == 0, F.col("_v")).alias("_inside")
+    ).agg(
+        F.count(F.lit(1)).alias("_c"),
+        F.when(F.col("_side") > 0, F.min("_v")).otherwise(F.max("_v")).alias("_v"),
     )
-    counted = placed.groupBy(*keys, "prob", "_n", "_v").agg(F.count(F.lit(1)).alias("_c"))
 
-    upto = Window.partitionBy(*keys, "prob").orderBy(F.col("_v").asc_nulls_first())
+    upto = Window.partitionBy(*keys, "prob").orderBy("_side", "_inside")
     upto = upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = F.sum("_c").over(upto)
-    position = F.col("prob") * (F.col("_n") - 1)
-    covers = lambda rank: (F.col("_last") - F.col("_c") <= rank) & (rank < F.col("_last"))
-    ranked = counted.withColumn("_last", last).withColumn("_pos", position)
+    ranked = counted.withColumn("_end", F.sum("_c").over(upto)).withColumn(
+        "_pos", F.col("prob") * (F.col("_n") - 1)
+    )
+    first, last = F.col("_end") - F.col("_c"), F.col("_end") - 1
+    known_from = F.when(F.col("_side") < 0, last).otherwise(first)
+    known_to = F.when(F.col("_side") > 0, first).otherwise(last)
+    at = lambda rank: F.max(F.when(rank.between(known_from, known_to), F.col("_v")))
     picked = ranked.groupBy(*keys, "prob", "_n", "_pos").agg(
-        F.max(F.when(covers(F.floor("_pos")), F.col("_v"))).alias("_lo"),
-        F.max(F.when(covers(F.ceil("_pos")), F.col("_v"))).alias("_hi"),
+        at(F.floor("_pos")).alias("_lo"), at(F.ceil("_pos")).alias("_hi")
     )
     value = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_pos") - F.floor("_pos"))
     missed = F.col("_lo").isNull() | F.col("_hi").isNull()

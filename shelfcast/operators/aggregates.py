@@ -161,13 +161,15 @@ def profile_table(df: DataFrame, numeric: Sequence[str], date: str | None = DATE
         aggs += [F.min(date).alias("first"), F.max(date).alias("last")]
     one = df.agg(*aggs)
     text = lambda c: F.col(f"`{c}`").cast("string")
-    rows = [F.struct(F.lit("rows").alias("metric"), F.lit("").alias("column"), text("rows").alias("value"))]
-    rows += [F.struct(F.lit("columns"), F.lit(""), F.lit(str(len(cols))))]
-    rows += [F.struct(F.lit("type"), F.lit(c), F.lit(types[c])) for c in cols]
-    rows += [F.struct(F.lit("missing"), F.lit(c), text(f"missing|{c}")) for c in cols]
-    rows += [F.struct(F.lit("distinct"), F.lit(c), text(f"distinct|{c}")) for c in cols if c not in numeric]
+    row = lambda metric, column, value: F.struct(
+        F.lit(metric).alias("metric"), F.lit(column).alias("column"), value.alias("value")
+    )
+    rows = [row("rows", "", text("rows")), row("columns", "", F.lit(str(len(cols))))]
+    rows += [row("type", c, F.lit(types[c])) for c in cols]
+    rows += [row("missing", c, text(f"missing|{c}")) for c in cols]
+    rows += [row("distinct", c, text(f"distinct|{c}")) for c in cols if c not in numeric]
     if date:
-        rows += [F.struct(F.lit("first"), F.lit(date), text("first")), F.struct(F.lit("last"), F.lit(date), text("last"))]
+        rows += [row("first", date, text("first")), row("last", date, text("last"))]
     return one.select(F.inline(F.array(*rows)))
 
 
@@ -219,9 +221,13 @@ def summary_report(results: DataFrame, sales: DataFrame, keys: Sequence[str] = K
     )
     wide = attach_scalars(attach_scalars(errors, weekly), mode)
     numbers = [c for c in wide.columns if c != "_mode"]
+    row = lambda metric, value, text: F.struct(
+        F.lit(metric).alias("Metric"), value.alias("Value"), text.alias("Text")
+    )
+    no_text, no_value = F.lit(None).cast("string"), F.lit(None).cast("double")
     rows = F.array(
-        *[F.struct(F.lit(c).alias("Metric"), F.col(f"`{c}`").alias("Value"), F.lit(None).cast("string").alias("Text")) for c in numbers],
-        F.struct(F.lit("Most Common Best Model"), F.lit(None).cast("double"), F.col("_mode")),
+        *[row(c, F.col(f"`{c}`"), no_text) for c in numbers],
+        row("Most Common Best Model", no_value, F.col("_mode")),
     )
     return wide.select(F.inline(rows))
 

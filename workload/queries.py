@@ -1,3 +1,3 @@
 """Import every query module, so that the registry is complete."""
 
-from workload import tables_queries  # noqa: F401
+from workload import outlier_queries, report_queries, series_queries, tables_queries  # noqa: F401

@@ -344,11 +344,11 @@ def rsh2_one_hot_drop_first(t):
 
 
 @query("WIN1 WIN3 FTR3 DT3 DT5 PRJ4", """SELECT Store, Dept, Date, Weekly_Sales, LAG(Weekly_Sales) OVER w AS Lag_1, LAG(Weekly_Sales, 4) OVER w AS Lag_4,
-  ROUND(CASE WHEN COUNT(Weekly_Sales) OVER r = 4 THEN AVG(Weekly_Sales) OVER r END, 2) AS Rolling_Mean_4,
+  ROUND(CASE WHEN COUNT(Weekly_Sales) OVER r = 4 THEN AVG(Weekly_Sales) OVER r END, 6) AS Rolling_Mean_4,
   CAST(month(Date) AS INTEGER) AS Month, CAST(weekofyear(Date) AS INTEGER) AS Week, Fuel_Price * IsHoliday AS Fuel_Holiday, CPI * IsHoliday AS CPI_Holiday FROM fact
   WINDOW w AS (PARTITION BY Store, Dept ORDER BY Date), r AS (PARTITION BY Store, Dept ORDER BY Date ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)""")
 def lag_rolling_features(t):
-    return rounded(features.uplift_features(t.fact), Rolling_Mean_4=2).select(
+    return rounded(features.uplift_features(t.fact), Rolling_Mean_4=6).select(
         "Store", "Dept", "Date", "Weekly_Sales", "Lag_1", "Lag_4", "Rolling_Mean_4", "Month", "Week", "Fuel_Holiday", "CPI_Holiday"
     )
 
