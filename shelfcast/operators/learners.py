@@ -88,7 +88,6 @@ def fit_boosting(
         subsamplingRate=settings.row_share,
         featureSubsetStrategy="all" if settings.feature_share >= 1 else str(settings.feature_share),
         seed=settings.seed,
-        cacheNodeIds=True,
     )
     if not settings.early_stop:
         return _fit(train, features, target, gbt)

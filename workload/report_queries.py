@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from shelfcast.functions.quantiles import box_summary, exact_quantiles, histogram
 from shelfcast.names import FACTORS, MARKDOWNS
 from shelfcast.operators import aggregates, combine, outliers, profile
+from shelfcast.plans import pages
+from shelfcast.sources.readers import Bundle
 from workload.registry import query, round_columns, rounded
 
 
@@ -222,3 +224,20 @@ def dataset_comparison(t):
         "weekly": (t.sales, "Date", ("Store", "Dept")),
         "daily": (t.raw.daily_demand(), "date", ("store", "item")),
     })
+
+
+@query("EDA3 AGG7", """SELECT Store, Dept, CAST(year(Date) AS INTEGER) AS Year, ROUND(SUM(Weekly_Sales), 4) AS Total, COUNT(*) AS Weeks FROM sales GROUP BY ALL""")
+def yearly_totals_by_series(t):
+    yearly = aggregates.yearly_totals(t.sales, ("Store", "Dept"))
+    return rounded(yearly.drop("Mean"), Total=4)
+
+
+@query("EDA2 PRF5 PRF6 OUT1", """SELECT p.Store, p.Dept, p.Recommended, "HolidayLift%", CV, ZeroPct, Mean, ROUND(Z_Score, 8) AS Z_Score, Is_Outlier,
+    CASE WHEN CV < 0.3 THEN 'High Confidence - Stable Department' WHEN CV > 0.8 THEN 'Low Confidence - Highly Volatile' ELSE 'Medium Confidence' END AS Confidence_Band
+    FROM profile p LEFT JOIN levels l ON p.Store = l.Store AND p.Dept = l.Dept""")
+def department_overview(t):
+    bundle = Bundle(fact=t.fact, results=t.results, profile=t.profile)
+    overview = pages.department_overview(bundle)
+    return rounded(overview.select(
+        "Store", "Dept", "Recommended", "HolidayLift%", "CV", "ZeroPct", "Mean", "Z_Score", "Is_Outlier", "Confidence_Band"
+    ), Z_Score=8)

@@ -246,32 +246,32 @@ def side_by_side_counts(t):
     return combine.side_by_side(count(t.sales), count(cleaning.remove_negative(t.sales_net)), ["Weeks"], ("_Gross", "_Net"))
 
 
-_ODD = "(SELECT Store, Dept FROM sales GROUP BY ALL HAVING MAX(Weekly_Sales) > 10 * AVG(Weekly_Sales) OR Store % 7 = 3 AND Dept % 2 = 1)"
+_HIGH = "(SELECT Store, Dept FROM levels WHERE Z_Score > 0.5)"
 
 
-def _odd(t):
-    levels = t.sales.groupBy("Store", "Dept").agg(F.max("Weekly_Sales").alias("a"), F.avg("Weekly_Sales").alias("b"))
-    return levels.where((F.col("a") > 10 * F.col("b")) | ((F.col("Store") % 7 == 3) & (F.col("Dept") % 2 == 1)))
+def _high(t):
+    """Series that sell clearly more than the average one."""
+    return t.levels.where("Z_Score > 0.5")
 
 
-@query("JN8", f"SELECT * FROM sales WHERE (Store, Dept) IN (SELECT (Store, Dept) FROM {_ODD})")
+@query("JN8", f"SELECT * FROM sales WHERE (Store, Dept) IN (SELECT (Store, Dept) FROM {_HIGH})")
 def jn8_semi_pairwise(t):
-    return combine.keep_listed(t.sales, _odd(t))
+    return combine.keep_listed(t.sales, _high(t))
 
 
-@query("JN8", f"SELECT * FROM sales WHERE Store IN (SELECT Store FROM {_ODD}) AND Dept IN (SELECT Dept FROM {_ODD})")
+@query("JN8", f"SELECT * FROM sales WHERE Store IN (SELECT Store FROM {_HIGH}) AND Dept IN (SELECT Dept FROM {_HIGH})")
 def jn8_semi_by_keys(t):
-    return combine.keep_listed(t.sales, _odd(t), pairwise=False)
+    return combine.keep_listed(t.sales, _high(t), pairwise=False)
 
 
-@query("JN9", f"SELECT * FROM sales WHERE (Store, Dept) NOT IN (SELECT (Store, Dept) FROM {_ODD})")
+@query("JN9", f"SELECT * FROM sales WHERE (Store, Dept) NOT IN (SELECT (Store, Dept) FROM {_HIGH})")
 def jn9_anti_pairwise(t):
-    return combine.drop_listed(t.sales, _odd(t))
+    return combine.drop_listed(t.sales, _high(t))
 
 
-@query("JN9 FLT4", f"SELECT * FROM sales WHERE Store NOT IN (SELECT Store FROM {_ODD}) OR Dept NOT IN (SELECT Dept FROM {_ODD})")
+@query("JN9 FLT4", f"SELECT * FROM sales WHERE Store NOT IN (SELECT Store FROM {_HIGH}) OR Dept NOT IN (SELECT Dept FROM {_HIGH})")
 def jn9_anti_by_keys(t):
-    return combine.drop_listed(t.sales, _odd(t), pairwise=False)
+    return combine.drop_listed(t.sales, _high(t), pairwise=False)
 
 
 @query("JN12", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount FROM lineitem
@@ -286,11 +286,11 @@ def joined_by_row_id(t):
     return combine.join_by_row_id(left, right).select("row_id.*", "l_quantity", "l_discount")
 
 
-@query("SET1", """SELECT Store, Dept, Date, Weekly_Sales, NULL::DOUBLE AS Temperature FROM sales WHERE Dept = 1
+@query("SET1", """SELECT Store, Dept, Date, Weekly_Sales, NULL::DOUBLE AS Temperature FROM sales
     UNION ALL SELECT Store, NULL, Date, NULL, Temperature FROM features""")
 def set1_union_by_name(t):
     return combine.stack([
-        t.sales.where("Dept = 1").select("Store", "Dept", "Date", "Weekly_Sales"),
+        t.sales.select("Store", "Dept", "Date", "Weekly_Sales"),
         t.features.select("Store", "Date", "Temperature"),
     ])
 
