@@ -43,6 +43,23 @@ def mean_over(values: Column | str, condition: Column) -> Column:
     return F.avg(F.when(condition, _c(values)))
 
 
+def hundredths(col: Column | str) -> Column:
+    """A number with two decimals as a whole number of hundredths."""
+    return F.rint(_c(col) * 100).cast("bigint")
+
+
+def exact_total(units: Column | str, scale: int) -> Column:
+    """Aggregate: sum of whole units, divided by 10**scale, as a double.
+
+    Whole numbers add up to the same total in any order. The upper and lower bits are summed apart,
+    so both sums stay in fast 64-bit arithmetic even for a group with most rows of a huge table.
+    """
+    u, bits = _c(units), 20
+    high = F.sum(F.shiftright(u, bits)).cast("decimal(38,0)")
+    low = F.sum(u.bitwiseAND(F.lit((1 << bits) - 1)))
+    return (high * F.lit(1 << bits) + low).cast("double") / F.lit(float(10**scale))
+
+
 def coefficient_of_variation(values: Column | str) -> Column:
     return ratio(F.stddev_samp(_c(values)), F.avg(_c(values)))
 

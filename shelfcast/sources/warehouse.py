@@ -1,7 +1,7 @@
 """Derive the retail tables from the order-warehouse Parquet tables (lineitem, orders, ...).
 
-The mapping is deterministic. Sums of money are taken as decimals, so their value does not depend
-on the order in which partitions are merged. Small sides are left to the size-checked broadcast
+The mapping is deterministic. Money is summed in whole units, so a total does not depend on the
+order in which partitions are merged. Small sides are left to the size-checked broadcast
 choice of the optimizer: part, supplier and customer grow with the data.
 """
 
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.functions.calendar import iso_week, week_monday
+from shelfcast.functions.scalars import exact_total, hundredths
 
 # Fixed values of the mapping.
 PRODUCT_TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
@@ -32,8 +33,8 @@ def _dept(product_type: Column) -> Column:
 
 
 def _net_price() -> Column:
-    price = F.col("l_extendedprice").cast("decimal(12,2)")
-    return price * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)")).cast("decimal(5,2)")
+    """Discounted price of a line in 1/10,000."""
+    return hundredths("l_extendedprice") * (F.lit(100) - hundredths("l_discount"))
 
 
 @dataclass(frozen=True)
@@ -57,10 +58,13 @@ class Warehouse:
         )
 
     def _weekly(self, amount: Column) -> DataFrame:
+        # Known keys are demanded here, at the scans: joins on them then add no filter of their own, and
+        # every use of the table in a query shares one shuffle.
         return (
             self._lines(amount)
+            .where("Store is not null and Dept is not null and Date is not null")
             .groupBy("Store", "Dept", "Date")
-            .agg(F.sum("_amount").cast("double").alias("Weekly_Sales"))
+            .agg(exact_total("_amount", 4).alias("Weekly_Sales"))
             .withColumn("IsHoliday", is_holiday_week("Date"))
         )
 
@@ -70,8 +74,8 @@ class Warehouse:
 
     def sales_net(self) -> DataFrame:
         """The same with returned lines counted negative, so some weeks are below zero."""
-        sign = F.when(F.col("l_returnflag") == "R", F.lit(-1)).otherwise(F.lit(1)).cast("decimal(1,0)")
-        return self._weekly((_net_price() * sign).cast("decimal(18,4)"))
+        sign = F.when(F.col("l_returnflag") == "R", F.lit(-1)).otherwise(F.lit(1))
+        return self._weekly(_net_price() * sign)
 
     def features(self) -> DataFrame:
         orders = self.table("orders").select(
@@ -79,18 +83,19 @@ class Warehouse:
             "o_orderpriority",
             "o_orderstatus",
             week_monday(F.col("o_orderdate").cast("date")).alias("Date"),
-            F.col("o_totalprice").cast("decimal(14,2)").alias("_price"),
+            hundredths("o_totalprice").alias("_price"),
         )
         customer = self.table("customer").select(
-            "c_custkey", F.col("c_nationkey").alias("Store"), F.col("c_acctbal").cast("decimal(14,2)").alias("_balance")
+            "c_custkey", F.col("c_nationkey").alias("Store"), hundredths("c_acctbal").alias("_balance")
         )
-        per_thousand = lambda c: F.sum(c).cast("double") / F.count(F.lit(1)) / 1000
+        per_thousand = lambda c: exact_total(c, 2) / F.count(F.lit(1)) / 1000
         markdowns = [
-            F.sum(F.when(F.col("o_orderpriority") == p, F.col("_price"))).cast("double").alias(f"MarkDown{i}")
+            exact_total(F.when(F.col("o_orderpriority") == p, F.col("_price")), 2).alias(f"MarkDown{i}")
             for i, p in enumerate(PRIORITIES, start=1)
         ]
         return (
             orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+            .where("Store is not null and Date is not null")
             .groupBy("Store", "Date")
             .agg(
                 per_thousand("_price").alias("Temperature"),
@@ -113,6 +118,7 @@ class Warehouse:
                 kind.alias("Type"),
                 (F.coalesce("_n", F.lit(0)) * 1000).cast("int").alias("Size"),
             )
+            .where("Store is not null")
         )
 
     def search_daily(self) -> DataFrame:
