@@ -70,3 +70,11 @@ def money(col: Column | str, digits: int = 0) -> Column:
 
 def percent(col: Column | str, digits: int = 1) -> Column:
     return F.concat(F.format_number(_c(col), digits), F.lit("%"))
+
+
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Aggregate: Pearson correlation over the complete pairs, NULL when a side does not vary."""
+    a, b = _c(x), _c(y)
+    known = a.isNotNull() & b.isNotNull()
+    a, b = F.when(known, a), F.when(known, b)
+    return ratio(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))

@@ -42,8 +42,10 @@ def _incomplete_beta(a: float, b: float, x: float) -> float:
 
 
 def two_sided_p(t: float, dof: float) -> float:
-    if not (math.isfinite(t) and dof > 0):
+    if math.isnan(t) or not dof > 0:
         return math.nan
+    if math.isinf(t):
+        return 0.0
     return _incomplete_beta(dof / 2.0, 0.5, dof / (dof + t * t))
 
 

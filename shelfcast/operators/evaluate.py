@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.functions.quantiles import attach_scalars
-from shelfcast.functions.scalars import ratio, round_half_even
+from shelfcast.functions.scalars import correlation, ratio, round_half_even
 from shelfcast.names import KEYS
 from shelfcast.operators.combine import best_per_group, model_rank
 from shelfcast.operators.features import group_min
@@ -126,9 +126,9 @@ def accuracy_vs_character(results: DataFrame, profile: DataFrame, keys: Sequence
 
 def accuracy_correlations(table: DataFrame) -> DataFrame:
     return table.agg(
-        F.corr("MAPE", "HolidayLift%").alias("Corr_Lift"),
-        F.corr("MAPE", "CV").alias("Corr_CV"),
-        F.corr("MAPE", "Avg_Sales").alias("Corr_Volume"),
+        correlation("MAPE", "HolidayLift%").alias("Corr_Lift"),
+        correlation("MAPE", "CV").alias("Corr_CV"),
+        correlation("MAPE", "Avg_Sales").alias("Corr_Volume"),
     )
 
 
@@ -137,7 +137,7 @@ def headline_kpis(results: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     rest = F.struct(*keys, "MAPE")
     order = F.struct("MAPE", *keys)
     worst_order = F.struct("MAPE", *[-F.col(k) for k in keys])
-    naive = results.where(F.col("Model") == "Naive").agg(
+    naive = results.where((F.col("Model") == "Naive") & F.col("MAPE").isNotNull()).agg(
         F.avg("MAPE").alias("Avg_MAPE"),
         F.min_by(rest, order).alias("_b"),
         F.max_by(rest, worst_order).alias("_w"),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shelfcast.functions.quantiles import attach_scalars
-from shelfcast.functions.scalars import ratio
+from shelfcast.functions.scalars import correlation, ratio
 from shelfcast.names import DATE, KEYS, TARGET
 from shelfcast.operators.combine import key_digest, top_k_per_group
 from shelfcast.operators.learners import MODEL_FEATURES, numeric, score
@@ -76,9 +76,9 @@ def correlation_importance(
     rows: DataFrame, features: Sequence[str], keys: Sequence[str] = KEYS, target: str = TARGET
 ) -> DataFrame:
     """A model-free importance: the absolute correlation of each feature with the target inside a series."""
-    flat = rows.groupBy(*keys).agg(*[F.abs(F.corr(f, target)).alias(f) for f in features])
+    flat = rows.groupBy(*keys).agg(*[F.abs(correlation(f, target)).alias(f) for f in features])
     return flat.unpivot(list(keys), list(features), "Feature", "Importance").withColumn(
-        "Importance", F.coalesce(F.nanvl("Importance", F.lit(0.0)), F.lit(0.0))
+        "Importance", F.coalesce("Importance", F.lit(0.0))
     )
 
 

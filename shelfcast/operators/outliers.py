@@ -185,15 +185,20 @@ def factor_comparison(flagged: DataFrame, keys: Sequence[str] = KEYS, factors: S
 def factor_ttest(
     flagged: DataFrame, keys: Sequence[str] = KEYS, factors: Sequence[str] = FACTORS, alpha: float = 0.05
 ) -> DataFrame:
-    """Pooled-variance two-sample t-test of each factor, outlying against normal weeks of a series."""
+    """Pooled-variance two-sample t-test of each factor, outlying against normal weeks of a series.
+
+    Without any spread the statistic is infinite where the means differ, unknown where they agree.
+    """
     m = _moments(flagged, keys, factors).where("n_Outlier > 0 and n_Normal > 0")
     dof = F.col("n_Outlier") + F.col("n_Normal") - 2
     part = lambda side: F.coalesce((F.col(f"n_{side}") - 1) * F.col(f"var_{side}"), F.lit(0.0))
     pooled = F.try_divide(part("Outlier") + part("Normal"), dof.cast("double"))
     scale = F.sqrt(pooled * (F.lit(1.0) / F.col("n_Outlier") + F.lit(1.0) / F.col("n_Normal")))
+    gap = F.col("mean_Outlier") - F.col("mean_Normal")
+    statistic = F.when((scale == 0) & (gap != 0), F.signum(gap) * F.lit(float("inf"))).otherwise(F.try_divide(gap, scale))
     return (
         m.withColumn("DoF", dof)
-        .withColumn("T_Statistic", F.try_divide(F.col("mean_Outlier") - F.col("mean_Normal"), scale))
+        .withColumn("T_Statistic", statistic)
         .withColumn("P_Value", student_t_p(F.col("T_Statistic"), F.col("DoF").cast("double")))
         .withColumn("Significant", F.col("P_Value") < alpha)
         .select(*keys, "Feature", "n_Outlier", "n_Normal", "DoF", "T_Statistic", "P_Value", "Significant")
@@ -212,4 +217,4 @@ def contrast_sample(levels: DataFrame, seed: int = 42) -> DataFrame:
 def kind_sales(df: DataFrame, levels: DataFrame, keys: Sequence[str] = KEYS, target: str = TARGET) -> DataFrame:
     """Sales rows labelled by whether their series is outlying: the input of the distribution comparison."""
     kinds = levels.select(*keys, F.when(F.col("Is_Outlier"), "Outlier Dept").otherwise("Normal Dept").alias("Type"))
-    return df.join(kinds, list(keys)).select("Type", *keys, F.col(target).alias("Sales"))
+    return df.select(*keys, F.col(target).alias("Sales")).join(kinds, list(keys)).select("Type", *keys, "Sales")

@@ -103,14 +103,16 @@ _TTEST = "(" + " UNION ALL ".join(
 
 
 # The p-value is checked against a direct integration of the t density (Simpson's rule on the angle atan(t / sqrt(dof))).
-@query("OUT9", f"""WITH tests AS (SELECT *, a + b - 2 AS dof, (ma - mb) / SQRT((COALESCE((a - 1) * va, 0) + COALESCE((b - 1) * vb, 0)) / (a + b - 2) * (1::DOUBLE / a + 1::DOUBLE / b)) AS ts FROM {_TTEST} WHERE a > 0 AND b > 0),
+@query("OUT9", f"""WITH sides AS (SELECT *, a + b - 2 AS dof, SQRT((COALESCE((a - 1) * va, 0) + COALESCE((b - 1) * vb, 0)) / NULLIF(a + b - 2, 0) * (1::DOUBLE / a + 1::DOUBLE / b)) AS scale
+  FROM {_TTEST} WHERE a > 0 AND b > 0),
+tests AS (SELECT *, CASE WHEN scale = 0 AND ma = mb THEN NULL WHEN scale = 0 THEN SIGN(ma - mb) * 'inf'::DOUBLE ELSE (ma - mb) / scale END AS ts FROM sides),
 tails AS (SELECT *, list_sum(list_transform(range(0, 2001), lambda k: (CASE WHEN k = 0 OR k = 2000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * pow(cos(ATAN(ABS(ts) / SQRT(dof)) * k / 2000), dof - 1)))
     * ATAN(ABS(ts) / SQRT(dof)) / 6000 AS middle,
   list_sum(list_transform(range(0, 2001), lambda k: (CASE WHEN k = 0 OR k = 2000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * pow(cos(PI() / 2 * k / 2000), dof - 1))) * PI() / 12000 AS whole FROM tests)
-SELECT Store, Dept, Feature, a AS "n_Outlier", b AS "n_Normal", dof AS "DoF", ROUND(ts, 6) AS "T_Statistic", ROUND(1 - middle / whole, 6) AS "P_Value",
+SELECT Store, Dept, Feature, a AS "n_Outlier", b AS "n_Normal", dof AS "DoF", ROUND(ts, 6) AS "T_Statistic", ROUND(1 - middle / whole, 5) AS "P_Value",
   1 - middle / whole < 0.05 AS Significant FROM tails""")
 def factor_ttest(t):
-    return rounded(outliers.factor_ttest(t.flagged), T_Statistic=6, P_Value=6)
+    return rounded(outliers.factor_ttest(t.flagged), T_Statistic=6, P_Value=5)
 
 
 @query("OUT10 SMP1 AGG11", """SELECT Kind, Store, Dept, Mean, Std, ROUND(Std / Mean, 8) AS CV FROM (SELECT *, CASE WHEN Is_Outlier THEN 'Outlier Dept' ELSE 'Normal Dept' END AS Kind FROM levels)
