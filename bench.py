@@ -36,6 +36,7 @@ HEADLINE = (
     "trend_season_forecast",
     "gbt_forecast",
     "hybrid_results",
+    "full_league_table",
 )
 
 

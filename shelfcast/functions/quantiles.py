@@ -3,8 +3,8 @@
 ``percentile`` keeps every distinct value of a group in one aggregation buffer. That is right for
 a series (one value per week) but not for "all sales" or "all sales of one store type". For such
 groups the rank is found in two passes: a bounded sketch brackets every requested rank, then only
-the values inside the bracket are counted and ordered. The answer is exact; a bracket that missed
-its rank raises instead of returning a wrong value.
+the values inside the bracket are counted, and ordered in many slices side by side. The answer is
+exact; a bracket that missed its rank raises instead of returning a wrong value.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 SKETCH_ACCURACY = 10_000
+SLICES = 1_000
 
 
 def attach_scalars(df: DataFrame, one_row: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
@@ -71,29 +72,37 @@ def exact_quantiles(
         )
         for i, p in enumerate(probs)
     ])
-    side = F.when(F.col("_v") < F.col("_b.lo"), -1).when(F.col("_v") > F.col("_b.hi"), 1).otherwise(0)
-    placed = bracketed.select(*keys, "_v", "_n", F.explode(brackets).alias("_b")).select(
-        *keys, F.col("_b.prob").alias("prob"), "_n", side.alias("_side"), "_v"
-    )
+    lo, hi = F.col("_b.lo"), F.col("_b.hi")
+    inside = F.when(F.col("_v").between(lo, hi), F.col("_v"))
+    slice_no = F.coalesce(F.floor(F.try_divide(F.col("_v") - lo, hi - lo) * SLICES).cast("int"), F.lit(0))
+    part = F.when(F.col("_v") < lo, -1).when(F.col("_v") > hi, SLICES + 1).otherwise(slice_no)
     # Values under and over the bracket collapse map-side into one row each, which keeps their
     # number and the value next to the bracket.
-    counted = placed.groupBy(
-        *keys, "prob", "_n", "_side", F.when(F.col("_side") == 0, F.col("_v")).alias("_inside")
-    ).agg(
-        F.count(F.lit(1)).alias("_c"),
-        F.when(F.col("_side") > 0, F.min("_v")).otherwise(F.max("_v")).alias("_v"),
+    counted = (
+        bracketed.select(*keys, "_v", "_n", F.explode(brackets).alias("_b"))
+        .groupBy(*keys, F.col("_b.prob").alias("prob"), "_n", part.alias("_part"), inside.alias("_inside"))
+        .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
     )
 
-    upto = Window.partitionBy(*keys, "prob").orderBy("_side", "_inside")
+    # Rows before each part: at most one row per part is ordered here.
+    group = [*keys, "prob"]
+    parts = counted.groupBy(*group, "_part").agg(F.sum("_c").alias("_size"))
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(*group, "_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+
+    upto = Window.partitionBy(*group, "_part").orderBy("_inside")
     upto = upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counted.withColumn("_end", F.sum("_c").over(upto)).withColumn(
-        "_pos", F.col("prob") * (F.col("_n") - 1)
+    ranked = (
+        counted.join(offsets, [*group, "_part"])
+        .withColumn("_end", F.col("_before") + F.sum("_c").over(upto))
+        .withColumn("_pos", F.col("prob") * (F.col("_n") - 1))
     )
     first, last = F.col("_end") - F.col("_c"), F.col("_end") - 1
-    known_from = F.when(F.col("_side") < 0, last).otherwise(first)
-    known_to = F.when(F.col("_side") > 0, first).otherwise(last)
-    at = lambda rank: F.max(F.when(rank.between(known_from, known_to), F.col("_v")))
-    picked = ranked.groupBy(*keys, "prob", "_n", "_pos").agg(
+    under, over = F.col("_part") < 0, F.col("_part") > SLICES
+    known_from, known_to = F.when(under, last).otherwise(first), F.when(over, first).otherwise(last)
+    known = F.when(over, F.col("_min")).otherwise(F.col("_max"))
+    at = lambda rank: F.max(F.when(rank.between(known_from, known_to), known))
+    picked = ranked.groupBy(*group, "_n", "_pos").agg(
         at(F.floor("_pos")).alias("_lo"), at(F.ceil("_pos")).alias("_hi")
     )
     value = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_pos") - F.floor("_pos"))
