@@ -10,6 +10,7 @@ exact; a bracket that missed its rank raises instead of returning a wrong value.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,15 +29,24 @@ def attach_scalars(df: DataFrame, one_row: DataFrame, names: Sequence[str] | Non
     )
 
 
-def attach_group_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
+def few_groups(df: DataFrame, keys: Sequence[str], at_most: int = 100_000) -> bool:
+    """Whether the keys take so few values that one row per value may be broadcast.
+
+    Counts them (reading the key columns only), so use it on a written table or a dimension.
+    """
+    return df.select(*keys).distinct().limit(at_most + 1).count() <= at_most
+
+
+def attach_group_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], few: bool = False) -> DataFrame:
     """Join per-group aggregates back to rows; no keys means one global group.
 
-    The rows are not shuffled when the aggregate is small enough to broadcast (decided by size, at
-    run time); otherwise the adaptive skew join splits a hot key, which a window could not.
+    ``few`` says that the number of groups is known to be small: the rows then stay where they are
+    and the aggregates are broadcast. Otherwise the optimizer decides by size, and its adaptive skew
+    join splits a hot key, which a window could not.
     """
     if not keys:
         return attach_scalars(df, stats)
-    return df.join(stats, list(keys), "left")
+    return df.join(F.broadcast(stats) if few else stats, list(keys), "left")
 
 
 def exact_quantiles(
@@ -45,8 +55,9 @@ def exact_quantiles(
     probs: Sequence[float],
     keys: Sequence[str] = (),
     accuracy: int = SKETCH_ACCURACY,
+    few: bool = False,
 ) -> DataFrame:
-    """Linear-interpolated quantiles, long form: (keys, prob, value, n)."""
+    """Linear-interpolated quantiles, long form: (keys, prob, value, n). Rows without a key are left out."""
     keys = list(keys)
     probs = [float(p) for p in probs]
     values = df.select(*keys, F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
@@ -58,34 +69,45 @@ def exact_quantiles(
         F.percentile_approx("_v", lows + highs, accuracy).alias("_edges"),
         F.count("_v").alias("_n"),
     )
+    k = len(probs)
+    edges = [(F.col("_edges")[i], F.col("_edges")[k + i]) for i in range(k)]
+
     if keys:
-        bracketed = values.join(sketch, keys)
+        sketched = values.join(F.broadcast(sketch) if few else sketch, keys)
     else:
-        bracketed = attach_scalars(values, sketch).where(F.col("_n") > 0)
+        sketched = attach_scalars(values, sketch).where(F.col("_n") > 0)
+
+    # One row per distinct value inside a bracket; all other values collapse map-side into one row per
+    # gap between brackets, which keeps their number and the values next to the brackets. The edges
+    # travel along as a key: they must be the same ones in both steps.
+    v = F.col("_v")
+    gap = reduce(
+        lambda code, edge: code * 3 + F.when(v < edge[0], 0).when(v > edge[1], 2).otherwise(1),
+        edges,
+        F.lit(0).cast("bigint"),
+    )
+    inside_any = reduce(lambda a, b: a | b, [v.between(lo, hi) for lo, hi in edges])
+    collapsed = (
+        sketched.groupBy(*keys, "_n", "_edges", gap.alias("_gap"), F.when(inside_any, v).alias("_value"))
+        .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    )
 
-    k = len(probs)
     brackets = F.array(*[
-        F.struct(
-            F.lit(p).alias("prob"),
-            F.col("_edges")[i].alias("lo"),
-            F.col("_edges")[k + i].alias("hi"),
-        )
-        for i, p in enumerate(probs)
+        F.struct(F.lit(p).alias("prob"), lo.alias("lo"), hi.alias("hi")) for p, (lo, hi) in zip(probs, edges)
     ])
     lo, hi = F.col("_b.lo"), F.col("_b.hi")
-    inside = F.when(F.col("_v").between(lo, hi), F.col("_v"))
-    slice_no = F.coalesce(F.floor(F.try_divide(F.col("_v") - lo, hi - lo) * SLICES).cast("int"), F.lit(0))
-    part = F.when(F.col("_v") < lo, -1).when(F.col("_v") > hi, SLICES + 1).otherwise(slice_no)
-    # Values under and over the bracket collapse map-side into one row each, which keeps their
-    # number and the value next to the bracket.
+    slice_no = F.coalesce(F.floor(F.try_divide(F.col("_max") - lo, hi - lo) * SLICES).cast("int"), F.lit(0))
+    part = F.when(F.col("_max") < lo, -1).when(F.col("_min") > hi, SLICES + 1).otherwise(slice_no)
+    group = [*keys, "prob"]
     counted = (
-        bracketed.select(*keys, "_v", "_n", F.explode(brackets).alias("_b"))
-        .groupBy(*keys, F.col("_b.prob").alias("prob"), "_n", part.alias("_part"), inside.alias("_inside"))
-        .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+        collapsed.select(*keys, "_n", "_c", "_min", "_max", F.explode(brackets).alias("_b"))
+        .select(*keys, F.col("_b.prob").alias("prob"), "_n", part.alias("_part"), "_c", "_min", "_max")
+        .withColumn("_inside", F.when(F.col("_part").between(0, SLICES), F.col("_max")))
+        .groupBy(*group, "_n", "_part", "_inside")
+        .agg(F.sum("_c").alias("_c"), F.min("_min").alias("_min"), F.max("_max").alias("_max"))
     )
 
     # Rows before each part: at most one row per part is ordered here.
-    group = [*keys, "prob"]
     parts = counted.groupBy(*group, "_part").agg(F.sum("_c").alias("_size"))
     earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select(*group, "_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
@@ -118,10 +140,10 @@ def exact_quantiles(
 
 
 def quantiles_wide(
-    df: DataFrame, col: str, named: dict[str, float], keys: Sequence[str] = ()
+    df: DataFrame, col: str, named: dict[str, float], keys: Sequence[str] = (), few: bool = False
 ) -> DataFrame:
     """One row per group with one named column per quantile, plus ``n``."""
-    long = exact_quantiles(df, col, list(named.values()), keys)
+    long = exact_quantiles(df, col, list(named.values()), keys, few=few)
     picks = [F.max(F.when(F.col("prob") == F.lit(float(p)), F.col("value"))).alias(name) for name, p in named.items()]
     return long.groupBy(*keys).agg(*picks, F.max("n").alias("n"))
 
@@ -129,19 +151,23 @@ def quantiles_wide(
 QUARTILES = {"Q1": 0.25, "Median": 0.5, "Q3": 0.75}
 
 
-def with_fences(df: DataFrame, col: str, keys: Sequence[str] = (), whisker: float = 1.5) -> DataFrame:
+def with_fences(
+    df: DataFrame, col: str, keys: Sequence[str] = (), whisker: float = 1.5, few: bool = False
+) -> DataFrame:
     """Rows plus quartiles and the interquartile fences of their group."""
-    quart = quantiles_wide(df, col, QUARTILES, keys).withColumnRenamed("n", "_group_n")
+    quart = quantiles_wide(df, col, QUARTILES, keys, few).withColumnRenamed("n", "_group_n")
     iqr = F.col("Q3") - F.col("Q1")
     quart = quart.withColumn("Lower_Fence", F.col("Q1") - whisker * iqr).withColumn(
         "Upper_Fence", F.col("Q3") + whisker * iqr
     )
-    return attach_group_stats(df, quart.drop("_group_n"), keys)
+    return attach_group_stats(df, quart.drop("_group_n"), keys, few)
 
 
-def box_summary(df: DataFrame, col: str, keys: Sequence[str] = (), whisker: float = 1.5) -> DataFrame:
+def box_summary(
+    df: DataFrame, col: str, keys: Sequence[str] = (), whisker: float = 1.5, few: bool = False
+) -> DataFrame:
     """Quartiles, whiskers (extreme values inside the fences) and the number of points outside."""
-    rows = with_fences(df.where(F.col(col).isNotNull()), col, keys, whisker)
+    rows = with_fences(df.where(F.col(col).isNotNull()), col, keys, whisker, few)
     inside = F.col(col).between(F.col("Lower_Fence"), F.col("Upper_Fence"))
     return rows.groupBy(*keys).agg(
         F.max("Q1").alias("Q1"),
@@ -154,9 +180,11 @@ def box_summary(df: DataFrame, col: str, keys: Sequence[str] = (), whisker: floa
     )
 
 
-def box_outliers(df: DataFrame, col: str, keys: Sequence[str] = (), whisker: float = 1.5) -> DataFrame:
+def box_outliers(
+    df: DataFrame, col: str, keys: Sequence[str] = (), whisker: float = 1.5, few: bool = False
+) -> DataFrame:
     """The points drawn outside the whiskers."""
-    rows = with_fences(df.where(F.col(col).isNotNull()), col, keys, whisker)
+    rows = with_fences(df.where(F.col(col).isNotNull()), col, keys, whisker, few)
     return rows.where(~F.col(col).between(F.col("Lower_Fence"), F.col("Upper_Fence")))
 
 

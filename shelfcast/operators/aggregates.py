@@ -140,7 +140,7 @@ def describe_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
-    quart = exact_quantiles(long, "value", [0.25, 0.5, 0.75], ("column",))
+    quart = exact_quantiles(long, "value", [0.25, 0.5, 0.75], ("column",), few=True)
     wide = quart.groupBy("column").agg(*[
         F.max(F.when(F.col("prob") == p, F.col("value"))).alias(name)
         for name, p in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))

@@ -86,7 +86,7 @@ def series_index(df: DataFrame, keys: Sequence[str] = KEYS, name: str = "t") ->
     return df.withColumn(name, F.row_number().over(series_window(keys)) - 1)
 
 
-def z_score(df: DataFrame, cols: dict[str, str], keys: Sequence[str] = KEYS) -> DataFrame:
+def z_score(df: DataFrame, cols: dict[str, str], keys: Sequence[str] = KEYS, few: bool = False) -> DataFrame:
     """Standard scores inside each group: ``cols`` maps a value column to its score column.
 
     The statistics are pre-aggregated and joined back, so a group with a third of all rows costs
@@ -96,7 +96,7 @@ def z_score(df: DataFrame, cols: dict[str, str], keys: Sequence[str] = KEYS) ->
         a for c in cols for a in (F.avg(c).alias(f"_mean_{c}"), F.stddev_samp(c).alias(f"_sd_{c}"))
     ]
     stats = (df.groupBy(*keys) if keys else df).agg(*aggs)
-    joined = attach_group_stats(df, stats, keys)
+    joined = attach_group_stats(df, stats, keys, few)
     scores = {
         out: F.when(F.col(f"_sd_{c}") > 0, (F.col(c) - F.col(f"_mean_{c}")) / F.col(f"_sd_{c}")).otherwise(F.lit(0.0))
         for c, out in cols.items()

@@ -59,9 +59,11 @@ def outlier_rate(flagged: DataFrame) -> DataFrame:
     )
 
 
-def factor_scores(df: DataFrame, factors: Sequence[str] = FACTORS, store: str = "Store") -> DataFrame:
+def factor_scores(
+    df: DataFrame, factors: Sequence[str] = FACTORS, store: str = "Store", few_stores: bool = False
+) -> DataFrame:
     """Score of each economic factor inside its store."""
-    return z_score(df, {f: f"{f}_Z" for f in factors}, (store,))
+    return z_score(df, {f: f"{f}_Z" for f in factors}, (store,), few_stores)
 
 
 def label_causes(scored: DataFrame, threshold: float = 2.0) -> DataFrame:
@@ -132,9 +134,11 @@ def iqr_outliers(df: DataFrame, keys: Sequence[str] = KEYS, target: str = TARGET
     return df.join(fenced, list(keys)).where(~F.col(target).between(F.col("Lower_Fence"), F.col("Upper_Fence")))
 
 
-def iqr_outliers_in_groups(df: DataFrame, keys: Sequence[str], target: str = TARGET) -> DataFrame:
+def iqr_outliers_in_groups(
+    df: DataFrame, keys: Sequence[str], target: str = TARGET, few: bool = False
+) -> DataFrame:
     """The same for groups without a size bound (all rows, a store type, a model)."""
-    return box_outliers(df, target, keys)
+    return box_outliers(df, target, keys, few=few)
 
 
 def three_sigma(results: DataFrame, measure: str = "MAPE") -> DataFrame:

@@ -29,17 +29,18 @@ def _residuals(w: np.ndarray, params: np.ndarray, season: int) -> np.ndarray:
     return e
 
 
-def fit_arma(w: np.ndarray, season: int = 0, rounds: int = 6) -> np.ndarray:
+def fit_arma(w: np.ndarray, season: int = 0) -> np.ndarray:
     """Parameters with the least conditional sum of squares, by a shrinking search inside (-1, 1)."""
     free = [0, 1, 2, 3] if season else [0, 1]
     best, width = np.zeros(4), 0.9
-    steps = np.linspace(-1.0, 1.0, 5 if season else 13)
+    points, rounds, shrink = (5, 6, 0.5) if season else (21, 3, 0.12)
+    steps = np.linspace(-1.0, 1.0, points)
     for _ in range(rounds):
         grid = np.stack(np.meshgrid(*[steps] * len(free), indexing="ij"), axis=-1).reshape(-1, len(free))
         tries = np.tile(best, (len(grid), 1))
         tries[:, free] = np.clip(best[free] + width * grid, -0.98, 0.98)
         cost = (_residuals(w, tries, season) ** 2).sum(axis=0)
-        best, width = tries[int(np.argmin(cost))], width * (0.5 if season else 0.3)
+        best, width = tries[int(np.argmin(cost))], width * shrink
     return best
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.functions.quantiles import box_summary, histogram
+from shelfcast.functions.quantiles import box_summary, few_groups, histogram
 from shelfcast.names import DATE, HOLIDAY, KEYS, TARGET
 from shelfcast.operators import aggregates, baselines, combine, evaluate, explain, inventory, outliers, profile
 from shelfcast.sources.readers import Bundle
@@ -27,7 +27,7 @@ def performance_page(b: Bundle, unit: str = "day", **filters) -> dict[str, DataF
         "histogram": histogram(sales, TARGET, 50),
         "holiday_sales": aggregates.holiday_sales(sales),
         "store_performance": aggregates.store_performance(sales),
-        "sales_by_type": box_summary(sales, TARGET, ("Type",)),
+        "sales_by_type": box_summary(sales, TARGET, ("Type",), few=few_groups(b.fact, ("Type",))),
         "size_by_type": box_summary(sizes, "Size", ("Type",)),
         "trend": aggregates.resample(sales, unit),
         "monthly": aggregates.monthly_pattern(sales),
@@ -96,7 +96,7 @@ def outlier_page(
     """Outlying series and weeks, what sets them apart, and why."""
     levels = outliers.dept_outliers(b.fact, b.profile)
     flagged = outliers.weekly_outliers(b.fact)
-    causes = outliers.label_causes(outliers.factor_scores(flagged))
+    causes = outliers.label_causes(outliers.factor_scores(flagged, few_stores=few_groups(b.fact, ("Store",))))
     impact = inventory.inventory_impact(b.results, b.fact, b.profile)
     kinds = outliers.kind_sales(b.fact, levels)
     return {
@@ -104,7 +104,7 @@ def outlier_page(
         "weeks": flagged.where("Is_Weekly_Outlier"),
         "rate": outliers.outlier_rate(flagged),
         "sample": outliers.contrast_sample(levels),
-        "distributions": box_summary(kinds, "Sales", ("Type",)),
+        "distributions": box_summary(kinds, "Sales", ("Type",), few=True),  # two kinds
         "impact": inventory.impact_contrast(impact, levels),
         "factors": outliers.factor_comparison(flagged),
         "tests": outliers.factor_ttest(flagged),

@@ -130,7 +130,7 @@ def outlier_contrast_boxes(t):
     from shelfcast.functions.quantiles import box_summary
 
     rows = outliers.kind_sales(t.sales, t.levels)
-    return rounded(box_summary(rows, "Sales", ("Type",)), Q1=6, Median=6, Q3=6)
+    return rounded(box_summary(rows, "Sales", ("Type",), few=True), Q1=6, Median=6, Q3=6)
 
 
 @query("AGG32 JN8 JN9", """SELECT ROUND(o, 4) AS Outlier_Avg, ROUND(n, 4) AS Normal_Avg, ROUND(o - n, 4) AS Difference FROM (

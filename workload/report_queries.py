@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfcast.functions.quantiles import box_summary, exact_quantiles, histogram
+from shelfcast.functions.quantiles import box_summary, exact_quantiles, few_groups, histogram
 from shelfcast.names import FACTORS, MARKDOWNS
 from shelfcast.operators import aggregates, combine, outliers, profile
 from shelfcast.plans import pages
@@ -13,6 +13,11 @@ from workload.registry import query, round_columns, rounded
 
 
 
+def _few_types(t):
+    """Sales rows take their type from the store dimension, so its distinct types bound the groups."""
+    return few_groups(t.stores, ("Type",))
+
+
 @query("AGG1 AGG23", """SELECT ROUND(SUM(Weekly_Sales), 4) AS Total, ROUND(AVG(Weekly_Sales), 2) AS Mean, MIN(Weekly_Sales) AS Min, MAX(Weekly_Sales) AS Max,
     ROUND(STDDEV_SAMP(Weekly_Sales), 4) AS Std, COUNT(*) AS Rows, ROUND(MEDIAN(Weekly_Sales), 6) AS Median FROM sales""")
 def sales_kpis(t):
@@ -136,7 +141,7 @@ def describe_fact(t):
     SELECT Type, COUNT(*) AS n, unnest([0.01, 0.25, 0.5, 0.9, 0.99]::DOUBLE[]) AS p, unnest(quantile_cont(Weekly_Sales, [0.01, 0.25, 0.5, 0.9, 0.99])) AS q
     FROM fact GROUP BY Type)""")
 def sales_quantiles_by_type(t):
-    return rounded(exact_quantiles(t.fact, "Weekly_Sales", [0.01, 0.25, 0.5, 0.9, 0.99], ("Type",)), value=6)
+    return rounded(exact_quantiles(t.fact, "Weekly_Sales", [0.01, 0.25, 0.5, 0.9, 0.99], ("Type",), few=_few_types(t)), value=6)
 
 
 _HISTOGRAM = """WITH span AS (SELECT MIN({v}) AS lo, MAX({v}) AS hi FROM {src}),
@@ -169,7 +174,7 @@ _BOX_DIGITS = dict(Q1=6, Median=6, Q3=6, Lower_Whisker=6, Upper_Whisker=6)
 
 @query("AGG25", _BOX.format(k="Type", v="Weekly_Sales", src="fact"))
 def sales_boxplot_by_type(t):
-    return rounded(box_summary(t.fact, "Weekly_Sales", ("Type",)), **_BOX_DIGITS)
+    return rounded(box_summary(t.fact, "Weekly_Sales", ("Type",), few=_few_types(t)), **_BOX_DIGITS)
 
 
 @query("AGG25 SET4", _BOX.format(k="Type", v="Size", src="stores"))
@@ -180,7 +185,7 @@ def size_boxplot_by_type(t):
 @query("AGG25 OUT4", """WITH quart AS (SELECT Type, quantile_cont(Weekly_Sales, 0.25) AS Q1, quantile_cont(Weekly_Sales, 0.75) AS Q3 FROM fact GROUP BY Type)
 SELECT Store, Dept, Date, Type, Weekly_Sales FROM fact JOIN quart USING (Type) WHERE NOT Weekly_Sales BETWEEN Q1 - 1.5::DOUBLE * (Q3 - Q1) AND Q3 + 1.5::DOUBLE * (Q3 - Q1)""")
 def boxplot_points_by_type(t):
-    return outliers.iqr_outliers_in_groups(t.fact, ("Type",)).select("Store", "Dept", "Date", "Type", "Weekly_Sales")
+    return outliers.iqr_outliers_in_groups(t.fact, ("Type",), few=_few_types(t)).select("Store", "Dept", "Date", "Type", "Weekly_Sales")
 
 
 @query("AGG26", "SELECT MIN(Date) AS First, MAX(Date) AS Last, CAST(date_diff('day', MIN(Date), MAX(Date)) AS INTEGER) AS Days FROM sales")
