@@ -67,15 +67,25 @@ def _assembler(features: Sequence[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol="features")
 
 
-def _fit(train: DataFrame, features: Sequence[str], target: str, estimator, extra: Sequence[str] = ()) -> PipelineModel:
-    """Fit on a written copy of just the needed columns: the fit reads it once per tree level."""
+def _fit(
+    train: DataFrame, features: Sequence[str], target: str, estimator, extra: Sequence[str] = (), written: bool = False
+) -> PipelineModel:
+    """Fit on a written copy of just the needed columns: the fit reads it once per tree level.
+
+    ``written`` says that ``train`` is a selection from a written table already.
+    """
     needed = numeric(train, features).where(F.col(target).isNotNull())
-    rows = cut_lineage(needed.select(*features, F.col(target).cast("double").alias(target), *extra))
+    rows = needed.select(*features, F.col(target).cast("double").alias(target), *extra)
+    rows = rows if written else cut_lineage(rows)
     return Pipeline(stages=[_assembler(features), estimator]).fit(rows)
 
 
 def fit_boosting(
-    train: DataFrame, features: Sequence[str] = MODEL_FEATURES, settings: Boosting = BASIC, target: str = TARGET
+    train: DataFrame,
+    features: Sequence[str] = MODEL_FEATURES,
+    settings: Boosting = BASIC,
+    target: str = TARGET,
+    written: bool = False,
 ) -> PipelineModel:
     """Gradient boosted trees. With early stopping the "val" rows of ``train`` judge each added tree."""
     gbt = GBTRegressor(
@@ -90,9 +100,9 @@ def fit_boosting(
         seed=settings.seed,
     )
     if not settings.early_stop:
-        return _fit(train, features, target, gbt)
+        return _fit(train, features, target, gbt, written=written)
     gbt = gbt.setValidationIndicatorCol("_is_val")
-    return _fit(train.withColumn("_is_val", F.col("split") == "val"), features, target, gbt, ["_is_val"])
+    return _fit(train.withColumn("_is_val", F.col("split") == "val"), features, target, gbt, ["_is_val"], written)
 
 
 def fit_forest(

@@ -41,7 +41,7 @@ def _treatment_model(train: DataFrame, controls: Sequence[str], settings: Boosti
         subsamplingRate=settings.row_share,
         seed=settings.seed,
     )
-    rows = cut_lineage(numeric(train, controls).select(*controls, "_t"))
+    rows = numeric(train, controls).select(*controls, "_t")
     return Pipeline(stages=[VectorAssembler(inputCols=list(controls), outputCol="features"), classifier]).fit(rows)
 
 
@@ -61,7 +61,7 @@ def cross_fit_residuals(
     parts = []
     for k in range(folds):
         train, held_out = table.where(F.col("_fold") != k), table.where(F.col("_fold") == k)
-        outcome = fit_boosting(train, controls, settings, target)
+        outcome = fit_boosting(train, controls, settings, target, written=True)
         chance = _treatment_model(train, controls, settings)
         scored = score(outcome, held_out, controls, "_y_hat")
         packed = numeric(scored.withColumn("_row", F.struct(*scored.columns)), controls)

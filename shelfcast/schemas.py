@@ -30,14 +30,14 @@ FEATURES = T.StructType([
 STORES = T.StructType([
     T.StructField("Store", T.IntegerType()),
     T.StructField("Type", T.StringType()),
-    T.StructField("Size", T.IntegerType()),
+    T.StructField("Size", T.LongType()),
 ])
 
 DAILY_DEMAND = T.StructType([
     T.StructField("date", T.DateType()),
     T.StructField("store", T.IntegerType()),
     T.StructField("item", T.IntegerType()),
-    T.StructField("sales", T.IntegerType()),
+    T.StructField("sales", T.LongType()),
 ])
 
 SEARCH_DAILY = T.StructType([

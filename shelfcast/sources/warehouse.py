@@ -116,7 +116,7 @@ class Warehouse:
             .select(
                 F.col("n_nationkey").alias("Store"),
                 kind.alias("Type"),
-                (F.coalesce("_n", F.lit(0)) * 1000).cast("int").alias("Size"),
+                (F.coalesce("_n", F.lit(0)) * 1000).cast("bigint").alias("Size"),
             )
             .where("Store is not null")
         )
@@ -144,5 +144,5 @@ class Warehouse:
                 "store",
                 (F.col("l_partkey") % 50).cast("int").alias("item"),
             )
-            .agg(F.sum("l_quantity").cast("int").alias("sales"))
+            .agg(F.sum(F.col("l_quantity").cast("bigint")).alias("sales"))
         )

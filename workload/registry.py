@@ -167,7 +167,7 @@ TABLES_SQL: dict[str, tuple[tuple[str, ...], str]] = {
     FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL"""),
     "stores": ((), """
     SELECT n_nationkey AS Store, ['A','B','C'][n_regionkey % 3 + 1] AS Type,
-           CAST(COALESCE(n, 0) * 1000 AS INTEGER) AS Size
+           CAST(COALESCE(n, 0) * 1000 AS BIGINT) AS Size
     FROM nation LEFT JOIN (SELECT s_nationkey, COUNT(*) AS n FROM supplier GROUP BY 1) ON n_nationkey = s_nationkey"""),
     "search_wide": ((), f"""
     SELECT CAST(o_orderdate AS DATE) AS date, {_TERM_COLUMNS} FROM orders GROUP BY 1"""),

@@ -77,12 +77,12 @@ def yearly_totals(t):
     return rounded(aggregates.yearly_totals(t.sales), Total=4, Mean=2)
 
 
-@query("AGG8", "SELECT store, ROUND(AVG(sales), 6) AS Mean FROM (SELECT s_nationkey AS store, CAST(SUM(l_quantity) AS INTEGER) AS sales FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_nationkey, CAST(l_shipdate AS DATE), l_partkey % 50) GROUP BY 1 ORDER BY AVG(sales) DESC, store LIMIT 20")
+@query("AGG8", "SELECT store, ROUND(AVG(sales), 6) AS Mean FROM (SELECT s_nationkey AS store, CAST(SUM(l_quantity) AS BIGINT) AS sales FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_nationkey, CAST(l_shipdate AS DATE), l_partkey % 50) GROUP BY 1 ORDER BY AVG(sales) DESC, store LIMIT 20")
 def top_stores_by_demand(t):
     return rounded(aggregates.top_means(t.raw.daily_demand(), "store", "sales"), Mean=6)
 
 
-@query("AGG8", "SELECT item, ROUND(AVG(sales), 6) AS Mean FROM (SELECT CAST(l_partkey % 50 AS INTEGER) AS item, CAST(SUM(l_quantity) AS INTEGER) AS sales FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_nationkey, CAST(l_shipdate AS DATE), l_partkey % 50) GROUP BY 1 ORDER BY AVG(sales) DESC, item LIMIT 20")
+@query("AGG8", "SELECT item, ROUND(AVG(sales), 6) AS Mean FROM (SELECT CAST(l_partkey % 50 AS INTEGER) AS item, CAST(SUM(l_quantity) AS BIGINT) AS sales FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_nationkey, CAST(l_shipdate AS DATE), l_partkey % 50) GROUP BY 1 ORDER BY AVG(sales) DESC, item LIMIT 20")
 def top_items_by_demand(t):
     return rounded(aggregates.top_means(t.raw.daily_demand(), "item", "sales"), Mean=6)
 

@@ -29,7 +29,7 @@ def store_dimension(t):
 
 
 @query("SRC1", """SELECT CAST(l_shipdate AS DATE) AS date, s_nationkey AS store, CAST(l_partkey % 50 AS INTEGER) AS item,
-    CAST(SUM(l_quantity) AS INTEGER) AS sales FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL""")
+    CAST(SUM(l_quantity) AS BIGINT) AS sales FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL""")
 def daily_demand(t):
     return t.raw.daily_demand()
 
