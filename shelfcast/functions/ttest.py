@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+# The functions travel with the task, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _incomplete_beta(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta by its continued fraction (modified Lentz evaluation)."""

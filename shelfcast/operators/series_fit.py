@@ -6,15 +6,20 @@ calendar) and spreads the series over the cluster; NumPy only does the arithmeti
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.names import DATE, HOLIDAY, KEYS, TARGET
 
+# The functions travel with the task, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _residuals(w: np.ndarray, params: np.ndarray, season: int) -> np.ndarray:
     """Residuals of an ARMA(1,1)x(1,1) recursion for many parameter rows (ar, ma, AR, MA) at once."""

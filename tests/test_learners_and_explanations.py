@@ -193,3 +193,10 @@ def test_what_if_difference(planted):
     row = out.agg(F.avg("Holiday_Uplift"), F.max(F.abs(F.col("Holiday_Uplift") - F.col("With_Holiday") + F.col("Without_Holiday")))).first()
     assert row[0] == pytest.approx(40, abs=5) and row[1] == 0.0
     assert out.where("IsHoliday not in (0, 1)").count() == 0 and out.agg(F.sum("IsHoliday")).first()[0] == planted.agg(F.sum("IsHoliday")).first()[0]
+
+
+def test_task_functions_travel_by_value():
+    from pyspark import cloudpickle
+
+    shipped = cloudpickle.list_registry_pickle_by_value()
+    assert {"shelfcast.functions.ttest", "shelfcast.operators.series_fit"} <= set(shipped)
