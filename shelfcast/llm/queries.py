@@ -7,8 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm import mixing, phrase_index, quality_trees
-from shelfcast.llm.tables import read
+from shelfcast.llm import byte_cnn, line_chunks, mixing, phrase_index, quality_trees, token_counts, token_output, url_filter
+from shelfcast.llm.tables import fresh, read
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_output(spark: SparkSession, base: str) -> DataFrame:
+    path = fresh(spark)
+    token_output.write_ids(read(spark, base, "documents"), path, tokenizer_path("byte_bpe_50k.json"))
+    return token_output.read_ids(spark, path)
 
 
 def op3_quality_rules(spark: SparkSession, base: str) -> DataFrame:
@@ -16,17 +28,35 @@ def op3_quality_rules(spark: SparkSession, base: str) -> DataFrame:
     return quality_trees.judge(docs, quality_trees.fit(docs, read(spark, base, "labels")))
 
 
+def op5_token_counts(spark: SparkSession, base: str) -> DataFrame:
+    return token_counts.token_counts(read(spark, base, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op6_url_filter(spark: SparkSession, base: str) -> DataFrame:
+    return url_filter.judge(read(spark, base, "pages"))
+
+
 def op7_source_mix(spark: SparkSession, base: str) -> DataFrame:
     return mixing.mix(read(spark, base, "documents"))
 
 
+def op8_quality_classifier(spark: SparkSession, base: str) -> DataFrame:
+    docs = read(spark, base, "documents")
+    return byte_cnn.score(docs, byte_cnn.fit(docs, read(spark, base, "labels")))
+
+
+def op9_line_dedup(spark: SparkSession, base: str) -> DataFrame:
+    rows = line_chunks.dedup_lines(read(spark, base, "documents"))
+    return rows.withColumn("kept_sha256", F.sha2("kept_text", 256)).drop("kept_text")
+
+
 def op10_benchmark_decontamination(spark: SparkSession, base: str) -> DataFrame:
     found = phrase_index.matches(read(spark, base, "documents"), read(spark, base, "benchmark"))
     return phrase_index.hits(found)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_quality_rules, op7_source_mix, op10_benchmark_decontamination)
+    f.__name__: f for f in (op1_token_output, op3_quality_rules, op5_token_counts, op6_url_filter, op7_source_mix, op8_quality_classifier, op9_line_dedup, op10_benchmark_decontamination)
 }
 
 #: Queries that SQL can express.
@@ -61,4 +91,27 @@ ORACLE_SQL: dict[str, str] = {
     )
     SELECT s.doc_id, s.size, t.source_size, t.target, COALESCE(k.taken, 0) AS taken
     FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source LEFT JOIN taken k ON s.doc_id = k.doc_id""",
+    "op9_line_dedup": """
+    WITH lines AS (
+      SELECT doc_id, generate_subscripts(l, 1) - 1 AS i, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)
+    ), hashed AS (
+      SELECT *, ('0x' || left(md5(line), 10))::BIGINT AS h FROM lines
+    ), cut AS (
+      SELECT *, COALESCE((h + 31 * LAG(h) OVER (PARTITION BY doc_id ORDER BY i)) % 3 = 0, FALSE) AS ends FROM hashed
+    ), placed AS (
+      SELECT *, SUM(ends::INT) OVER (PARTITION BY doc_id ORDER BY i) - ends::INT AS k FROM cut
+    ), chunks AS (
+      SELECT doc_id, k, COUNT(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM placed GROUP BY doc_id, k
+    ), judged AS (
+      SELECT *, n >= 2 AND regexp_matches(body, '[^ \\t\\n\\x0B\\f\\r]')
+                AND ROW_NUMBER() OVER (PARTITION BY body ORDER BY n < 2, doc_id, k) > 1 AS gone FROM chunks
+    ), summed AS (
+      SELECT doc_id, CAST(SUM(n) AS BIGINT) AS n_lines, COUNT(*) AS n_chunks, COUNT(*) FILTER (gone) AS n_removed_chunks,
+             CAST(COALESCE(SUM(n) FILTER (gone), 0) AS BIGINT) AS n_removed_lines,
+             COALESCE(string_agg(body, chr(10) ORDER BY k) FILTER (NOT gone), '') AS kept
+      FROM judged GROUP BY doc_id
+    )
+    SELECT d.doc_id, COALESCE(n_lines, 0) AS n_lines, COALESCE(n_chunks, 0) AS n_chunks, COALESCE(n_removed_chunks, 0) AS n_removed_chunks,
+           COALESCE(n_removed_lines, 0) AS n_removed_lines, sha256(COALESCE(kept, '')) AS kept_sha256
+    FROM documents d LEFT JOIN summed USING (doc_id)""",
 }

@@ -13,16 +13,21 @@ from shelfcast.session import ensure_checkpoint_dir
 _MADE: list[str] = []
 
 
+def fresh(spark: SparkSession) -> str:
+    """A new path below ``spark.checkpoint.dir``."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/llm-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
 def written_at(df: DataFrame, **options: str) -> tuple[DataFrame, str]:
     """``df`` as Parquet below ``spark.checkpoint.dir``, read again, and its path.
 
     Computed once, and safe from lost executors: what follows reads the files, not the lineage.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/llm-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, fresh(df.sparkSession)
     df.write.options(**{"compression": "zstd"} | options).parquet(path)
-    _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
