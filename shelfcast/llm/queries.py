@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm import byte_cnn, line_chunks, mixing, phrase_index, quality_trees, token_counts, token_output, url_filter
+from shelfcast.llm import byte_cnn, line_chunks, mixing, phrase_index, quality_trees, signature_join, suffix_dedup, token_counts, token_output, url_filter
 from shelfcast.llm.tables import fresh, read
 
 
@@ -23,11 +23,19 @@ def op1_token_output(spark: SparkSession, base: str) -> DataFrame:
     return token_output.read_ids(spark, path)
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, base: str) -> DataFrame:
+    return signature_join.similar_classes(read(spark, base, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, base: str) -> DataFrame:
     docs = read(spark, base, "documents")
     return quality_trees.judge(docs, quality_trees.fit(docs, read(spark, base, "labels")))
 
 
+def op4_suffix_dedup(spark: SparkSession, base: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.dedup_bytes(read(spark, base, "documents")))
+
+
 def op5_token_counts(spark: SparkSession, base: str) -> DataFrame:
     return token_counts.token_counts(read(spark, base, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -56,7 +64,7 @@ def op10_benchmark_decontamination(spark: SparkSession, base: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_output, op3_quality_rules, op5_token_counts, op6_url_filter, op7_source_mix, op8_quality_classifier, op9_line_dedup, op10_benchmark_decontamination)
+    f.__name__: f for f in (op1_token_output, op2_ngram_jaccard_join, op3_quality_rules, op4_suffix_dedup, op5_token_counts, op6_url_filter, op7_source_mix, op8_quality_classifier, op9_line_dedup, op10_benchmark_decontamination)
 }
 
 #: Queries that SQL can express.
