@@ -241,6 +241,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
     return fit_trees(x[order], y[order], np.array(list(FEATURES.values())))
 
 
+def _verdict(stats: dict[str, np.ndarray], trees: Trees, keep_from: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(fails the base rules, score, kept) of every text."""
+    failed = (stats["n_words"] < 50) | (100 * stats["n_repeat_words"] > 50 * stats["n_words"])
+    score = trees.score(_matrix(stats))
+    return failed, score, ~failed & (score >= keep_from)
+
+
 def judge(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text: str = "text", keep_from: float = KEEP_FROM) -> DataFrame:
     """Base statistics, base verdict, score and verdict of every document; its other columns are not read."""
 
@@ -248,13 +255,12 @@ def judge(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text: str = "te
         for batch in batches:
             for part in A.text_slices(batch.column("text")):
                 stats = statistics(part)
-                failed = (stats["n_words"] < 50) | (100 * stats["n_repeat_words"] > 50 * stats["n_words"])
-                score = trees.score(_matrix(stats))
+                failed, score, kept = _verdict(stats, trees, keep_from)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("_id").slice(part.first, part.last - part.first),
                         *(pa.array(stats[b].astype(np.int64)) for b in BASE),
-                        pa.array(failed), pa.array(score), pa.array(~failed & (score >= keep_from)),
+                        pa.array(failed), pa.array(score), pa.array(kept),
                     ],
                     ["_id", *BASE, "base_failed", "score", "kept"],
                 )
@@ -266,7 +272,7 @@ def judge(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text: str = "te
     return out.withColumnRenamed("_id", id_col)
 
 
-def kept_documents(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def kept_documents(docs: DataFrame, trees: Trees, text: str = "text", keep_from: float = KEEP_FROM) -> DataFrame:
     """The rows of ``docs`` that are kept, all columns as they were. Judged where they lie: no join, no shuffle."""
     columns = docs.columns
 
@@ -274,9 +280,7 @@ def kept_documents(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text:
         for batch in batches:
             kept = np.zeros(batch.num_rows, bool)
             for part in A.text_slices(batch.column(columns.index(text))):
-                stats = statistics(part)
-                failed = (stats["n_words"] < 50) | (100 * stats["n_repeat_words"] > 50 * stats["n_words"])
-                kept[part.first : part.last] = ~failed & (trees.score(_matrix(stats)) >= KEEP_FROM)
+                kept[part.first : part.last] = _verdict(statistics(part), trees, keep_from)[2]
             yield batch.filter(pa.array(kept))
 
     return docs.mapInArrow(run, docs.schema)
