@@ -70,13 +70,14 @@ def linked_addresses(html: Column) -> Column:
 
 
 def alias_edges(pages: DataFrame, url: str = "url", html: str | None = "html") -> DataFrame:
-    """src, dst: each address with its canonical form, and with the canonical forms of what its page points to."""
-    here = F.col(url)
-    targets = [F.array(canonical_form(here))]
+    """src, dst: each address, also those that pages point to, with its canonical form, and each page with its targets' forms."""
+    here = F.col(url).alias("src")
+    rows = pages.filter(F.col(url).contains("://"))
+    ties = rows.select(here, F.col(url).alias("to"))
     if html is not None:
-        targets.append(F.transform(linked_addresses(F.col(html)), canonical_form))
-    edges = pages.filter(here.contains("://")).select(here.alias("src"), F.explode(F.concat(*targets)).alias("dst"))
-    return edges.select("src", F.concat(F.lit("form://"), "dst").alias("dst")).distinct()
+        links = rows.select(here, F.explode(linked_addresses(F.col(html))).alias("to"))
+        ties = ties.union(links).union(links.select("to", "to"))
+    return ties.select("src", F.concat(F.lit("form://"), canonical_form(F.col("to"))).alias("dst")).distinct()
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_col: str = "page_id", url: str = "url", html: str | None = "html",
@@ -84,9 +85,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_co
     """id, host, path, rule and verdict of every row. ``more_edges``: src, dst of known redirects (a crawl's log), if any."""
     edges = alias_edges(pages, url, html)
     if more_edges is not None:
-        known = more_edges.select(F.col("src"), F.concat(F.lit("form://"), canonical_form(F.col("dst"))).alias("dst"))
-        own = more_edges.select(F.col("src"), F.concat(F.lit("form://"), canonical_form(F.col("src"))).alias("dst"))
-        edges = edges.union(known).union(own).filter("src IS NOT NULL AND dst IS NOT NULL")
+        ties = more_edges.select("src", "dst").union(more_edges.select("src", "src")).union(more_edges.select("dst", "dst"))
+        edges = edges.union(ties.select("src", F.concat(F.lit("form://"), canonical_form(F.col("dst"))).alias("dst")))
     labels = components(edges)
     address = F.col("node")
     own_rule = fitting_rule(host_of(address), path_of(address), rules)["verdict"]
