@@ -20,7 +20,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SPACE, LETTER, NUMBER, OTHER = range(4)
 #: Distinct pre-tokens that an encoder remembers; then it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 2_000_000
 #: Code points of white space (fixed values).
 WHITE = (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 
@@ -106,6 +106,21 @@ def _contractions(code: np.ndarray, start: np.ndarray, first: np.ndarray) -> Non
         start[after[letters]] = True
 
 
+def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    key = np.concatenate([a[0], b[0]])
+    order = np.argsort(key, kind="stable")
+    return key[order], np.concatenate([a[1], b[1]])[order]
+
+
+def _found(table: tuple[np.ndarray, np.ndarray], key: np.ndarray) -> np.ndarray:
+    """The row number of every key, -1 where the table lacks it."""
+    keys, rows = table
+    if not len(keys):
+        return np.full(len(key), -1, np.int32)
+    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    return np.where(keys[at] == key, rows[at], -1)
+
+
 class Distinct:
     """Remembers a row of numbers for every distinct pre-token it has seen, by its hash."""
 
@@ -114,23 +129,46 @@ class Distinct:
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[int, int] = {}
-        self.flat, self.bounds = np.zeros(0, np.int64), np.zeros(1, np.int64)
+        # Sorted hashes with row numbers: a large table, and a small one for what came last.
+        self.old = self.late = (np.zeros(0, A.U64), np.zeros(0, np.int32))
+        self.flat, self.bounds = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def look_up(self, part: A.Slice, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The row number of every pre-token; new ones are encoded first."""
-        if len(self.place) > REMEMBERED:
+        if len(self.bounds) > REMEMBERED:
             self.forget()
         key, example, which = np.unique(A.byte_hashes(part.data, begin, end), return_index=True, return_inverse=True)
-        keys = key.tolist()
-        found = [self.place.get(k, -1) for k in keys]
-        number = np.array(found, dtype=np.int64)
+        number = _found(self.old, key)
+        open_ = np.flatnonzero(number < 0)
+        number[open_] = _found(self.late, key[open_])
         new = np.flatnonzero(number < 0)
         if len(new):
             raw = part.data.tobytes()
             flat, length = self.encode([raw[a:b] for a, b in zip(begin[example[new]].tolist(), end[example[new]].tolist(), strict=True)])
-            number[new] = np.arange(len(new)) + len(self.place)
-            self.place.update(zip((keys[i] for i in new), number[new].tolist(), strict=True))
-            self.flat = np.concatenate([self.flat, flat])
+            number[new] = np.arange(len(new)) + len(self.bounds) - 1
+            self.late = _merged(self.late, (key[new], number[new]))
+            if len(self.late[0]) > max(100_000, len(self.old[0]) // 4):
+                self.old, self.late = _merged(self.old, self.late), (self.late[0][:0], self.late[1][:0])
+            self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
             self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(length)])
         return number[which.reshape(-1)]
+
+
+class Memory:
+    """What the tasks of a Python worker share when it is broadcast: the tokenizer file, and what was learned from it.
+
+    Only the file travels. A worker that runs several tasks encodes a pre-token once for all of them; the results
+    do not depend on it.
+    """
+
+    def __init__(self, file: str):
+        self.file, self.made = file, None
+
+    def __getstate__(self) -> dict:
+        return {"file": self.file, "made": None}
+
+    def get(self, make) -> tuple[Distinct, list[str]]:
+        if self.made is None:
+            specials = special_strings(self.file)
+            self.made = Distinct(make(self.file, specials)), specials
+        return self.made

@@ -120,14 +120,18 @@ class Merges:
         return out
 
 
+def _counter(file: str, specials: list[str]):
+    merges = Merges(file)
+    return lambda words: (merges.count_bytes(words, specials), np.ones(len(words), np.int64))
+
+
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = LIMIT, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_bytes, n_tokens and over_limit of every document. tokenizer: path of a byte-level BPE file, read by the driver."""
     with open(tokenizer, encoding="utf-8") as f:
-        file = docs.sparkSession.sparkContext.broadcast(f.read())
+        memory = docs.sparkSession.sparkContext.broadcast(P.Memory(f.read()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges, specials = Merges(file.value), P.special_strings(file.value)
-        known = P.Distinct(lambda words: (merges.count_bytes(words, specials), np.ones(len(words), np.int64)))
+        known, specials = memory.value.get(_counter)
         for batch in batches:
             for part in A.text_slices(batch.column("_text")):
                 begin, end, of = P.pretokens(part, specials)
