@@ -22,10 +22,12 @@ def naive_columns(
     bridge: str = "train",
     season: int = 52,
     history: str = "test",
+    mean_of: Sequence[str] = ("train",),
 ) -> DataFrame:
     """Test rows with one column per baseline model, from one pass over each series.
 
-    ``bridge`` is the part whose last value stands before the first test week ("train" or "val").
+    ``bridge`` is the part whose last value stands before the first test week ("train" or "val"), ``mean_of`` the parts
+    that the simple average is taken over.
     ``history`` tells where the seasonal model may look back: in the "test" part only, or in "full".
     """
     w = series_window(keys)
@@ -36,7 +38,7 @@ def naive_columns(
 
     enriched = split_df.withColumns({
         "_last": F.max_by(F.when(before_test, y), F.when(before_test, F.col(DATE))).over(whole),
-        "Simple Average": F.avg(F.when(part("train"), y)).over(whole),
+        "Simple Average": F.avg(F.when(F.col("split").isin(*mean_of), y)).over(whole),
         "_prev": F.when(F.lag("split").over(w) == "test", F.lag(target).over(w)),
     })
     if history == "full":

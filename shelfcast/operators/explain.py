@@ -32,23 +32,27 @@ def permutation_importance(
     keys: Sequence[str] = KEYS,
     target: str = TARGET,
     seed: int = 42,
+    constant: Sequence[str] = (*KEYS, "Size"),
 ) -> DataFrame:
     """How much the error of each series grows when one feature is shuffled inside it, as shares of the total.
 
     A shuffle hands each week the value of the next week in a random order of the series' weeks. A
-    feature that is constant inside a series cannot matter there and gets 0.
+    feature that is constant inside a series cannot matter there and gets 0; those in ``constant`` always are, and are
+    not shuffled at all.
     """
+    fixed = [f for f in features if f in constant]
+    moving = [f for f in features if f not in constant]
     ids = [f"_key_{k}" for k in keys]
     known = rows.where(F.col(target).isNotNull()).withColumns(dict(zip(ids, [F.col(k) for k in keys])))
     shuffled = numeric(known, features).select(*ids, F.col(DATE).alias("_date"), F.col(target).alias("_y"), *features)
-    for i, f in enumerate(features):
+    for i, f in enumerate(moving):
         order = Window.partitionBy(*ids).orderBy(key_digest([*ids, "_date"], seed + i))
         whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         shuffled = shuffled.withColumn(f"_s_{f}", F.coalesce(F.lead(f).over(order), F.first(f).over(whole)))
     versions = [F.struct(F.lit("").alias("Feature"), *[F.col(f).alias(f) for f in features])]
     versions += [
         F.struct(F.lit(g).alias("Feature"), *[F.col(f"_s_{f}" if f == g else f).alias(f) for f in features])
-        for g in features
+        for g in moving
     ]
     long = shuffled.select(*ids, "_y", F.inline(F.array(*versions)))
     errors = (
@@ -60,9 +64,11 @@ def permutation_importance(
     plain = F.max(F.when(F.col("Feature") == "", F.col("_mae"))).over(whole_series)
     raised = errors.withColumn("_rise", F.greatest(F.col("_mae") - plain, F.lit(0.0)))
     share = ratio("_rise", F.sum("_rise").over(whole_series))
+    # The row of the unshuffled version stands for the features that were not shuffled.
+    named = F.when(F.col("Feature") == "", F.array(*[F.lit(f) for f in fixed]).cast("array<string>")).otherwise(F.array("Feature"))
     return (
         raised.withColumn("Importance", F.coalesce(share, F.lit(0.0)))
-        .where(F.col("Feature") != "")
+        .withColumn("Feature", F.explode(named))
         .select(*[F.col(i).alias(k) for i, k in zip(ids, keys)], "Feature", "Importance")
     )
 
@@ -108,10 +114,10 @@ def shapley_values(
     rows: DataFrame,
     features: Sequence[str],
     row_id: Sequence[str] = (*KEYS, DATE),
-    pairs: int = 1,
+    pairs: int = 8,
     seed: int = 42,
 ) -> DataFrame:
-    """Shapley values per row against the mean row, by walking random feature orders forth and back.
+    """Shapley values per row against the mean row, by walking ``pairs`` random feature orders forth and back.
 
     Each order switches the features of the mean row to the row's own values one at a time; the step
     a feature makes is its contribution. The values of a row add up to its prediction minus the

@@ -26,7 +26,11 @@ UPLIFT_FEATURES = (
 
 @dataclass(frozen=True)
 class Boosting:
-    """Settings of a boosted-trees model; ``early_stop`` needs rows labelled as the "val" part."""
+    """Settings of a boosted-trees model; ``early_stop`` needs rows labelled as the "val" part.
+
+    With early stopping, trees are added until the validation error has not improved for ``patience`` trees, and the
+    trees after the best one are dropped.
+    """
 
     trees: int = 100
     depth: int = 5
@@ -34,6 +38,7 @@ class Boosting:
     row_share: float = 1.0
     feature_share: float = 1.0
     early_stop: bool = False
+    patience: int = 20
     seed: int = 42
 
 
@@ -67,19 +72,45 @@ def _assembler(features: Sequence[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol="features")
 
 
-def _fit(
-    train: DataFrame, features: Sequence[str], target: str, estimator, extra: Sequence[str] = (), written: bool = False
-) -> PipelineModel:
-    """Fit on a written copy of just the needed columns: the fit reads it once per tree level.
+#: Rows of a training partition, about: a fit runs a job per tree level, so small tables go in few tasks.
+FIT_PARTITION_ROWS = 50_000
+
+
+def training_rows(train: DataFrame, features: Sequence[str], target: str, extra: Sequence[str] = (), written: bool = False) -> DataFrame:
+    """A written copy of just the needed columns, in partitions that follow the number of rows.
 
     ``written`` says that ``train`` is a selection from a written table already.
     """
     needed = numeric(train, features).where(F.col(target).isNotNull())
     rows = needed.select(*features, F.col(target).cast("double").alias(target), *extra)
     rows = rows if written else cut_lineage(rows)
+    return rows.coalesce(max(1, rows.count() // FIT_PARTITION_ROWS))
+
+
+def bins_for(rows: DataFrame, features: Sequence[str], least: int = 32, keys: Sequence[str] = KEYS) -> int:
+    """Split candidates per feature: enough to keep every store and department apart where they are features."""
+    found = [k for k in keys if k in features]
+    counts = rows.agg(*[F.count_distinct(k).alias(k) for k in found]).first() if found else []
+    return max([least, *(n + 1 for n in counts)])
+
+
+def _fit(train: DataFrame, features: Sequence[str], target: str, estimator, written: bool = False) -> PipelineModel:
+    rows = training_rows(train, features, target, written=written)
+    estimator = estimator.setMaxBins(bins_for(rows, features))
     return Pipeline(stages=[_assembler(features), estimator]).fit(rows)
 
 
+def best_prefix(errors: Sequence[float], patience: int) -> int:
+    """Trees to keep, given the validation error after each: the best before ``patience`` trees without improvement."""
+    best = 0
+    for k, e in enumerate(errors):
+        if e < errors[best]:
+            best = k
+        elif k - best >= patience:
+            break
+    return best + 1
+
+
 def fit_boosting(
     train: DataFrame,
     features: Sequence[str] = MODEL_FEATURES,
@@ -87,27 +118,45 @@ def fit_boosting(
     target: str = TARGET,
     written: bool = False,
 ) -> PipelineModel:
-    """Gradient boosted trees. With early stopping the "val" rows of ``train`` judge each added tree."""
-    gbt = GBTRegressor(
-        featuresCol="features",
-        labelCol=target,
-        predictionCol="Predicted",
-        maxIter=settings.trees,
-        maxDepth=settings.depth,
-        stepSize=settings.rate,
-        subsamplingRate=settings.row_share,
-        featureSubsetStrategy="all" if settings.feature_share >= 1 else str(settings.feature_share),
-        seed=settings.seed,
-    )
+    """Gradient boosted trees over all series. With early stopping the "val" rows of ``train`` judge each added tree.
+
+    The trees of a shorter fit are the first ones of a longer fit, so the model is fitted in full, its prefixes are
+    scored on the validation rows in one pass, and the best prefix is fitted again.
+    """
+    def boosting(trees: int) -> GBTRegressor:
+        return GBTRegressor(
+            featuresCol="features",
+            labelCol=target,
+            predictionCol="Predicted",
+            maxIter=trees,
+            maxDepth=settings.depth,
+            stepSize=settings.rate,
+            subsamplingRate=settings.row_share,
+            featureSubsetStrategy="all" if settings.feature_share >= 1 else str(settings.feature_share),
+            seed=settings.seed,
+        )
+
     if not settings.early_stop:
-        return _fit(train, features, target, gbt, written=written)
-    gbt = gbt.setValidationIndicatorCol("_is_val")
-    return _fit(train.withColumn("_is_val", F.col("split") == "val"), features, target, gbt, ["_is_val"], written)
+        return _fit(train, features, target, boosting(settings.trees), written)
+    rows = training_rows(train, features, target, ["split"], written)
+    fit_rows, val = rows.where("split <> 'val'").drop("split"), rows.where("split = 'val'").drop("split")
+    bins = bins_for(rows, features)
+    whole = Pipeline(stages=[_assembler(features), boosting(settings.trees).setMaxBins(bins)]).fit(fit_rows)
+    errors = whole.stages[-1].evaluateEachIteration(whole.stages[0].transform(val), "squared")
+    keep = best_prefix(errors, settings.patience)
+    if keep == settings.trees:
+        return whole
+    return Pipeline(stages=[_assembler(features), boosting(keep).setMaxBins(bins)]).fit(fit_rows)
 
 
 def fit_forest(
-    train: DataFrame, features: Sequence[str] = MODEL_FEATURES, settings: Forest = SERIES_FOREST, target: str = TARGET
+    train: DataFrame,
+    features: Sequence[str] = MODEL_FEATURES,
+    settings: Forest = SERIES_FOREST,
+    target: str = TARGET,
+    written: bool = False,
 ) -> PipelineModel:
+    """Random forest over all series; every split tries all features."""
     forest = RandomForestRegressor(
         featuresCol="features",
         labelCol=target,
@@ -115,9 +164,10 @@ def fit_forest(
         numTrees=settings.trees,
         maxDepth=settings.depth,
         minInstancesPerNode=settings.min_leaf,
+        featureSubsetStrategy="all",
         seed=settings.seed,
     )
-    return _fit(train, features, target, forest)
+    return _fit(train, features, target, forest, written)
 
 
 def score(model: PipelineModel, rows: DataFrame, features: Sequence[str] = MODEL_FEATURES, out: str = "Predicted") -> DataFrame:

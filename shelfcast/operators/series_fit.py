@@ -49,27 +49,32 @@ def fit_arma(w: np.ndarray, season: int = 0) -> np.ndarray:
     return best
 
 
+#: Fewest weeks that ARIMA is fitted to, and fewest differences beyond one season for its seasonal form.
+ARIMA_WEEKS, SEASONAL_DIFFERENCES = 10, 20
+#: Fewest weeks that the trend model is fitted to.
+TREND_WEEKS = 20
+
+
+def enough_for_arima(weeks: int, season: int = 0, least: int = ARIMA_WEEKS, beyond: int = SEASONAL_DIFFERENCES) -> bool:
+    """Is a history long enough? The seasonal form needs ``season + beyond`` differences at distance ``season``."""
+    return weeks - season - 1 >= season + beyond if season else weeks >= least
+
+
 def forecast_arima(y: np.ndarray, steps: int, season: int = 0) -> np.ndarray:
-    """ARIMA(1,1,1), or (1,1,1)(1,1,1,season): difference, fit, extend, sum back up."""
-    nothing = np.full(steps, np.nan)
-    if len(y) < (season + 20 if season else 10):
-        return nothing
+    """ARIMA(1,1,1), or (1,1,1)(1,1,1,season): difference, fit, extend, sum back up. NaN if the history is too short."""
+    if not enough_for_arima(len(y), season):
+        return np.full(steps, np.nan)
     seasonal = y[season:] - y[:-season] if season else y
     w = np.diff(seasonal)
-    if season and len(w) < season + 20:
-        season_terms = 0
-    else:
-        season_terms = season
-    params = fit_arma(w, season_terms)
-    e = list(_residuals(w, params[None, :], season_terms)[:, 0])
+    params = fit_arma(w, season)
+    e = list(_residuals(w, params[None, :], season)[:, 0])
     ar, ma, sar, sma = params
     path = list(w)
     for _ in range(steps):
         t = len(path)
         value = ar * path[t - 1] + ma * e[t - 1]
-        if season_terms:
-            s = season_terms
-            value += sar * (path[t - s] - ar * path[t - s - 1]) + sma * (e[t - s] + ma * e[t - s - 1])
+        if season:
+            value += sar * (path[t - season] - ar * path[t - season - 1]) + sma * (e[t - season] + ma * e[t - season - 1])
         path.append(value)
         e.append(0.0)
     level = seasonal[-1] + np.cumsum(path[len(w):])
@@ -90,19 +95,25 @@ def _design(days: np.ndarray, holiday: np.ndarray, origin: float, span: float, w
 
 
 def forecast_trend_season(
-    days: np.ndarray, y: np.ndarray, holiday: np.ndarray, future_days: np.ndarray, future_holiday: np.ndarray, waves: int = 10
+    days: np.ndarray, y: np.ndarray, holiday: np.ndarray, future_days: np.ndarray, future_holiday: np.ndarray, waves: int = 10,
+    least: int = TREND_WEEKS, floor_share: float = 1e-3, cap_factor: float | None = None,
 ) -> np.ndarray:
-    """Trend, yearly waves and a holiday effect, multiplied: ridge least squares on the log of sales."""
-    if len(y) < 20:
+    """Trend, yearly waves and a holiday effect, multiplied: ridge least squares on the log of sales.
+
+    A logarithm needs positive sales: weeks below ``floor_share`` of the mean level count as that much. ``cap_factor``
+    limits forecasts to that multiple of the largest week; without it they are as the model has them. NaN if there are
+    fewer than ``least`` weeks.
+    """
+    if len(y) < least:
         return np.full(len(future_days), np.nan)
-    floor = max(np.abs(y).mean() * 1e-3, 1e-9)
+    floor = max(np.abs(y).mean() * floor_share, 1e-9)
     span = max(days[-1] - days[0], 1.0)
     x = _design(days, holiday, days[0], span, waves)
     penalty = np.full(x.shape[1], 1e-2)
     penalty[0] = 0.0
     beta = np.linalg.solve(x.T @ x + np.diag(penalty), x.T @ np.log(np.maximum(y, floor)))
-    log_fit = _design(future_days, future_holiday, days[0], span, waves) @ beta
-    return np.exp(np.minimum(log_fit, np.log(np.maximum(y, floor)).max() + 3.0))
+    out = np.exp(_design(future_days, future_holiday, days[0], span, waves) @ beta)
+    return out if cap_factor is None else np.minimum(out, cap_factor * np.maximum(y, floor).max())
 
 
 def _per_series(
@@ -115,12 +126,13 @@ def _per_series(
 ) -> DataFrame:
     """Run a forecast method on the fitted and the test part of each series.
 
+    ``Status`` is "ok", or "too short" where the method gave no forecast and ``Predicted`` is NULL.
     Fitted on "train" alone, the steps after the last training week are set against the test weeks;
     with "val" added to ``fit_on`` the forecast starts right before them.
     """
     keys, fit_on = list(keys), list(fit_on)
     types = dict(split_df.dtypes)
-    schema = ", ".join([f"{k} {types[k]}" for k in keys] + [f"{DATE} date", "Actual double", "Predicted double"])
+    schema = ", ".join([f"{k} {types[k]}" for k in keys] + [f"{DATE} date", "Actual double", "Predicted double", "Status string"])
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(DATE)
@@ -130,6 +142,7 @@ def _per_series(
         out["Actual"] = test[target].astype("float64")
         out["Predicted"] = method(train, test) if len(test) else np.array([])
         out["Predicted"] = out["Predicted"].astype("float64").replace({np.nan: None})
+        out["Status"] = np.where(out["Predicted"].isna(), "too short", "ok")
         return out
 
     needed = split_df.where(F.col("split").isin(*fit_on, "test")).select(
@@ -155,7 +168,7 @@ def seasonal_arima_forecast(
     target: str = TARGET,
     fit_on: Sequence[str] = ("train",),
 ) -> DataFrame:
-    """NULL forecasts where the history is shorter than a season and 20 weeks."""
+    """NULL forecasts where the history is too short for the seasonal terms (``enough_for_arima``)."""
 
     def method(train, test):
         return forecast_arima(train[target].to_numpy("float64"), len(test), season)
@@ -172,3 +185,8 @@ def trend_season_forecast(
         return forecast_trend_season(days(train), train[target].to_numpy("float64"), flag(train), days(test), flag(test))
 
     return _per_series(split_df, "Prophet", method, keys, target, fit_on)
+
+
+def fit_status(forecasts: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Model, Status, series and weeks: what a league leaves out because the history was too short."""
+    return forecasts.groupBy("Model", "Status").agg(F.count_distinct(*keys).alias("Series"), F.count(F.lit(1)).alias("Weeks"))

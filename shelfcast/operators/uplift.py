@@ -17,7 +17,7 @@ from shelfcast.functions.quantiles import attach_scalars
 from shelfcast.names import DATE, HOLIDAY, KEYS, TARGET
 from shelfcast.operators.combine import key_digest, one_hot
 from shelfcast.operators.features import uplift_features
-from shelfcast.operators.learners import UPLIFT_FEATURES, Boosting, Forest, fit_boosting, numeric, score
+from shelfcast.operators.learners import UPLIFT_FEATURES, Boosting, Forest, fit_boosting, numeric, score, training_rows
 from shelfcast.session import cut_lineage
 
 # Controls of the causal model and its settings.
@@ -39,9 +39,10 @@ def _treatment_model(train: DataFrame, controls: Sequence[str], settings: Boosti
         maxDepth=settings.depth,
         stepSize=settings.rate,
         subsamplingRate=settings.row_share,
+        featureSubsetStrategy="all" if settings.feature_share >= 1 else str(settings.feature_share),
         seed=settings.seed,
     )
-    rows = numeric(train, controls).select(*controls, "_t")
+    rows = training_rows(train, controls, "_t", written=True)
     return Pipeline(stages=[VectorAssembler(inputCols=list(controls), outputCol="features"), classifier]).fit(rows)
 
 
@@ -90,9 +91,10 @@ def causal_uplift(
         numTrees=settings.trees,
         maxDepth=settings.depth,
         minInstancesPerNode=settings.min_leaf,
+        featureSubsetStrategy="all",
         seed=settings.seed,
     )
-    rows = cut_lineage(numeric(table, controls).select(*controls, "_effect", "_weight"))
+    rows = training_rows(table, controls, "_effect", ["_weight"])
     model = Pipeline(stages=[VectorAssembler(inputCols=list(controls), outputCol="features"), forest]).fit(rows)
     scored = score(model, residuals, controls, "Holiday_Uplift")
     return scored.drop("_t", "_y_res", "_t_res"), model

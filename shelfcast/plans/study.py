@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 
-from shelfcast.operators import baselines, combine, evaluate, explain, features, learners, profile, series_fit, uplift
+from shelfcast.names import DATE, KEYS
+from shelfcast.operators import baselines, combine, evaluate, explain, features, learners, profile, series_fit, series_trees, uplift
+from shelfcast.session import cut_lineage
 from shelfcast.sources.sinks import save_model, write_table
 
 
@@ -13,37 +17,37 @@ def model_study(
     stores: DataFrame,
     train_end: str,
     val_end: str,
+    used: Sequence[str] | None = None,
     boosting: learners.Boosting = learners.BASIC,
     forest: learners.Forest = learners.SERIES_FOREST,
+    hybrid_boosting: learners.Boosting = learners.HYBRID,
     fit_on: tuple[str, ...] = ("train",),
 ) -> dict[str, DataFrame]:
     """All models over all series that have enough history: predictions, league table, hybrid, importance.
 
-    Every model is fitted on the same parts (``fit_on``).
+    Every model of the league sees the same span (``fit_on``). The hybrid's learned model is fitted on the training part
+    alone, whatever ``fit_on`` is, because the validation part decides whether it may be used. ``used`` are the features
+    of the learned models; by default the base features and every search-interest column the fact has. The labelled
+    weekly table is written once and read by everything else.
     """
-    parts = features.with_enough_history(
-        features.label_split(fact, train_end, val_end), 50, features.SPLIT_MINIMA
-    )
-    fit_rows = parts.where(parts["split"].isin(*fit_on))
-    later = parts.where("split in ('val', 'test')")
-    test = parts.where("split = 'test'")
-    gbt = learners.fit_boosting(fit_rows, settings=boosting)
-    rf = learners.fit_forest(fit_rows, settings=forest)
+    parts = cut_lineage(features.with_enough_history(features.label_split(fact, train_end, val_end), 50, features.SPLIT_MINIMA))
+    used = list(used) if used else [*learners.MODEL_FEATURES, *combine.columns_containing(parts, "GoogleTrends")]
+    bridge = "val" if "val" in fit_on else "train"
+    learned = series_trees.series_models(parts, {"XGBoost": boosting, "Random Forest": forest}, used, fit_on, ensemble="Ensemble")
 
     predictions = combine.stack([
-        baselines.baseline_forecasts(parts, history="full"),
-        learners.predictions(gbt, test, "XGBoost"),
-        learners.predictions(rf, test, "Random Forest"),
-        learners.average_of([gbt, rf], test),
+        baselines.baseline_forecasts(parts, history="full", bridge=bridge, mean_of=fit_on),
+        learned.select(*KEYS, DATE, *baselines.PREDICTION_COLUMNS),
         series_fit.arima_forecast(parts, fit_on=fit_on),
         series_fit.seasonal_arima_forecast(parts, fit_on=fit_on),
         series_fit.trend_season_forecast(parts, fit_on=fit_on),
     ])
     described = profile.profile(fact)
     results = evaluate.league_table(predictions, stores)
-    wide = learners.hybrid_wide(parts, learners.score(gbt, later), described)
+    gate = series_trees.series_models(parts, {"XGBoost": hybrid_boosting}, used, ("train",), ("val", "test"))
+    wide = learners.hybrid_wide(parts, gate.withColumnRenamed("Actual", "Weekly_Sales").drop("Model", "Trees"), described)
     hybrid = learners.hybrid_results(wide)
-    importance = explain.with_store_type(explain.permutation_importance(gbt, test), stores)
+    importance = explain.with_store_type(series_trees.series_importance(parts, boosting, used, fit_on), stores)
     return {
         "profile": described,
         "predictions": predictions,

@@ -3,9 +3,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import make_fact
-from shelfcast.operators import explain, features, learners, uplift
+from shelfcast.operators import explain, features, learners, series_trees, uplift
 from shelfcast.operators.series_fit import (
-    arima_forecast, fit_arma, forecast_arima, forecast_trend_season, seasonal_arima_forecast, trend_season_forecast,
+    arima_forecast, enough_for_arima, fit_arma, forecast_arima, forecast_trend_season, seasonal_arima_forecast, trend_season_forecast,
 )
 from shelfcast.sources import sinks
 
@@ -48,7 +48,93 @@ def test_same_seed_same_model(parts, model):
 def test_early_stop_uses_validation_rows(parts):
     settings = learners.Boosting(40, 3, 0.5, early_stop=True)
     stopped = learners.fit_boosting(parts.where("split <> 'test'"), settings=settings)
-    assert stopped.stages[-1].getNumTrees <= 40
+    assert 1 <= stopped.stages[-1].getNumTrees <= 40
+
+
+def test_patience_decides_how_many_trees_stay():
+    errors = [9, 5, 6, 6, 6, 4, 7, 7, 7]
+    assert [learners.best_prefix(errors, p) for p in (2, 3, 4, 20)] == [2, 2, 6, 6]
+
+
+def test_stores_and_departments_get_their_own_bins(spark):
+    rows = spark.range(400).select((F.col("id") % 50).alias("Store"), (F.col("id") % 7).alias("Dept"))
+    assert learners.bins_for(rows, ["Store", "Dept"]) == 51
+    assert learners.bins_for(rows, ["Dept"]) == 32
+
+
+def test_series_boosting_follows_plain_arithmetic():
+    x = np.array([[0.0], [1.0], [2.0], [3.0]])
+    y = np.array([0.0, 0.0, 10.0, 10.0])
+    out, trees, gains = series_trees.boost(x, y, learners.Boosting(1, 1, 0.5), None, [x])
+    # Mean 5; residual sums of -10 and 10 over 2 rows and a ridge of 1, half a step.
+    np.testing.assert_allclose(out[0], [5 - 5 / 3] * 2 + [5 + 5 / 3] * 2)
+    assert trees == 1 and gains[0] == pytest.approx(2 * 100 / 3)
+    for settings in (learners.Boosting(60, 3, 0.3), learners.Boosting(60, 3, 0.3, 0.8, 0.8)):
+        rng = np.random.default_rng(0)
+        x = rng.normal(size=(200, 4))
+        y = 3 * x[:, 0] + np.where(x[:, 1] > 0, 5, 0)
+        out, _, gains = series_trees.boost(x[:150], y[:150], settings, None, [x[150:]])
+        assert np.mean((out[0] - y[150:]) ** 2) < 0.15 * np.var(y) and gains[:2].min() > gains[2:].max()
+
+
+def test_series_patience_changes_the_trees_kept():
+    rng = np.random.default_rng(3)
+    x, val = rng.normal(size=(60, 3)), rng.normal(size=(40, 3))
+    y, y_val = x[:, 0] + rng.normal(0, 2, 60), val[:, 0] + rng.normal(0, 2, 40)
+    kept = [series_trees.boost(x, y, learners.Boosting(200, 3, 0.1, early_stop=True, patience=p), (val, y_val), [])[1] for p in (1, 20)]
+    assert 1 <= kept[0] <= kept[1] < 200
+    errors = []
+    for k in range(1, kept[1] + 21):
+        out, _, _ = series_trees.boost(x, y, learners.Boosting(k, 3, 0.1), None, [val])
+        errors.append(np.mean((out[0] - y_val) ** 2))
+    assert learners.best_prefix(errors, 20) == kept[1]
+
+
+def test_series_forest_is_a_mean_inside_the_range():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(80, 2))
+    y = np.where(x[:, 0] > 0, 10.0, 0.0)
+    out, trees, _ = series_trees.forest(x, y, learners.Forest(30, 10), [x, rng.normal(size=(50, 2)) * 9])
+    assert trees == 30 and np.mean((out[0] > 5) == (y > 5)) > 0.97
+    assert out[1].min() >= 0 and out[1].max() <= 10
+
+
+def test_series_models_predict_every_test_week(parts):
+    models = {"XGBoost": SMALL, "Random Forest": learners.Forest(5, 4)}
+    rows = series_trees.series_models(parts, models, ensemble="Ensemble").collect()
+    assert len(rows) == 3 * parts.where("split = 'test'").count()
+    by = {}
+    for r in rows:
+        by.setdefault((r.Dept, r.Date), {})[r.Model] = r.Predicted
+    assert all(v["Ensemble"] == pytest.approx((v["XGBoost"] + v["Random Forest"]) / 2) for v in by.values())
+    missing = series_trees.series_models(parts.where("split <> 'train' or Dept = 1"), {"XGBoost": SMALL}).collect()
+    assert {r.Dept for r in missing if r.Predicted is None} == {2, 3} and {r.Trees for r in missing if r.Dept == 2} == {0}
+    shares = series_trees.series_importance(parts, SMALL).collect()
+    assert {(r.Dept, r.Feature) for r in shares if r.Importance > 0.5} == {(d, "Temperature") for d in (1, 2, 3)}
+
+
+def test_a_model_that_watches_the_validation_part_is_not_fitted_on_it(parts):
+    with pytest.raises(ValueError, match="validation part"):
+        series_trees.series_models(parts, {"x": learners.Boosting(5, early_stop=True)}, fit_on=("train", "val"))
+
+
+def test_the_gate_sees_errors_out_of_sample(parts):
+    """A model that knows the validation part by heart passes the gate; the train-only fit of pure noise does not."""
+    noise = parts.withColumn("Weekly_Sales", F.when(F.rand(1) < 0.5, 1.0).otherwise(200.0)).cache()
+    deep = {"XGBoost": learners.Boosting(40, 8, 0.5)}
+    gate = lambda fit_on: series_trees.series_models(noise, deep, fit_on=fit_on, predict_on=("val",)).groupBy("Dept").agg(
+        (F.avg(F.abs(F.col("Actual") - F.col("Predicted"))) / F.avg("Actual") * 100).alias("MAPE")).collect()
+    assert max(r.MAPE for r in gate(("train", "val"))) < 50 < min(r.MAPE for r in gate(("train",)))
+
+
+def test_study_on_one_span(spark, parts):
+    from shelfcast.plans.study import model_study
+
+    stores = spark.createDataFrame([(1, "A", 1000)], "Store int, Type string, Size int")
+    study = model_study(parts.drop("split"), stores, "2011-06-01", "2012-01-01", boosting=SMALL, forest=learners.Forest(5, 4), hybrid_boosting=SMALL, fit_on=("train", "val"))
+    weeks = {r.Model: r["n"] for r in study["predictions"].groupBy("Model").agg(F.count("*").alias("n")).collect()}
+    assert len(weeks) == 9 and len(set(weeks.values())) == 1
+    assert study["results"].count() > 0 and study["importance"].select("Feature").distinct().count() == len(learners.MODEL_FEATURES)
 
 
 def test_ensemble_is_the_mean(parts, model):
@@ -149,6 +235,17 @@ def test_forecasts_of_simple_series():
     flag = (t % 26 == 0).astype(float)
     out = forecast_trend_season(days[:160], season[:160], flag[:160], days[160:], flag[160:])
     np.testing.assert_allclose(out, season[160:], rtol=0.05)
+    for weeks, known in ((19, False), (20, True)):
+        assert np.isnan(forecast_trend_season(days[:weeks], season[:weeks], flag[:weeks], days[160:], flag[160:])).all() != known
+    capped = forecast_trend_season(days[:160], season[:160], flag[:160], days[160:], flag[160:], cap_factor=0.5)
+    assert capped.max() == pytest.approx(season[:160].max() / 2)
+
+
+@pytest.mark.parametrize(("weeks", "season", "fine"), [(9, 0, False), (10, 0, True), (124, 52, False), (125, 52, True)])
+def test_least_histories(weeks, season, fine):
+    y = 100 + 10 * np.sin(np.arange(weeks))
+    assert enough_for_arima(weeks, season) == fine
+    assert np.isnan(forecast_arima(y, 2, season)).all() != fine
 
 
 def test_series_fits_return_every_test_week(parts):
@@ -156,6 +253,7 @@ def test_series_fits_return_every_test_week(parts):
     for fit in (arima_forecast, seasonal_arima_forecast, trend_season_forecast):
         rows = fit(parts).cache()
         assert rows.count() == want
+        assert {r.Status for r in rows.collect()} <= {"ok", "too short"}
     # 69 training weeks are fewer than a season and 20 weeks.
     assert seasonal_arima_forecast(parts).where("Predicted is not null").count() == 0
     assert arima_forecast(parts, fit_on=("train", "val")).where("Predicted is null").count() == 0

@@ -5,24 +5,23 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfcast.names import FACTORS
-from shelfcast.operators import baselines, combine, evaluate, explain, features, learners, series_fit, uplift
+from shelfcast.operators import baselines, combine, evaluate, explain, features, learners, series_fit, series_trees, uplift
+from shelfcast.session import cut_lineage
 from shelfcast.sources.warehouse import TRAIN_END, VAL_END
-from workload.registry import query, rounded
+from workload.registry import once, query, rounded
 
-# Sizes of the fitted models in the registered queries. The operators' own defaults are the published settings.
-BOOSTING = learners.Boosting(20, 5, 0.1)
-TUNED = learners.Boosting(20, 7, 0.05, 0.8, 0.8)
-EARLY = learners.Boosting(30, 6, 0.05, 0.8, 0.8, early_stop=True)
-FOREST = learners.Forest(20, 10)
-NUISANCE = learners.Boosting(20, 6, 0.1, 0.8, 0.8)
-CAUSAL = learners.Forest(30, 12, 50)
 
+def study_parts(t):
+    """The gated, labelled fact with the search-interest columns: written once, shared by every fit and baseline."""
+    def make():
+        fact = features.build_fact(t.sales, t.features, t.stores, t.trends)
+        return cut_lineage(features.with_enough_history(features.label_split(fact, TRAIN_END, VAL_END), 50, features.SPLIT_MINIMA))
+
+    return once(t, "parts", make)
 
-def _parts(t, with_trends=False):
-    fact = features.build_fact(t.sales, t.features, t.stores, t.trends) if with_trends else t.fact
-    return features.with_enough_history(
-        features.label_split(fact, TRAIN_END, VAL_END), 50, features.SPLIT_MINIMA
-    )
+
+def _with_trends(parts):
+    return [*learners.MODEL_FEATURES, *combine.columns_containing(parts, "GoogleTrends")]
 
 
 def _train(parts):
@@ -33,63 +32,82 @@ def _test(parts):
     return parts.where("split = 'test'")
 
 
-@query("MDL5 EVL10")
+def global_boosting(t):
+    """One model over all series, with store and department as features."""
+    return once(t, "global boosting", lambda: learners.fit_boosting(_train(study_parts(t)), settings=learners.BASIC, written=True))
+
+
+_FORM = ("Store", "Dept", "Date", "Actual", "Predicted", "Model")
+
+
+@query("MDL5 EVL10 UDF4")
 def gbt_forecast(t):
-    parts = _parts(t)
-    return learners.predictions(learners.fit_boosting(_train(parts), settings=BOOSTING), _test(parts), "XGBoost")
+    return series_trees.series_models(study_parts(t), {"XGBoost": learners.BASIC}).select(*_FORM)
 
 
 @query("MDL5 PRJ7 JN3")
 def gbt_forecast_with_trends(t):
-    parts = _parts(t, with_trends=True)
-    used = [*learners.MODEL_FEATURES, *combine.columns_containing(parts, "GoogleTrends")]
-    model = learners.fit_boosting(_train(parts), used, TUNED)
-    return learners.predictions(model, _test(parts), "XGBoost Tuned", used)
+    parts = study_parts(t)
+    return series_trees.series_models(parts, {"XGBoost Tuned": learners.TUNED}, _with_trends(parts)).select(*_FORM)
 
 
 @query("MDL5")
 def gbt_forecast_early_stop(t):
-    parts = _parts(t)
-    model = learners.fit_boosting(parts.where("split in ('train', 'val')"), settings=EARLY)
-    return learners.predictions(model, _test(parts), "XGBoost Early Stop")
+    return series_trees.series_models(study_parts(t), {"XGBoost Early Stop": learners.EARLY_STOPPED}).select(*_FORM, "Trees")
 
 
 @query("MDL4 EVL10")
 def rf_forecast(t):
-    parts = _parts(t)
-    return learners.predictions(learners.fit_forest(_train(parts), settings=FOREST), _test(parts), "Random Forest")
+    return series_trees.series_models(study_parts(t), {"Random Forest": learners.SERIES_FOREST}).select(*_FORM)
+
+
+@query("MDL4")
+def global_rf_forecast(t):
+    parts = study_parts(t)
+    model = once(t, "global forest", lambda: learners.fit_forest(_train(parts), settings=learners.GLOBAL_FOREST, written=True))
+    return learners.predictions(model, _test(parts), "Random Forest")
+
+
+@query("MDL5")
+def global_gbt_forecast(t):
+    return learners.predictions(global_boosting(t), _test(study_parts(t)), "XGBoost")
+
+
+_SPAN = ("train", "val")
 
 
 @query("MDL6 SET1 EVL3 EVL4 EDA2")
 def full_league_table(t):
-    parts = _parts(t)
-    fit_rows = parts.where("split in ('train', 'val')")
-    gbt = learners.fit_boosting(fit_rows, settings=BOOSTING)
-    forest = learners.fit_forest(fit_rows, settings=FOREST)
-    test = _test(parts)
+    """Nine models over every series, all on the same span up to the test part."""
+    parts = study_parts(t)
     stacked = combine.stack([
-        baselines.baseline_forecasts(parts, history="full"),
-        learners.predictions(gbt, test, "XGBoost"),
-        learners.predictions(forest, test, "Random Forest"),
-        learners.average_of([gbt, forest], test),
-        series_fit.arima_forecast(parts, fit_on=("train", "val")),
-        series_fit.seasonal_arima_forecast(parts, fit_on=("train", "val")),
-        series_fit.trend_season_forecast(parts, fit_on=("train", "val")),
+        baselines.baseline_forecasts(parts, history="full", bridge="val", mean_of=_SPAN),
+        series_trees.series_models(
+            parts, {"XGBoost": learners.BASIC, "Random Forest": learners.SERIES_FOREST}, _with_trends(parts), _SPAN, ensemble="Ensemble"
+        ).select(*_FORM),
+        series_fit.arima_forecast(parts, fit_on=_SPAN),
+        series_fit.seasonal_arima_forecast(parts, fit_on=_SPAN),
+        series_fit.trend_season_forecast(parts, fit_on=_SPAN),
     ])
     return evaluate.league_table(stacked, t.stores)
 
 
+def _ensemble(t):
+    return series_trees.series_models(
+        study_parts(t), {"XGBoost": learners.BASIC, "Random Forest": learners.SERIES_FOREST}, ensemble="Ensemble"
+    )
+
+
 @query("MDL6")
 def ensemble_forecast(t):
-    parts = _parts(t)
-    models = [learners.fit_boosting(_train(parts), settings=BOOSTING), learners.fit_forest(_train(parts), settings=FOREST)]
-    return learners.average_of(models, _test(parts))
+    return _ensemble(t).where("Model = 'Ensemble'").select(*_FORM)
 
 
 def _hybrid(t):
-    parts = _parts(t)
-    model = learners.fit_boosting(_train(parts), settings=BOOSTING)
-    scored = learners.score(model, parts.where("split in ('val', 'test')"))
+    """The learned model of the hybrid is fitted on the training part alone, so the validation part can judge it."""
+    parts = study_parts(t)
+    learned = series_trees.series_models(parts, {"XGBoost": learners.HYBRID}, _with_trends(parts), predict_on=("val", "test"))
+    scored = learned.withColumnRenamed("Actual", "Weekly_Sales").drop("Model", "Trees")
     return learners.hybrid_wide(parts, scored, t.profile)
 
 
@@ -104,7 +122,7 @@ def hybrid_results(t):
 
 
 # The selection rules alone, with a stand-in for the learned model (the train mean), are expressible in SQL.
-@query("MDL7 MTH3 UDF4", """
+@query("MDL7 MTH3", """
 WITH learned AS (SELECT *, AVG(CASE WHEN split = 'train' THEN Weekly_Sales END) OVER (PARTITION BY Store, Dept) * 1.1::DOUBLE AS p FROM split),
 gate AS (SELECT Store, Dept, COALESCE(AVG(ABS(Weekly_Sales - p)) FILTER (split = 'val') / AVG(Weekly_Sales) FILTER (split = 'val') * 100 < 50, FALSE) AS ok,
   LEAST(0.9::DOUBLE, STDDEV_SAMP(Weekly_Sales) FILTER (split = 'train') / AVG(Weekly_Sales) FILTER (split = 'train')) AS w FROM learned GROUP BY ALL),
@@ -138,30 +156,30 @@ def trend_season_forecast(t):
     return series_fit.trend_season_forecast(t.gated)
 
 
+def _scenarios(t):
+    """Next week of every series under a holiday and without, with each factor's last known value."""
+    latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("Date"))).alias(c)
+    last = study_parts(t).groupBy("Store", "Dept").agg(*[latest(c) for c in (*FACTORS, "Size")])
+    return last.withColumn("IsHoliday", F.explode(F.array(F.lit(0), F.lit(1))))
+
+
 @query("MDL12 SRC5")
 def scenario_scoring(t):
-    """Next week of every series, with the store's last known factors, under a holiday and without."""
-    parts = _parts(t)
-    model = learners.fit_boosting(_train(parts), settings=BOOSTING)
-    known = parts.where(F.col("Temperature").isNotNull())
-    last = known.groupBy("Store", "Dept").agg(
-        *[F.max_by(c, "Date").alias(c) for c in (*FACTORS, "Size")]
-    )
-    scenarios = last.withColumn("IsHoliday", F.explode(F.array(F.lit(0), F.lit(1))))
-    return learners.scenario_scores(model, scenarios)
+    return learners.scenario_scores(global_boosting(t), _scenarios(t))
 
 
 @query("XPL1 AGG28")
 def model_importance(t):
-    parts = _parts(t)
-    model = learners.fit_boosting(_train(parts), settings=BOOSTING)
-    return explain.model_importance(t.spark, model, learners.MODEL_FEATURES)
+    return explain.model_importance(t.spark, global_boosting(t), learners.MODEL_FEATURES)
+
+
+@query("XPL2 XPL1")
+def series_model_importance(t):
+    return explain.with_store_type(series_trees.series_importance(study_parts(t), learners.BASIC), t.stores)
 
 
 def _importance(t):
-    parts = _parts(t)
-    model = learners.fit_boosting(_train(parts), settings=BOOSTING)
-    return explain.permutation_importance(model, _test(parts))
+    return explain.permutation_importance(global_boosting(t), _test(study_parts(t)))
 
 
 @query("XPL2")
@@ -192,18 +210,22 @@ def mean_factor_importance(t):
 
 
 def _residuals(t):
-    return uplift.cross_fit_residuals(uplift.uplift_rows(t.fact), settings=NUISANCE)
+    return once(t, "residuals", lambda: cut_lineage(uplift.cross_fit_residuals(uplift.uplift_rows(t.fact))))
+
+
+def _uplift(t):
+    return once(t, "uplift", lambda: uplift.causal_uplift(_residuals(t)))
 
 
 @query("UPL1 CLN3")
 def dml_uplift(t):
-    effects, _ = uplift.causal_uplift(_residuals(t), settings=CAUSAL)
+    effects, _ = _uplift(t)
     return effects.select("Store", "Dept", "Date", *uplift.CONTROLS, "Weekly_Sales", "Holiday_Uplift")
 
 
 @query("UPL1 XPL1")
 def uplift_importance(t):
-    _, model = uplift.causal_uplift(_residuals(t), settings=CAUSAL)
+    _, model = _uplift(t)
     return explain.model_importance(t.spark, model, uplift.CONTROLS)
 
 
@@ -214,7 +236,7 @@ def average_holiday_effect(t):
 
 @query("UPL3 AGG29")
 def uplift_rollups(t):
-    effects, _ = uplift.causal_uplift(_residuals(t), settings=CAUSAL)
+    effects, _ = _uplift(t)
     return uplift.uplift_rollups(effects)
 
 
@@ -228,9 +250,13 @@ def holiday_sales_rollups(t):
 
 
 def _what_if(t):
-    rows = features.quantile_date_split(uplift.what_if_rows(t.fact))
-    model = learners.fit_boosting(rows.where("split = 'train'"), learners.UPLIFT_FEATURES, NUISANCE)
-    return model, rows.where("split = 'test'")
+    """(model, test rows) of the what-if study: one boosted model over all rows up to the date quantile."""
+    def make():
+        rows = cut_lineage(features.quantile_date_split(uplift.what_if_rows(t.fact)))
+        model = learners.fit_boosting(rows.where("split = 'train'"), learners.UPLIFT_FEATURES, learners.WHAT_IF, written=True)
+        return model, rows.where("split = 'test'")
+
+    return once(t, "what-if", make)
 
 
 @query("UPL4 SPL2 RSH2")
@@ -254,3 +280,115 @@ def shapley_values(t):
     model, test = _what_if(t)
     used = learners.UPLIFT_FEATURES
     return explain.shapley_with_features(explain.shapley_values(model, test, used), test, used)
+
+
+# What every fitted model must satisfy, whatever its numbers; the right-hand sides need no model.
+_GATED = """gated AS (SELECT * FROM split WHERE (Store, Dept) IN (SELECT (Store, Dept) FROM split GROUP BY Store, Dept
+  HAVING COUNT(*) >= 50 AND COUNT(*) FILTER (split = 'train') >= 20 AND COUNT(*) FILTER (split = 'val') >= 10 AND COUNT(*) FILTER (split = 'test') >= 10))"""
+
+
+@query("MDL4 UDF4", f"""WITH {_GATED}
+SELECT Store, Dept, COUNT(*) AS Weeks, MIN(Date) AS First, MAX(Date) AS Last, ROUND(SUM(Weekly_Sales), 2) AS Actual, TRUE AS Inside
+FROM gated WHERE split = 'test' GROUP BY ALL""")
+def forest_stays_inside(t):
+    """A forest's prediction is a mean of training values, so it lies in their range; one for each test week."""
+    parts = study_parts(t)
+    span = _train(parts).groupBy("Store", "Dept").agg(F.min("Weekly_Sales").alias("low"), F.max("Weekly_Sales").alias("high"))
+    found = series_trees.series_models(parts, {"Random Forest": learners.SERIES_FOREST}).join(span, ["Store", "Dept"])
+    inside = F.col("Predicted").between(F.col("low") - 1e-6, F.col("high") + 1e-6)
+    return found.groupBy("Store", "Dept").agg(
+        F.count("Predicted").alias("Weeks"), F.min("Date").alias("First"), F.max("Date").alias("Last"),
+        F.round(F.sum("Actual"), 2).alias("Actual"), F.coalesce(F.every(inside), F.lit(False)).alias("Inside"),
+    )
+
+
+@query("MDL6 UDF4", f"""WITH {_GATED}
+SELECT Store, Dept, Date, 3::BIGINT AS Models, TRUE AS Is_Mean FROM gated WHERE split = 'test'""")
+def ensemble_is_mean_ofstudy_parts(t):
+    value = lambda m: F.max(F.when(F.col("Model") == m, F.col("Predicted")))
+    off = F.abs(value("Ensemble") - (value("XGBoost") + value("Random Forest")) / 2)
+    return _ensemble(t).groupBy("Store", "Dept", "Date").agg(F.count("Predicted").alias("Models"), (off < 1e-6).alias("Is_Mean"))
+
+
+@query("MDL5 UDF4", f"""WITH {_GATED}
+SELECT Store, Dept, Model, COUNT(*) AS Weeks, TRUE AS Trees_Fit FROM gated, (VALUES ('XGBoost'), ('XGBoost Tuned'), ('XGBoost Early Stop')) m(Model)
+WHERE split = 'test' GROUP BY ALL""")
+def boosting_variants_coverage(t):
+    """Every variant predicts every test week; the plain ones keep all their trees, early stopping keeps at most its limit."""
+    models = {"XGBoost": learners.BASIC, "XGBoost Tuned": learners.TUNED, "XGBoost Early Stop": learners.EARLY_STOPPED}
+    most = F.element_at(F.create_map(*[F.lit(x) for n, m in models.items() for x in (n, m.trees)]), F.col("Model"))
+    fits = F.when(F.col("Model") == "XGBoost Early Stop", F.col("Trees").between(1, most)).otherwise(F.col("Trees") == most)
+    found = series_trees.series_models(study_parts(t), models)
+    return found.groupBy("Store", "Dept", "Model").agg(F.count("Predicted").alias("Weeks"), F.every(fits).alias("Trees_Fit"))
+
+
+@query("MDL8 MDL9 MDL10 UDF4", f"""WITH {_GATED}, long AS (SELECT Store, Dept, COUNT(*) FILTER (split = 'train') AS n, COUNT(*) FILTER (split = 'test') AS w FROM gated GROUP BY ALL)
+SELECT Model, Status, COUNT(*) AS Series, CAST(SUM(w) AS BIGINT) AS Weeks FROM (
+  SELECT 'ARIMA' AS Model, CASE WHEN n >= 10 THEN 'ok' ELSE 'too short' END AS Status, w FROM long
+  UNION ALL SELECT 'SARIMA', CASE WHEN n - 53 >= 72 THEN 'ok' ELSE 'too short' END, w FROM long
+  UNION ALL SELECT 'Prophet', CASE WHEN n >= 20 THEN 'ok' ELSE 'too short' END, w FROM long) GROUP BY ALL""")
+def series_fit_status(t):
+    parts = study_parts(t)
+    return series_fit.fit_status(combine.stack([f(parts) for f in (series_fit.arima_forecast, series_fit.seasonal_arima_forecast, series_fit.trend_season_forecast)]))
+
+
+@query("MDL12", f"""WITH {_GATED}
+SELECT DISTINCT Store, Dept, h AS IsHoliday, TRUE AS Scored FROM gated, (VALUES (0), (1)) v(h)""")
+def scenario_coverage(t):
+    scored = learners.scenario_scores(global_boosting(t), _scenarios(t))
+    return scored.select("Store", "Dept", "IsHoliday", F.col("Predicted").isNotNull().alias("Scored"))
+
+
+@query("XPL1 XPL2 UDF4", f"""WITH {_GATED}
+SELECT DISTINCT Store, Dept, 8::BIGINT AS Features, TRUE AS Sums_Up FROM gated""")
+def importance_shares(t):
+    """The shares of a series' own model add up to 1, or are all 0."""
+    found = series_trees.series_importance(study_parts(t), learners.BASIC)
+    total = F.sum("Importance")
+    return found.groupBy("Store", "Dept").agg(F.count("Importance").alias("Features"), ((F.abs(total - 1) < 1e-9) | (total == 0)).alias("Sums_Up"))
+
+
+_WHAT_IF = f"""lagged AS (SELECT *, LAG(Weekly_Sales, 4) OVER w AS lag4, LAG(Weekly_Sales) OVER w AS lag1 FROM fact WINDOW w AS (PARTITION BY Store, Dept ORDER BY Date)),
+complete AS (SELECT * FROM lagged WHERE lag4 IS NOT NULL AND lag1 IS NOT NULL AND Temperature IS NOT NULL AND Fuel_Price IS NOT NULL AND CPI IS NOT NULL AND Unemployment IS NOT NULL AND Size IS NOT NULL),
+cut AS (SELECT quantile_cont(epoch(CAST(Date AS TIMESTAMP)) / 86400, 0.8) AS at FROM complete)"""
+
+
+@query("UPL4 XPL4", f"""WITH {_WHAT_IF}
+SELECT Store, Dept, Date, TRUE AS Is_Difference FROM complete, cut WHERE epoch(CAST(Date AS TIMESTAMP)) / 86400 > at""")
+def whatif_coverage(t):
+    model, test = _what_if(t)
+    found = uplift.what_if_uplift(model, test)
+    off = F.abs(F.col("Holiday_Uplift") - (F.col("With_Holiday") - F.col("Without_Holiday")))
+    return found.select("Store", "Dept", "Date", (off < 1e-9).alias("Is_Difference"))
+
+
+@query("XPL4", f"""WITH {_WHAT_IF}
+SELECT Store, Dept, COUNT(*) AS Rows, TRUE AS Adds_Up FROM complete, cut WHERE epoch(CAST(Date AS TIMESTAMP)) / 86400 > at GROUP BY ALL""")
+def shapley_additivity(t):
+    """A row's Shapley values add up to its prediction minus that of the mean row."""
+    model, test = _what_if(t)
+    shap = explain.shapley_values(model, test, learners.UPLIFT_FEATURES)
+    total = sum((F.col(f"Shap_{f}") for f in learners.UPLIFT_FEATURES[1:]), F.col(f"Shap_{learners.UPLIFT_FEATURES[0]}"))
+    off = F.abs(total - (F.col("Predicted") - F.col("Baseline")))
+    return shap.groupBy("Store", "Dept").agg(F.count(F.lit(1)).alias("Rows"), (F.max(off) < 1e-4).alias("Adds_Up"))
+
+
+@query("UPL1", f"""WITH {_WHAT_IF}
+SELECT Store, Dept, COUNT(*) AS Rows, COUNT(*) AS Known FROM complete GROUP BY ALL""")
+def dml_coverage(t):
+    effects, _ = _uplift(t)
+    known = F.count_if(F.col("Holiday_Uplift").isNotNull() & ~F.isnan("Holiday_Uplift"))
+    return effects.groupBy("Store", "Dept").agg(F.count(F.lit(1)).alias("Rows"), known.alias("Known"))
+
+
+@query("UPL2", """WITH r AS (SELECT Store, Weekly_Sales - AVG(Weekly_Sales) OVER (PARTITION BY Store) AS y, IsHoliday - AVG(IsHoliday) OVER (PARTITION BY Store) AS t FROM fact),
+e AS (SELECT SUM(y * t) / SUM(t * t) AS effect, SUM(t * t) AS info, COUNT(*) AS n FROM r),
+m AS (SELECT SQRT(SUM(s * s)) AS root FROM (SELECT Store, SUM(t * (y - effect * t)) AS s FROM r, e GROUP BY Store))
+SELECT ROUND(effect, 4) AS Effect, ROUND(root / info, 4) AS Std_Error, ROUND(effect - 1.96::DOUBLE * root / info, 3) AS Lower, ROUND(effect + 1.96::DOUBLE * root / info, 3) AS Upper, n AS Rows FROM e, m""")
+def average_effect_of_plain_residuals(t):
+    """The interval on residuals that need no model: what is left of sales and holidays within the store."""
+    means = t.fact.groupBy("Store").agg(F.avg("Weekly_Sales").alias("_y"), F.avg("IsHoliday").alias("_t"))
+    rest = t.fact.join(means, "Store").select(
+        "Store", (F.col("Weekly_Sales") - F.col("_y")).alias("_y_res"), (F.col("IsHoliday") - F.col("_t")).alias("_t_res")
+    )
+    return rounded(uplift.average_effect(rest, cluster="Store"), Effect=4, Std_Error=4, Lower=3, Upper=3)

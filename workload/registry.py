@@ -86,6 +86,20 @@ class Tables:
         return inventory.inventory_impact(self.results, self.sales, self.profile)
 
 
+_ONCE: dict[tuple[str, str, str], object] = {}
+
+
+def once(t: Tables, name: str, make: Callable[[], object]):
+    """What several queries over one folder share (a written training table, a fitted model), made by the first of them.
+
+    Kept for the life of the Spark application; the tables of a folder must not change meanwhile.
+    """
+    key = (t.spark.sparkContext.applicationId, t.raw.base, name)
+    if key not in _ONCE:
+        _ONCE[key] = make()
+    return _ONCE[key]
+
+
 @dataclass(frozen=True)
 class Query:
     name: str
