@@ -150,16 +150,27 @@ def describe_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     )
 
 
-def profile_table(df: DataFrame, numeric: Sequence[str], date: str | None = DATE) -> DataFrame:
-    """Shape, types, missing values, distinct counts and date range of a table, as (metric, column, value) text."""
+def profile_table(df: DataFrame, numeric: Sequence[str], date: str | None = DATE, exact: bool = True) -> DataFrame:
+    """Shape, types, missing values, distinct counts and date range of a table, as (metric, column, value) text.
+
+    Distinct counts are exact: each column's values are grouped in the tasks, then over all. ``exact`` off estimates them
+    in the one pass that counts the rest.
+    """
     cols = df.columns
     types = dict(df.dtypes)
     aggs = [F.count(F.lit(1)).alias("rows")]
     aggs += [F.count_if(F.col(c).isNull()).alias(f"missing|{c}") for c in cols]
-    aggs += [F.approx_count_distinct(c).alias(f"distinct|{c}") for c in cols if c not in numeric]
+    counted = [c for c in cols if c not in numeric]
+    if not exact:
+        aggs += [F.approx_count_distinct(c).alias(f"distinct|{c}") for c in counted]
     if date:
         aggs += [F.min(date).alias("first"), F.max(date).alias("last")]
     one = df.agg(*aggs)
+    if exact and counted:
+        values = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).cast("string").alias("_v")) for i, c in enumerate(counted)])))
+        sizes = values.where(F.col("_v").isNotNull()).distinct().groupBy("_c").agg(F.count(F.lit(1)).alias("_n"))
+        wide = sizes.agg(*[F.coalesce(F.max(F.when(F.col("_c") == i, F.col("_n"))), F.lit(0)).alias(f"distinct|{c}") for i, c in enumerate(counted)])
+        one = attach_scalars(one, wide)
     text = lambda c: F.col(f"`{c}`").cast("string")
     row = lambda metric, column, value: F.struct(
         F.lit(metric).alias("metric"), F.lit(column).alias("column"), value.alias("value")

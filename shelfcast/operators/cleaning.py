@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import StringIndexer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from shelfcast.functions.quantiles import attach_scalars
 from shelfcast.names import DATE, HOLIDAY, KEYS, MARKDOWNS, TARGET
 
 
@@ -38,11 +38,28 @@ def bool_to_int(df: DataFrame, cols: Sequence[str] = (HOLIDAY,)) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("int") for c in cols})
 
 
-def label_encode(df: DataFrame, col: str, out: str):
-    """Alphabetical integer codes of a column; returns the frame and the fitted encoder."""
-    as_text = df.withColumn(col, F.col(col).cast("string"))
-    model = StringIndexer(inputCol=col, outputCol=out, stringOrderType="alphabetAsc", handleInvalid="keep").fit(as_text)
-    return model.transform(as_text).withColumn(out, F.col(out).cast("int")), model
+def label_codes(df: DataFrame, col: str, out: str) -> DataFrame:
+    """The encoder as a table: each distinct label with its place in alphabetical order, from 0. NULL has no code."""
+    labels = df.select(F.col(col).cast("string").alias(col)).where(F.col(col).isNotNull()).distinct()
+    # Places in the whole order: the labels before a label's first character, and its place among those that share it.
+    head = F.substring(col, 1, 1)
+    before = Window.orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)
+    heads = labels.groupBy(head.alias("_head")).agg(F.count(F.lit(1)).alias("_n"))
+    heads = heads.select("_head", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    ranked = labels.withColumn("_head", head)
+    ranked = ranked.withColumn("_place", F.row_number().over(Window.partitionBy("_head").orderBy(col)) - 1)
+    return ranked.join(heads, "_head").select(col, (F.col("_before") + F.col("_place")).cast("int").alias(out))
+
+
+def label_encode(df: DataFrame, col: str, out: str, codes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Alphabetical integer codes of a column, and the table of codes, which can be stored and given again.
+
+    A label that the given codes lack gets the number of codes.
+    """
+    codes = label_codes(df, col, out) if codes is None else codes
+    size = codes.agg(F.count(F.lit(1)).cast("int").alias("_size"))
+    coded = df.withColumn(col, F.col(col).cast("string")).join(codes, col, "left")
+    return attach_scalars(coded, size).withColumn(out, F.coalesce(out, "_size")).drop("_size"), codes
 
 
 def missing_report(df: DataFrame) -> DataFrame:

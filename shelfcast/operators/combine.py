@@ -152,7 +152,11 @@ def apply_filters(
     depts: Sequence[int] | None = None,
     holiday: bool | None = None,
 ) -> DataFrame:
-    """The dashboard's filter set; every filter is optional and reaches the scan."""
+    """The dashboard's filter set; every filter is optional.
+
+    On a stored weekly table the filters reach the scan. On weeks that are summed from lines, bounds on dates and
+    departments are given to ``Warehouse.sales`` too, which turns them into bounds on the stored columns.
+    """
     if date_from:
         df = df.where(F.col(DATE) >= F.to_date(F.lit(date_from)))
     if date_to:

@@ -53,7 +53,7 @@ def build_fact(sales: DataFrame, features: DataFrame, stores: DataFrame, trends:
     if trends is None:
         return fact
     cols = [c for c in trends.columns if c.startswith(TREND_PREFIX)]
-    weeks = fact.select(week_sunday(DATE).alias(DATE)).distinct()
+    weeks = sales.select(week_sunday(DATE).alias(DATE)).distinct()
     filled = fill_trends_on_calendar(trends.drop("YearWeek"), weeks, cols)
     return join_trends(fact, filled).withColumn("YearWeek", year_week(DATE))
 

@@ -80,9 +80,9 @@ def label_causes(scored: DataFrame, threshold: float = 2.0) -> DataFrame:
     )
 
 
-def outlier_causes(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """From the fact table straight to labelled outlier weeks."""
-    return label_causes(factor_scores(weekly_outliers(df, keys)))
+def outlier_causes(df: DataFrame, keys: Sequence[str] = KEYS, few_stores: bool = False) -> DataFrame:
+    """From the fact table straight to labelled outlier weeks. ``few_stores``: their number is known to be small."""
+    return label_causes(factor_scores(weekly_outliers(df, keys), few_stores=few_stores))
 
 
 def cause_distribution(
@@ -222,3 +222,9 @@ def kind_sales(df: DataFrame, levels: DataFrame, keys: Sequence[str] = KEYS, tar
     """Sales rows labelled by whether their series is outlying: the input of the distribution comparison."""
     kinds = levels.select(*keys, F.when(F.col("Is_Outlier"), "Outlier Dept").otherwise("Normal Dept").alias("Type"))
     return df.select(*keys, F.col(target).alias("Sales")).join(kinds, list(keys)).select("Type", *keys, "Sales")
+
+
+def sampled_sales(df: DataFrame, levels: DataFrame, seed: int = 42, keys: Sequence[str] = KEYS, target: str = TARGET) -> DataFrame:
+    """Sales rows of the one outlying and the one normal series of ``contrast_sample``: the pair's distributions."""
+    picked = contrast_sample(levels, seed).select(F.col("Kind").alias("Type"), *keys)
+    return df.select(*keys, F.col(target).alias("Sales")).join(picked, list(keys)).select("Type", *keys, "Sales")

@@ -22,14 +22,9 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
 
-def export_csv(df: DataFrame, path: str, single_file_rows: int = 1_000_000) -> bool:
-    """Export for download: one file while the table is small, a folder of parts beyond that.
-
-    Returns whether a single file was written.
-    """
-    small = df.limit(single_file_rows + 1).count() <= single_file_rows
-    write_csv(df.coalesce(1) if small else df, path)
-    return small
+def export_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
+    """Export for download: a folder of parts, or one file if the caller asks for it (then one task writes all rows)."""
+    write_csv(df.coalesce(1) if single_file else df, path)
 
 
 def save_model(model: MLWritable, path: str) -> None:

@@ -7,6 +7,8 @@ choice of the optimizer: part, supplier and customer grow with the data.
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,6 +39,12 @@ def _net_price() -> Column:
     return hundredths("l_extendedprice") * (F.lit(100) - hundredths("l_discount"))
 
 
+def first_monday(day: str, after: bool = False) -> dt.date:
+    """The first Monday on ``day`` or later; with ``after`` the first one later than ``day``."""
+    start = dt.date.fromisoformat(day) + dt.timedelta(days=int(after))
+    return start + dt.timedelta(days=-start.weekday() % 7)
+
+
 @dataclass(frozen=True)
 class Warehouse:
     """Lazy access to the retail tables of one data folder."""
@@ -47,30 +55,43 @@ class Warehouse:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.base}/{name}.parquet")
 
-    def _lines(self, amount: Column) -> DataFrame:
-        lines = self.table("lineitem").select(
-            "l_partkey", "l_suppkey", week_monday(F.col("l_shipdate").cast("date")).alias("Date"), amount.alias("_amount")
-        )
-        part = self.table("part").select("p_partkey", _dept(F.col("p_type")).alias("Dept"))
+    def _lines(self, amount: Column, date_from: str | None, date_to: str | None, depts: Sequence[int] | None) -> DataFrame:
+        """Lines with their week, store and department. Bounds on weeks and departments become bounds on the stored
+        columns, so that Parquet row groups outside them are not read."""
+        lines, part = self.table("lineitem"), self.table("part")
+        shipped = lambda day: F.lit(day.isoformat()).cast(lines.schema["l_shipdate"].dataType)
+        if date_from:
+            lines = lines.where(F.col("l_shipdate") >= shipped(first_monday(date_from)))
+        if date_to:
+            lines = lines.where(F.col("l_shipdate") < shipped(first_monday(date_to, after=True)))
+        if depts:
+            part = part.where(F.col("p_type").isin([PRODUCT_TYPES[d - 1] for d in depts if 1 <= d <= len(PRODUCT_TYPES)]))
+        lines = lines.select("l_partkey", "l_suppkey", week_monday(F.col("l_shipdate").cast("date")).alias("Date"), amount.alias("_amount"))
+        part = part.select("p_partkey", _dept(F.col("p_type")).alias("Dept"))
         supplier = self.table("supplier").select("s_suppkey", F.col("s_nationkey").alias("Store"))
         return lines.join(part, F.col("l_partkey") == F.col("p_partkey")).join(
             supplier, F.col("l_suppkey") == F.col("s_suppkey")
         )
 
-    def _weekly(self, amount: Column) -> DataFrame:
+    def _weekly(
+        self, amount: Column, date_from: str | None = None, date_to: str | None = None, depts: Sequence[int] | None = None
+    ) -> DataFrame:
         # Known keys are demanded here, at the scans: joins on them then add no filter of their own, and
         # every use of the table in a query shares one shuffle.
         return (
-            self._lines(amount)
+            self._lines(amount, date_from, date_to, depts)
             .where("Store is not null and Dept is not null and Date is not null")
             .groupBy("Store", "Dept", "Date")
             .agg(exact_total("_amount", 4).alias("Weekly_Sales"))
             .withColumn("IsHoliday", is_holiday_week("Date"))
         )
 
-    def sales(self) -> DataFrame:
-        """Weekly sales per (Store, Dept, Date); the grain bounds every series by its number of weeks."""
-        return self._weekly(_net_price())
+    def sales(self, date_from: str | None = None, date_to: str | None = None, depts: Sequence[int] | None = None) -> DataFrame:
+        """Weekly sales per (Store, Dept, Date); the grain bounds every series by its number of weeks.
+
+        The optional bounds keep whole weeks (Date from ``date_from`` to ``date_to``) and departments, at the scan.
+        """
+        return self._weekly(_net_price(), date_from, date_to, depts)
 
     def sales_net(self) -> DataFrame:
         """The same with returned lines counted negative, so some weeks are below zero."""

@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfcast import schemas
-from shelfcast.operators import cleaning, combine, features
+from shelfcast.operators import aggregates, cleaning, combine, features
 from shelfcast.plans.prepare import prepare_fact
 from shelfcast.sources import readers, sinks
+from shelfcast.sources.warehouse import first_monday
 
 
 @pytest.fixture
@@ -76,9 +77,10 @@ def test_sinks_round_trip(spark, tmp_path):
     assert readers.read_parquet(spark, str(tmp_path / "t")).count() == 10
     sinks.write_csv(df, str(tmp_path / "c"))
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).columns == ["id", "x"]
-    assert sinks.export_csv(df.repartition(4), str(tmp_path / "one"))
+    sinks.export_csv(df.repartition(4), str(tmp_path / "one"), single_file=True)
     assert len([f for f in os.listdir(tmp_path / "one") if f.endswith(".csv")]) == 1
-    assert not sinks.export_csv(df.repartition(4), str(tmp_path / "many"), single_file_rows=3)
+    sinks.export_csv(df.repartition(4), str(tmp_path / "many"))
+    assert len([f for f in os.listdir(tmp_path / "many") if f.endswith(".csv")]) > 1
     assert spark.read.option("header", True).csv(str(tmp_path / "many")).count() == 10
 
 
@@ -146,3 +148,45 @@ def test_standardise_uses_training_rows(spark):
     test = spark.createDataFrame([(5.0, 6.0)], "a double, b double")
     row = features.standardise(test, ["a", "b"], fit_on=train).first()
     assert (row.a, row.b) == (3.0, 1.0)
+
+
+def test_labels_get_their_alphabetical_place(spark):
+    labels = ["b", "a", None, "ab", "é", "", "B", "b"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(labels)], "i int, label string")
+    encoded, codes = cleaning.label_encode(df, "label", "code")
+    order = sorted({x for x in labels if x is not None}, key=lambda x: x.encode())
+    assert {r.label: r.code for r in codes.collect()} == {x: k for k, x in enumerate(order)}
+    got = {r.i: r.code for r in encoded.collect()}
+    assert got == {i: order.index(x) if x is not None else len(order) for i, x in enumerate(labels)}
+    later = spark.createDataFrame([("a",), ("new",)], "label string")
+    assert {r.label: r.code for r in cleaning.label_encode(later, "label", "code", codes)[0].collect()} == {"a": order.index("a"), "new": len(order)}
+
+
+def test_profile_counts_distinct_values_exactly(spark):
+    df = spark.createDataFrame([(1, None, 1.0), (2, "x", 2.0), (2, "y", 3.0)], "a int, b string, v double")
+    got = {(r.metric, r.column): r.value for r in aggregates.profile_table(df, ["v"], date=None).collect()}
+    assert (got["distinct", "a"], got["distinct", "b"], got["missing", "b"]) == ("2", "2", "1")
+
+
+@pytest.mark.parametrize(("day", "first", "later"), [("2024-01-01", "2024-01-01", "2024-01-08"), ("2024-01-02", "2024-01-08", "2024-01-08"), ("2024-01-07", "2024-01-08", "2024-01-08")])
+def test_bounds_of_weeks(day, first, later):
+    assert first_monday(day).isoformat() == first
+    assert first_monday(day, after=True).isoformat() == later
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from shelfcast.session import ensure_checkpoint_dir
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    for master, fine in (("local[4]", True), ("local", True), ("local-cluster[2,1,1024]", False), ("spark://x:7077", False)):
+        made = []
+        context = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: conf, master=master, setCheckpointDir=made.append)
+        fake = SimpleNamespace(sparkContext=context, conf=conf)
+        if fine:
+            ensure_checkpoint_dir(fake)
+            assert made
+        else:
+            with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+                ensure_checkpoint_dir(fake)

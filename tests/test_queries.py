@@ -31,11 +31,20 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_no_cross_join_and_python_only_for_tail_probabilities(spark, data_dir):
+def test_no_cross_join_and_python_only_for_fits_and_tail_probabilities(spark, data_dir):
     for name in CHECKED:
         text = plan_of(QUERIES[name](spark, data_dir))
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
-        assert bool(re.search("Python|Pandas", text)) == (name == "factor_ttest"), name
+        assert bool(re.search("Python|Pandas", text)) == (name == "factor_ttest" or "UDF4" in QUERIES[name].covers), name
+
+
+def test_bounds_reach_the_scan(spark, data_dir):
+    text = plan_of(QUERIES["filtered_sales"](spark, data_dir))
+    pushed = re.findall(r"PushedFilters: \[([^\]]*)\]", text)
+    assert any("GreaterThanOrEqual(l_shipdate" in p and "LessThan(l_shipdate" in p for p in pushed)
+    assert any("In(p_type" in p for p in pushed)
+    text = plan_of(QUERIES["one_series"](spark, data_dir))
+    assert re.search(r"PushedFilters: \[[^\]]*p_type", text)
 
 
 def test_scan_reads_only_what_is_needed_and_filters_early(spark, data_dir):
@@ -55,12 +64,10 @@ INVENTORY = {
     "SET": 4, "RSH": 2, "DT": 10, "MTH": 4, "CND": 2, "STR": 4, "UDF": 5, "PRF": 6, "OUT": 10, "FTR": 4, "MDL": 13,
     "EVL": 10, "IMP": 4, "UPL": 4, "XPL": 4, "EDA": 5,
 }
-# Files, models and caches are exercised in test_cleaning_and_sources and test_learners_and_explanations.
-BY_TESTS = {"SRC2", "SRC3", "SNK1", "SNK2", "SNK3", "SNK4"}
 
 
 def test_every_inventory_row_is_exercised():
-    covered = {c for q in QUERIES.values() for c in q.covers} | BY_TESTS
+    covered = {c for q in QUERIES.values() for c in q.covers}
     wanted = {f"{k}{i}" for k, n in INVENTORY.items() for i in range(1, n + 1)}
     assert wanted - covered == set()
 

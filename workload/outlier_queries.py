@@ -133,6 +133,29 @@ def outlier_contrast_boxes(t):
     return rounded(box_summary(rows, "Sales", ("Type",), few=True), Q1=6, Median=6, Q3=6)
 
 
+@query("OUT10 SMP1 AGG25", """WITH picked AS (SELECT *, CASE WHEN Is_Outlier THEN 'Outlier Dept' ELSE 'Normal Dept' END AS Type FROM levels
+    QUALIFY ROW_NUMBER() OVER (PARTITION BY Is_Outlier ORDER BY md5('42|' || Store || '|' || Dept), Store, Dept) = 1),
+rows AS (SELECT Type, s.Store, s.Dept, s.Weekly_Sales FROM sales s JOIN picked p ON s.Store = p.Store AND s.Dept = p.Dept),
+quart AS (SELECT Type, Store, Dept, quantile_cont(Weekly_Sales, 0.25) AS Q1, MEDIAN(Weekly_Sales) AS Median, quantile_cont(Weekly_Sales, 0.75) AS Q3 FROM rows GROUP BY ALL),
+f AS (SELECT rows.*, Q1, Median, Q3, Weekly_Sales BETWEEN Q1 - 1.5::DOUBLE * (Q3 - Q1) AND Q3 + 1.5::DOUBLE * (Q3 - Q1) AS inside FROM rows JOIN quart USING (Type, Store, Dept))
+SELECT Type, Store, Dept, ROUND(MAX(Q1), 6) AS Q1, ROUND(MAX(Median), 6) AS Median, ROUND(MAX(Q3), 6) AS Q3, MIN(Weekly_Sales) FILTER (inside) AS Lower_Whisker,
+  MAX(Weekly_Sales) FILTER (inside) AS Upper_Whisker, COUNT(*) FILTER (NOT inside) AS Outliers, COUNT(*) AS Count FROM f GROUP BY ALL""")
+def sampled_pair_boxes(t):
+    """The distributions of the one outlying and the one normal department that were sampled."""
+    from shelfcast.functions.quantiles import box_summary
+
+    rows = outliers.sampled_sales(t.sales, t.levels)
+    return rounded(box_summary(rows, "Sales", ("Type", "Store", "Dept"), few=True), Q1=6, Median=6, Q3=6)
+
+
+@query("OUT3", """SELECT Store, Dept, Date, Weekly_Sales, ROUND(q, 6) AS P99 FROM sales JOIN (SELECT Store, Dept, quantile_cont(Weekly_Sales, 0.5) AS q FROM sales GROUP BY ALL) USING (Store, Dept)
+    WHERE Weekly_Sales > 1.2::DOUBLE * q""")
+def weeks_over_median(t):
+    """Extreme weeks by a lower bar, which some weeks pass."""
+    found = outliers.extreme_weeks(t.sales, q=0.5, factor=1.2)
+    return rounded(found.select("Store", "Dept", "Date", "Weekly_Sales", "P99"), P99=6)
+
+
 @query("AGG32 JN8 JN9", """SELECT ROUND(o, 4) AS Outlier_Avg, ROUND(n, 4) AS Normal_Avg, ROUND(o - n, 4) AS Difference FROM (
     SELECT AVG(Total_Impact) FILTER (Is_Outlier) AS o, AVG(Total_Impact) FILTER (NOT Is_Outlier) AS n FROM impact i JOIN levels l ON i.Store = l.Store AND i.Dept = l.Dept)""")
 def impact_contrast(t):

@@ -46,6 +46,18 @@ def resample_day(t):
     return rounded(aggregates.resample(t.sales, "day"), Weekly_Sales=4)
 
 
+_DEMAND = "(SELECT CAST(l_shipdate AS DATE) AS Date, SUM(l_quantity) AS sales FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1)"
+
+
+@query("AGG6 DT9", f"""SELECT 'day' AS Unit, Date AS Period_Start, CAST(sales AS BIGINT) AS sales, strftime(Date, '%Y-%m-%d') AS Period FROM {_DEMAND}
+    UNION ALL SELECT 'week', CAST(date_trunc('week', Date) AS DATE), CAST(SUM(sales) AS BIGINT),
+      strftime(date_trunc('week', Date), '%Y-%m-%d') || '/' || strftime(date_trunc('week', Date) + INTERVAL 6 DAY, '%Y-%m-%d') FROM {_DEMAND} GROUP BY ALL""")
+def resample_daily_demand(t):
+    """Days and weeks differ here: demand is known by day."""
+    demand = t.raw.daily_demand().withColumnRenamed("date", "Date")
+    return combine.stack_labelled({u: aggregates.resample(demand, u, "sales") for u in ("day", "week")}, "Unit")
+
+
 @query("AGG6 DT9", """SELECT CAST(date_trunc('week', Date) AS DATE) AS Period_Start, ROUND(SUM(Weekly_Sales), 4) AS Weekly_Sales,
     strftime(date_trunc('week', Date), '%Y-%m-%d') || '/' || strftime(date_trunc('week', Date) + INTERVAL 6 DAY, '%Y-%m-%d') AS Period FROM sales GROUP BY ALL""")
 def resample_week(t):
@@ -214,10 +226,13 @@ def extreme_weeks_overall(t):
 @query("EDA1", """SELECT 'rows' AS metric, '' AS "column", CAST(COUNT(*) AS VARCHAR) AS value FROM fact
   UNION ALL SELECT 'columns', '', '16' UNION ALL SELECT 'first', 'Date', CAST(MIN(Date) AS VARCHAR) FROM fact UNION ALL SELECT 'last', 'Date', CAST(MAX(Date) AS VARCHAR) FROM fact"""
     + "".join(f" UNION ALL SELECT 'missing', '{c}', CAST(COUNT(*) - COUNT({c}) AS VARCHAR) FROM fact" for c in (
-        "Store", "Dept", "Date", "Weekly_Sales", "IsHoliday", *FACTORS, *MARKDOWNS, "Type", "Size")))
+        "Store", "Dept", "Date", "Weekly_Sales", "IsHoliday", *FACTORS, *MARKDOWNS, "Type", "Size"))
+    + "".join(f" UNION ALL SELECT 'distinct', '{c}', CAST(COUNT(DISTINCT {c}) AS VARCHAR) FROM fact" for c in ("Store", "Dept", "Date", "IsHoliday", "Type", "Size"))
+    + "".join(f" UNION ALL SELECT 'type', '{c}', '{k}'" for c, k in (
+        ("Store", "int"), ("Dept", "int"), ("Date", "date"), ("Weekly_Sales", "double"), ("IsHoliday", "int"), *((c, "double") for c in (*FACTORS, *MARKDOWNS)),
+        ("Type", "string"), ("Size", "bigint"))))
 def fact_shape(t):
-    shape = aggregates.profile_table(t.fact, ["Weekly_Sales", *FACTORS, *MARKDOWNS])
-    return shape.where("metric not in ('type', 'distinct')")
+    return aggregates.profile_table(t.fact, ["Weekly_Sales", *FACTORS, *MARKDOWNS])
 
 
 @query("EDA4 EDA1", """SELECT 'weekly' AS Dataset, COUNT(*) AS Rows, COUNT(DISTINCT (Store, Dept)) AS Series, MIN(Date) AS First, MAX(Date) AS Last,
@@ -246,3 +261,14 @@ def department_overview(t):
     return rounded(overview.select(
         "Store", "Dept", "Recommended", "HolidayLift%", "CV", "ZeroPct", "Mean", "Z_Score", "Is_Outlier", "Confidence_Band"
     ), Z_Score=8)
+
+
+_CHOSEN = ((1, 1), (2, 3), (3, 2))
+
+
+@query("EDA3 AGG19", "SELECT Date, " + ", ".join(
+    f"MAX(CASE WHEN Store = {s} AND Dept = {d} THEN Weekly_Sales END) AS S{s}D{d}" for s, d in _CHOSEN)
+    + f" FROM fact WHERE (Store, Dept) IN {_CHOSEN} GROUP BY Date")
+def side_by_side_series(t):
+    """The weeks of chosen series beside each other."""
+    return pages.case_study(Bundle(t.fact, t.results, t.profile), _CHOSEN)["side_by_side"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfcast.operators import aggregates, baselines, combine, evaluate, features, inventory, profile
@@ -126,6 +127,14 @@ def ranked_league(t):
     return rounded(evaluate.ranked_league(t.results), **_RESULT_DIGITS)
 
 
+@query("EVL3 SRT1", """SELECT Store, Dept, Model, CAST(ROW_NUMBER() OVER (PARTITION BY Store, Dept ORDER BY MAPE,
+    CASE Model WHEN 'Naive' THEN 1 WHEN 'Simple Average' THEN 5 WHEN 'Seasonal Naive' THEN 6 ELSE 9 END) AS INTEGER) AS Place FROM results""")
+def league_places(t):
+    """The place of each model in its series' league, so that the order itself is checked."""
+    place = F.row_number().over(Window.partitionBy("Store", "Dept").orderBy("MAPE", combine.model_rank("Model")))
+    return t.results.select("Store", "Dept", "Model", place.alias("Place"))
+
+
 @query("EVL2", """SELECT Model, ROUND(AVG(ABS(Actual - Predicted)), 3) AS MAE, ROUND(AVG(ABS(Actual - Predicted) / GREATEST(ABS(Actual), 2.220446049250313e-16)), 8) AS MAPE_True,
     ROUND(1 - SUM((Actual - Predicted) ** 2) / (VAR_POP(Actual) * COUNT(*)), 8) AS R2 FROM predictions GROUP BY 1""")
 def regression_quality(t):

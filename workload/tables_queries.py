@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfcast.functions import calendar as cal
 from shelfcast.functions import scalars
 from shelfcast.names import FACTORS, MARKDOWNS
 from shelfcast.operators import baselines, cleaning, combine, features
+from shelfcast.session import cut_lineage
 from shelfcast.sources.search_interest import outer_join_terms
 from shelfcast.sources.warehouse import TERMS
 from workload.registry import query, round_columns, rounded
@@ -125,12 +127,19 @@ def label_encoded(t):
 
 
 @query("PRJ5", """SELECT 'IsHoliday_x=IsHoliday_y' AS pair, BOOL_AND(s.IsHoliday IS NOT DISTINCT FROM f.IsHoliday) AS equal
-    FROM sales s JOIN features f ON s.Store = f.Store AND s.Date = f.Date""")
+    FROM sales s LEFT JOIN features f ON s.Store = f.Store AND s.Date = f.Date""")
 def duplicate_flag_agreement(t):
-    both = combine.join_features(t.sales, t.features, keep_both_flags=True).where(F.col("IsHoliday_y").isNotNull())
+    """On all weeks: one without features holds no second flag, so there the two differ."""
+    both = combine.join_features(t.sales, t.features, keep_both_flags=True)
     return cleaning.columns_agree(both, [("IsHoliday_x", "IsHoliday_y")])
 
 
+@query("PRJ5", """SELECT s.Store, Dept, s.Date, Weekly_Sales, s.IsHoliday AS IsHoliday, Temperature FROM sales s LEFT JOIN features f ON s.Store = f.Store AND s.Date = f.Date""")
+def coalesced_flag(t):
+    both = combine.join_features(t.sales, t.features, keep_both_flags=True)
+    return cleaning.coalesce_duplicate(both, "IsHoliday_x", "IsHoliday_y", "IsHoliday").select("Store", "Dept", "Date", "Weekly_Sales", "IsHoliday", "Temperature")
+
+
 @query("PRJ1 PRJ2 PRJ3 PRJ4 PRJ6 MTH1 MTH2 MTH3 MTH4 CND2 STR1 STR4", """
 SELECT Store, Dept AS Department, Date, 'Historical' AS Kind, ABS(Weekly_Sales - 1000) AS Distance, Weekly_Sales / 7 AS Per_Day,
   SQRT(Weekly_Sales) AS Root, LEAST(0.9::DOUBLE, Weekly_Sales / 100000) AS Capped, CASE WHEN IsHoliday THEN 'Holiday' ELSE 'Non-Holiday' END AS Flag,
@@ -157,6 +166,11 @@ def money_labels(t):
     return t.sales.select("Store", "Dept", "Date", scalars.money(F.floor("Weekly_Sales")).alias("Amount"))
 
 
+@query("STR4", """SELECT Store, Dept, Date, '$' || format('{:,}', CAST(round_even(CAST(Weekly_Sales AS DECIMAL(18,4)), 0) AS BIGINT)) AS Amount FROM sales""")
+def rounded_money_labels(t):
+    return t.sales.select("Store", "Dept", "Date", scalars.money("Weekly_Sales").alias("Amount"))
+
+
 @query("STR2 STR3", """SELECT Store, Dept, Date, CAST(regexp_extract('Store ' || Store || ', Dept ' || Dept, 'Store ([0-9]+)', 1) AS INTEGER) AS Parsed_Store,
   contains('S' || Store, '1') AS Has_One FROM sales""")
 def parsed_labels(t):
@@ -198,12 +212,13 @@ def date_functions(t):
 @query("FLT1 FLT3 FLT4 FLT5 FLT7 FLT8", """SELECT * FROM sales WHERE Store IN (1, 2, 3, 5, 8) AND Dept IN (1, 4)
     AND Date BETWEEN DATE '1997-01-01' AND DATE '2000-06-30' AND NOT IsHoliday""")
 def filtered_sales(t):
-    return combine.apply_filters(t.sales, "1997-01-01", "2000-06-30", stores=[1, 2, 3, 5, 8], depts=[1, 4], holiday=False)
+    some = t.raw.sales("1997-01-01", "2000-06-30", depts=[1, 4])
+    return combine.apply_filters(some, "1997-01-01", "2000-06-30", stores=[1, 2, 3, 5, 8], depts=[1, 4], holiday=False)
 
 
 @query("FLT1", "SELECT * FROM sales WHERE Store = 3 AND Dept = 2")
 def one_series(t):
-    return combine.apply_filters(t.sales, stores=[3], depts=[2])
+    return combine.apply_filters(t.raw.sales(depts=[2]), stores=[3], depts=[2])
 
 
 @query("FLT9 SPL1", """SELECT * FROM split WHERE (Store, Dept) IN (SELECT (Store, Dept) FROM split GROUP BY Store, Dept
@@ -274,16 +289,15 @@ def jn9_anti_by_keys(t):
     return combine.drop_listed(t.sales, _high(t), pairwise=False)
 
 
-@query("JN12", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount FROM lineitem
-    QUALIFY COUNT(*) OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey) = 1""")
+@query("JN12", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount FROM lineitem")
 def joined_by_row_id(t):
-    lines = t.raw.table("lineitem")
+    """Two column sets of the lines put side by side. Lines that repeat all four ids are numbered, so none is lost."""
     ids = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    single = lines.groupBy(*ids).agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").drop("_n")
-    row_id = F.struct(*ids).alias("row_id")
-    left = single.join(lines.select(*ids, "l_quantity"), ids).select(row_id, "l_quantity")
-    right = single.join(lines.select(*ids, "l_discount"), ids).select(row_id, "l_discount")
-    return combine.join_by_row_id(left, right).select("row_id.*", "l_quantity", "l_discount")
+    nth = F.row_number().over(Window.partitionBy(*ids).orderBy("l_quantity", "l_discount"))
+    lines = t.raw.table("lineitem").select(*ids, "l_quantity", "l_discount", nth.alias("nth"))
+    lines = cut_lineage(lines.select(F.struct(*ids, "nth").alias("row_id"), "l_quantity", "l_discount"))
+    joined = combine.join_by_row_id(lines.select("row_id", "l_quantity"), lines.select("row_id", "l_discount"))
+    return joined.select("row_id.*", "l_quantity", "l_discount").drop("nth")
 
 
 @query("SET1", """SELECT Store, Dept, Date, Weekly_Sales, NULL::DOUBLE AS Temperature FROM sales
