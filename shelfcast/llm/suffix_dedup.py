@@ -36,8 +36,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LENGTH, GRAM, SHALLOW = 100, 32, 32
 BUCKET_BYTES = 12 << 20
-#: Window starts handled at once in a task.
-PIECE = 1 << 20
+#: Window starts handled at once in a task, and bytes of text whose segments are merged before they are sent.
+PIECE, SENT_BYTES = 1 << 18, 4 << 20
 _PLACE = np.uint64((1 << 24) - 1)
 _NO_ID = -(1 << 63)
 
@@ -77,6 +77,11 @@ def _home(doc: np.ndarray, buckets: int) -> np.ndarray:
     return (A.mix(doc.view(A.U64)) % A.U64(buckets)).astype(np.int64)
 
 
+def _bucket(anchor: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of an anchor's hash. Anchors are least hashes, so they are spread anew before they are dealt."""
+    return ((A.mix(anchor) >> A.U64(32)) * A.U64(buckets) >> A.U64(32)).astype(np.int64)
+
+
 def least_in_windows(values: np.ndarray, width: int) -> np.ndarray:
     """The minimum of every run of ``width`` values: suffix minima of a block meet prefix minima of the next."""
     n = len(values)
@@ -137,7 +142,7 @@ def _emit(buckets: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            for part in A.text_slices(batch.column("_text"), 8 << 20):
+            for part in A.text_slices(batch.column("_text"), SENT_BYTES):
                 s = segments(part.data, part.bounds, length)
                 s["doc"] = ids[part.first : part.last][s.pop("text")]
                 s = {n: s[n].astype(k) for n, k in _SEGMENT.items()}
@@ -145,7 +150,7 @@ def _emit(buckets: int, length: int):
                 found = _ranges(s, order[~first])
                 own = {n: v[order[first]] for n, v in s.items()}
                 rows = list(_dealt(RANGES, _home(found["doc"], buckets), found))
-                rows += _dealt(SEGMENTS, ((own["hash"] >> A.U64(32)) * A.U64(buckets) >> A.U64(32)).astype(np.int64), own)
+                rows += _dealt(SEGMENTS, _bucket(own["hash"], buckets), own)
                 if rows:
                     yield from _table(rows).to_batches()
 
@@ -201,7 +206,7 @@ def _fetch(buckets: int, length: int):
             if not parts:
                 continue
             h, doc, low, off, count, start = (np.concatenate(x) for x in zip(*parts, strict=True))
-            bucket = ((h >> A.U64(32)) * A.U64(buckets) >> A.U64(32)).astype(np.int64)
+            bucket = _bucket(h, buckets)
             order = np.argsort(bucket, kind="stable")
             edges = A.runs(bucket[order])
             rows = []
