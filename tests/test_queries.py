@@ -5,9 +5,17 @@ import re
 import pytest
 
 import __spark_entry__ as contract
-from workload import check
+from shelfcast.operators import learners
+from workload import check, model_queries
 from workload.registry import QUERIES, Tables
 
+# Invariants and plans do not depend on the number of trees; the published sizes run in the registered queries.
+model_queries.SIZES.update({
+    "nuisance": learners.Boosting(6, 3, 0.3, 0.8, 0.8), "causal": learners.Forest(6, 4, 20), "what-if": learners.Boosting(6, 3, 0.3),
+    "global": learners.Boosting(6, 3, 0.3), "global forest": learners.Forest(4, 4), "basic": learners.Boosting(8, 3, 0.3),
+    "tuned": learners.Boosting(8, 3, 0.3, 0.8, 0.8), "early stop": learners.Boosting(8, 3, 0.3, early_stop=True), "hybrid": learners.Boosting(8, 3, 0.3),
+    "forest": learners.Forest(6, 4),
+})
 CHECKED = [n for n, q in QUERIES.items() if q.sql is not None]
 
 

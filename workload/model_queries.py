@@ -11,6 +11,13 @@ from shelfcast.sources.warehouse import TRAIN_END, VAL_END
 from workload.registry import once, query, rounded
 
 
+# The published settings, named here so that tests of plans and invariants can run on smaller ones.
+SIZES = {
+    "nuisance": uplift.NUISANCE, "causal": uplift.CAUSAL_FOREST, "what-if": learners.WHAT_IF, "global": learners.BASIC, "global forest": learners.GLOBAL_FOREST,
+    "basic": learners.BASIC, "tuned": learners.TUNED, "early stop": learners.EARLY_STOPPED, "hybrid": learners.HYBRID, "forest": learners.SERIES_FOREST,
+}
+
+
 def study_parts(t):
     """The gated, labelled fact with the search-interest columns: written once, shared by every fit and baseline."""
     def make():
@@ -34,7 +41,7 @@ def _test(parts):
 
 def global_boosting(t):
     """One model over all series, with store and department as features."""
-    return once(t, "global boosting", lambda: learners.fit_boosting(_train(study_parts(t)), settings=learners.BASIC, written=True))
+    return once(t, "global boosting", lambda: learners.fit_boosting(_train(study_parts(t)), settings=SIZES["global"], written=True))
 
 
 _FORM = ("Store", "Dept", "Date", "Actual", "Predicted", "Model")
@@ -42,29 +49,29 @@ _FORM = ("Store", "Dept", "Date", "Actual", "Predicted", "Model")
 
 @query("MDL5 EVL10 UDF4")
 def gbt_forecast(t):
-    return series_trees.series_models(study_parts(t), {"XGBoost": learners.BASIC}).select(*_FORM)
+    return series_trees.series_models(study_parts(t), {"XGBoost": SIZES["basic"]}).select(*_FORM)
 
 
 @query("MDL5 PRJ7 JN3")
 def gbt_forecast_with_trends(t):
     parts = study_parts(t)
-    return series_trees.series_models(parts, {"XGBoost Tuned": learners.TUNED}, _with_trends(parts)).select(*_FORM)
+    return series_trees.series_models(parts, {"XGBoost Tuned": SIZES["tuned"]}, _with_trends(parts)).select(*_FORM)
 
 
 @query("MDL5")
 def gbt_forecast_early_stop(t):
-    return series_trees.series_models(study_parts(t), {"XGBoost Early Stop": learners.EARLY_STOPPED}).select(*_FORM, "Trees")
+    return series_trees.series_models(study_parts(t), {"XGBoost Early Stop": SIZES["early stop"]}).select(*_FORM, "Trees")
 
 
 @query("MDL4 EVL10")
 def rf_forecast(t):
-    return series_trees.series_models(study_parts(t), {"Random Forest": learners.SERIES_FOREST}).select(*_FORM)
+    return series_trees.series_models(study_parts(t), {"Random Forest": SIZES["forest"]}).select(*_FORM)
 
 
 @query("MDL4")
 def global_rf_forecast(t):
     parts = study_parts(t)
-    model = once(t, "global forest", lambda: learners.fit_forest(_train(parts), settings=learners.GLOBAL_FOREST, written=True))
+    model = once(t, "global forest", lambda: learners.fit_forest(_train(parts), settings=SIZES["global forest"], written=True))
     return learners.predictions(model, _test(parts), "Random Forest")
 
 
@@ -83,7 +90,7 @@ def full_league_table(t):
     stacked = combine.stack([
         baselines.baseline_forecasts(parts, history="full", bridge="val", mean_of=_SPAN),
         series_trees.series_models(
-            parts, {"XGBoost": learners.BASIC, "Random Forest": learners.SERIES_FOREST}, _with_trends(parts), _SPAN, ensemble="Ensemble"
+            parts, {"XGBoost": SIZES["basic"], "Random Forest": SIZES["forest"]}, _with_trends(parts), _SPAN, ensemble="Ensemble"
         ).select(*_FORM),
         series_fit.arima_forecast(parts, fit_on=_SPAN),
         series_fit.seasonal_arima_forecast(parts, fit_on=_SPAN),
@@ -94,7 +101,7 @@ def full_league_table(t):
 
 def _ensemble(t):
     return series_trees.series_models(
-        study_parts(t), {"XGBoost": learners.BASIC, "Random Forest": learners.SERIES_FOREST}, ensemble="Ensemble"
+        study_parts(t), {"XGBoost": SIZES["basic"], "Random Forest": SIZES["forest"]}, ensemble="Ensemble"
     )
 
 
@@ -106,7 +113,7 @@ def ensemble_forecast(t):
 def _hybrid(t):
     """The learned model of the hybrid is fitted on the training part alone, so the validation part can judge it."""
     parts = study_parts(t)
-    learned = series_trees.series_models(parts, {"XGBoost": learners.HYBRID}, _with_trends(parts), predict_on=("val", "test"))
+    learned = series_trees.series_models(parts, {"XGBoost": SIZES["hybrid"]}, _with_trends(parts), predict_on=("val", "test"))
     scored = learned.withColumnRenamed("Actual", "Weekly_Sales").drop("Model", "Trees")
     return learners.hybrid_wide(parts, scored, t.profile)
 
@@ -175,7 +182,7 @@ def model_importance(t):
 
 @query("XPL2 XPL1")
 def series_model_importance(t):
-    return explain.with_store_type(series_trees.series_importance(study_parts(t), learners.BASIC), t.stores)
+    return explain.with_store_type(series_trees.series_importance(study_parts(t), SIZES["basic"]), t.stores)
 
 
 def _importance(t):
@@ -210,11 +217,11 @@ def mean_factor_importance(t):
 
 
 def _residuals(t):
-    return once(t, "residuals", lambda: cut_lineage(uplift.cross_fit_residuals(uplift.uplift_rows(t.fact))))
+    return once(t, "residuals", lambda: cut_lineage(uplift.cross_fit_residuals(uplift.uplift_rows(t.fact), settings=SIZES["nuisance"])))
 
 
 def _uplift(t):
-    return once(t, "uplift", lambda: uplift.causal_uplift(_residuals(t)))
+    return once(t, "uplift", lambda: uplift.causal_uplift(_residuals(t), settings=SIZES["causal"]))
 
 
 @query("UPL1 CLN3")
@@ -253,7 +260,7 @@ def _what_if(t):
     """(model, test rows) of the what-if study: one boosted model over all rows up to the date quantile."""
     def make():
         rows = cut_lineage(features.quantile_date_split(uplift.what_if_rows(t.fact)))
-        model = learners.fit_boosting(rows.where("split = 'train'"), learners.UPLIFT_FEATURES, learners.WHAT_IF, written=True)
+        model = learners.fit_boosting(rows.where("split = 'train'"), learners.UPLIFT_FEATURES, SIZES["what-if"], written=True)
         return model, rows.where("split = 'test'")
 
     return once(t, "what-if", make)
@@ -288,23 +295,23 @@ _GATED = """gated AS (SELECT * FROM split WHERE (Store, Dept) IN (SELECT (Store,
 
 
 @query("MDL4 UDF4", f"""WITH {_GATED}
-SELECT Store, Dept, COUNT(*) AS Weeks, MIN(Date) AS First, MAX(Date) AS Last, ROUND(SUM(Weekly_Sales), 2) AS Actual, TRUE AS Inside
+SELECT Store, Dept, COUNT(*) AS Weeks, MIN(Date) AS First, MAX(Date) AS Last, ROUND(SUM(Weekly_Sales), 0) AS Actual, TRUE AS Inside
 FROM gated WHERE split = 'test' GROUP BY ALL""")
 def forest_stays_inside(t):
     """A forest's prediction is a mean of training values, so it lies in their range; one for each test week."""
     parts = study_parts(t)
     span = _train(parts).groupBy("Store", "Dept").agg(F.min("Weekly_Sales").alias("low"), F.max("Weekly_Sales").alias("high"))
-    found = series_trees.series_models(parts, {"Random Forest": learners.SERIES_FOREST}).join(span, ["Store", "Dept"])
+    found = series_trees.series_models(parts, {"Random Forest": SIZES["forest"]}).join(span, ["Store", "Dept"])
     inside = F.col("Predicted").between(F.col("low") - 1e-6, F.col("high") + 1e-6)
     return found.groupBy("Store", "Dept").agg(
         F.count("Predicted").alias("Weeks"), F.min("Date").alias("First"), F.max("Date").alias("Last"),
-        F.round(F.sum("Actual"), 2).alias("Actual"), F.coalesce(F.every(inside), F.lit(False)).alias("Inside"),
+        F.round(F.sum("Actual"), 0).alias("Actual"), F.coalesce(F.every(inside), F.lit(False)).alias("Inside"),
     )
 
 
 @query("MDL6 UDF4", f"""WITH {_GATED}
 SELECT Store, Dept, Date, 3::BIGINT AS Models, TRUE AS Is_Mean FROM gated WHERE split = 'test'""")
-def ensemble_is_mean_ofstudy_parts(t):
+def ensemble_is_mean_of_parts(t):
     value = lambda m: F.max(F.when(F.col("Model") == m, F.col("Predicted")))
     off = F.abs(value("Ensemble") - (value("XGBoost") + value("Random Forest")) / 2)
     return _ensemble(t).groupBy("Store", "Dept", "Date").agg(F.count("Predicted").alias("Models"), (off < 1e-6).alias("Is_Mean"))
@@ -315,7 +322,7 @@ SELECT Store, Dept, Model, COUNT(*) AS Weeks, TRUE AS Trees_Fit FROM gated, (VAL
 WHERE split = 'test' GROUP BY ALL""")
 def boosting_variants_coverage(t):
     """Every variant predicts every test week; the plain ones keep all their trees, early stopping keeps at most its limit."""
-    models = {"XGBoost": learners.BASIC, "XGBoost Tuned": learners.TUNED, "XGBoost Early Stop": learners.EARLY_STOPPED}
+    models = {"XGBoost": SIZES["basic"], "XGBoost Tuned": SIZES["tuned"], "XGBoost Early Stop": SIZES["early stop"]}
     most = F.element_at(F.create_map(*[F.lit(x) for n, m in models.items() for x in (n, m.trees)]), F.col("Model"))
     fits = F.when(F.col("Model") == "XGBoost Early Stop", F.col("Trees").between(1, most)).otherwise(F.col("Trees") == most)
     found = series_trees.series_models(study_parts(t), models)
@@ -343,7 +350,7 @@ def scenario_coverage(t):
 SELECT DISTINCT Store, Dept, 8::BIGINT AS Features, TRUE AS Sums_Up FROM gated""")
 def importance_shares(t):
     """The shares of a series' own model add up to 1, or are all 0."""
-    found = series_trees.series_importance(study_parts(t), learners.BASIC)
+    found = series_trees.series_importance(study_parts(t), SIZES["basic"])
     total = F.sum("Importance")
     return found.groupBy("Store", "Dept").agg(F.count("Importance").alias("Features"), ((F.abs(total - 1) < 1e-9) | (total == 0)).alias("Sums_Up"))
 
