@@ -133,24 +133,18 @@ def shapley_values(
     ids = [f"_id_{c}" for c in row_id]
     base = numeric(rows.withColumns(dict(zip(ids, [F.col(c) for c in row_id]))), features).select(*ids, *features)
     means = base.agg(*[F.avg(f).alias(f"_m_{f}") for f in features])
-    walks = []
-    for o, order in enumerate(orders):
-        for k in range(len(order) + 1):
-            own = set(order[:k])
-            values = [F.col(f if i in own else f"_m_{f}").alias(f"_w_{f}") for i, f in enumerate(features)]
-            walks.append(F.struct(F.lit(o).alias("_o"), F.lit(k).alias("_k"), *values))
-    walked = attach_scalars(base, means).select(*ids, F.inline(F.array(*walks)))
+    walked = attach_scalars(base, means).select("*", F.explode(F.sequence(F.lit(0), F.lit(len(orders) - 1))).alias("_o"))
+    walked = walked.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(features)))).alias("_k"))
+    # Step k of an order has switched the features whose place in the order is below k.
+    place = [F.element_at(F.array(*[F.lit(order.index(i)) for order in orders]), F.col("_o") + 1) for i in range(len(features))]
+    walked = walked.select(*ids, "_o", "_k", *[F.when(p < F.col("_k"), F.col(f)).otherwise(F.col(f"_m_{f}")).alias(f"_w_{f}") for p, f in zip(place, features)])
 
     assembler = VectorAssembler(inputCols=[f"_w_{f}" for f in features], outputCol="features")
     scored = model.stages[-1].transform(assembler.transform(walked))
     value = F.col("Predicted")
 
     def contribution(i: int):
-        step = F.lit(None).cast("double")
-        for o, order in enumerate(orders):
-            at = order.index(i)
-            here = F.col("_o") == o
-            step = F.when(here & (F.col("_k") == at + 1), value).when(here & (F.col("_k") == at), -value).otherwise(step)
+        step = F.when(F.col("_k") == place[i] + 1, value).when(F.col("_k") == place[i], -value)
         return F.sum(step) / len(orders)
 
     shap = scored.groupBy(*ids).agg(

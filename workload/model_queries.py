@@ -357,11 +357,11 @@ def importance_shares(t):
 
 _WHAT_IF = f"""lagged AS (SELECT *, LAG(Weekly_Sales, 4) OVER w AS lag4, LAG(Weekly_Sales) OVER w AS lag1 FROM fact WINDOW w AS (PARTITION BY Store, Dept ORDER BY Date)),
 complete AS (SELECT * FROM lagged WHERE lag4 IS NOT NULL AND lag1 IS NOT NULL AND Temperature IS NOT NULL AND Fuel_Price IS NOT NULL AND CPI IS NOT NULL AND Unemployment IS NOT NULL AND Size IS NOT NULL),
-cut AS (SELECT quantile_cont(epoch(CAST(Date AS TIMESTAMP)) / 86400, 0.8) AS at FROM complete)"""
+cut AS (SELECT quantile_cont(epoch(CAST(Date AS TIMESTAMP)) / 86400, 0.8) AS last_day FROM complete)"""
 
 
 @query("UPL4 XPL4", f"""WITH {_WHAT_IF}
-SELECT Store, Dept, Date, TRUE AS Is_Difference FROM complete, cut WHERE epoch(CAST(Date AS TIMESTAMP)) / 86400 > at""")
+SELECT Store, Dept, Date, TRUE AS Is_Difference FROM complete, cut WHERE epoch(CAST(Date AS TIMESTAMP)) / 86400 > last_day""")
 def whatif_coverage(t):
     model, test = _what_if(t)
     found = uplift.what_if_uplift(model, test)
@@ -370,7 +370,7 @@ def whatif_coverage(t):
 
 
 @query("XPL4", f"""WITH {_WHAT_IF}
-SELECT Store, Dept, COUNT(*) AS Rows, TRUE AS Adds_Up FROM complete, cut WHERE epoch(CAST(Date AS TIMESTAMP)) / 86400 > at GROUP BY ALL""")
+SELECT Store, Dept, COUNT(*) AS Rows, TRUE AS Adds_Up FROM complete, cut WHERE epoch(CAST(Date AS TIMESTAMP)) / 86400 > last_day GROUP BY ALL""")
 def shapley_additivity(t):
     """A row's Shapley values add up to its prediction minus that of the mean row."""
     model, test = _what_if(t)
