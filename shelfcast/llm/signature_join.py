@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.llm import arrays as A
 from shelfcast.llm.components import components
-from shelfcast.llm.tables import buckets_for, text_bytes, written
+from shelfcast.llm.tables import buckets_for, result_of, text_bytes, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -349,12 +349,13 @@ _LINKS = "src long, dst long"
 
 
 def _within(_: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    """Links inside every chunk of a task."""
+    """Links inside every chunk of a task, as stars: each label that was joined with others, and the least of them."""
     links: list[tuple[int, int]] = []
     for _, chunk in frame.groupby(["group", "chunk"], sort=False):
         if len(chunk) > 1:
-            tree = _tree(chunk)
-            links += dual_traversal(tree, tree, Classes(tree.label))
+            tree, classes = _tree(chunk), Classes(chunk["label"].to_numpy(np.int64))
+            dual_traversal(tree, tree, classes)
+            links += [(x, root) for x in classes.parent if (root := classes.find(x)) != x]
     return pd.DataFrame(links, columns=["src", "dst"])
 
 
@@ -367,9 +368,9 @@ def _between(_: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(links, columns=["src", "dst"])
 
 
-def _relabel(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """``rows`` with the class of each label after more links."""
-    new = components(links).withColumnRenamed("node", "label").withColumnRenamed("component", "_new")
+def _relabel(rows: DataFrame, stars: DataFrame) -> DataFrame:
+    """``rows`` with the class of each label after the stars of ``_within``; a label stands in one chunk, so in one star."""
+    new = stars.select(F.col("src").alias("label"), F.col("dst").alias("_new"))
     return rows.join(new, "label", "left").withColumn("label", F.coalesce("_new", "label")).drop("_new")
 
 
@@ -473,7 +474,11 @@ def links_and_members(docs: DataFrame, id_col: str = "doc_id", text: str = "text
 
 
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """id, n_shingles, component_id (the least id reachable by links) of every document."""
+    """id, n_shingles, component_id (the least id reachable by links) of every document: three numbers each, written."""
+    return result_of(lambda: _classes(docs, id_col, text, shingle))
+
+
+def _classes(docs: DataFrame, id_col: str, text: str, shingle: int) -> DataFrame:
     links, members = links_and_members(docs, id_col, text, shingle)
     classes = components(links).select(F.col("node").alias("set"), "component")
     members = written(members)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,15 @@ def delete(spark: SparkSession, path: str) -> None:
         _MADE.remove(path)
 
 
+def result_of(make: Callable[[], DataFrame]) -> DataFrame:
+    """The small result of ``make``, written; the intermediate tables made on the way are deleted."""
+    before = set(_MADE)
+    out, path = written_at(make())
+    for other in [p for p in _MADE if p not in before and p != path]:
+        delete(out.sparkSession, other)
+    return out
+
+
 def clear(spark: SparkSession) -> None:
     """Delete every intermediate table of this process; results that still read them become invalid."""
     for path in list(_MADE):
