@@ -15,13 +15,14 @@ all tasks; a larger benchmark is searched in several rounds over the same index.
 
 NULL and empty texts have no words, no hits and no items. An item of fewer words than the window is one phrase; one
 without words has none. Repeated items and documents each get their own matches. Empty tables give an empty result (no
-documents) or no hits (no benchmark). Other columns, whatever their names, are not read.
+documents) or no hits (no benchmark). NULL ids stay NULL. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,13 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.llm import arrays as A
-from shelfcast.llm.tables import buckets_for, written
+from shelfcast.llm.tables import buckets_for, given, numbered, result_of, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WINDOW = 10
 #: Bytes of text in a shard, at most; a longer text is a shard of its own.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Bytes of benchmark text whose phrases are sent to the tasks at once.
 MAX_BENCHMARK_BYTES = 8 << 20
 INDEX = "ids binary, firsts binary, terms binary, bounds binary, postings binary"
@@ -58,16 +59,16 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
             ids = batch.column("_id").to_numpy(zero_copy_only=False).astype(np.int64)
             for part in A.text_slices(batch.column("_text"), SHARD_BYTES):
                 term, of = terms_of(part)
-                place = (np.arange(len(term)) + of).astype(np.uint32 if len(term) + len(ids) < 2**32 else np.uint64)
+                place = (np.arange(len(term)) + of).astype(np.uint32)
                 count = np.bincount(of, minlength=part.last - part.first)
                 firsts = np.concatenate([[0], np.cumsum(count + 1)]).astype(np.int64)
                 order = np.argsort(term, kind="stable")
                 edges = A.runs(term[order])
                 words = term[order[edges[:-1]]] if len(term) else np.zeros(0, A.U64)
-                row = (ids[part.first : part.last], firsts, words, edges if len(term) else edges[:1], place[order].astype(np.int64))
+                row = (ids[part.first : part.last], firsts, words, edges if len(term) else edges[:1], place[order])
                 yield pa.RecordBatch.from_arrays([pa.array([A.pack(x)], pa.binary()) for x in row], ["ids", "firsts", "terms", "bounds", "postings"])
 
-    return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text).alias("_text")).mapInArrow(run, INDEX)
+    return docs.select(numbered(id_col).alias("_id"), F.col(text).alias("_text")).mapInArrow(run, INDEX)
 
 
 class Phrases:
@@ -113,10 +114,10 @@ def search(phrases: Phrases, firsts: np.ndarray, terms: np.ndarray, bounds: np.n
     first = order[alive, 0]
     length = count[alive, first]
     phrase = np.repeat(alive, length)
-    start = postings[A.ranges(bounds[at[alive, first]], length)] - np.repeat(first, length)
+    start = postings[A.ranges(bounds[at[alive, first]], length)].astype(np.int64) - np.repeat(first, length)
     # A posting list is ascending and its term has one number, so term number and place make one ascending key.
     span = int(firsts[-1]) + width + slack + 1
-    keys = np.repeat(np.arange(len(terms)), np.diff(bounds)) * span + postings
+    keys = np.repeat(np.arange(len(terms)) * span, np.diff(bounds)) + postings
     for step in range(1, width):
         more = phrases.length[phrase] > step
         if not more.any():
@@ -147,8 +148,11 @@ def _rounds(benchmark: DataFrame, item_col: str, text: str) -> Iterator[tuple[li
         yield [r["item"] for r in got], [r["text"] for r in got]
 
 
-def _read(row: dict) -> tuple[np.ndarray, ...]:
-    return tuple(np.frombuffer(row[c], A.U64 if c == "terms" else np.int64) for c in ("ids", "firsts", "terms", "bounds", "postings"))
+_KINDS = {"ids": np.int64, "firsts": np.int64, "terms": A.U64, "bounds": np.int64, "postings": np.uint32}
+
+
+def _shard(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, ...]:
+    return tuple(np.frombuffer(batch.column(c)[i].as_buffer(), kind) for c, kind in _KINDS.items())
 
 
 def _matches(index: DataFrame, phrases: Phrases, slack: int) -> DataFrame:
@@ -158,8 +162,8 @@ def _matches(index: DataFrame, phrases: Phrases, slack: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = spread.value
         for batch in batches:
-            for row in batch.to_pylist():
-                ids, firsts, terms, bounds, postings = _read(row)
+            for i in range(batch.num_rows):
+                ids, firsts, terms, bounds, postings = _shard(batch, i)
                 phrase, start = search(p, firsts, terms, bounds, postings, slack)
                 n = len(ids)
                 doc = np.searchsorted(firsts, start, side="right") - 1
@@ -180,13 +184,14 @@ def _matches(index: DataFrame, phrases: Phrases, slack: int) -> DataFrame:
                 cut = np.searchsorted(pairs[:, 0], np.arange(n + 1))
                 span = np.searchsorted(of, np.arange(n + 1))
                 begin, end = begin - firsts[of], end - firsts[of]
-                spans = [[{"start": int(a), "end": int(b)} for a, b in zip(begin[i:j], end[i:j], strict=True)] for i, j in zip(span[:-1], span[1:], strict=True)]
-                items = [[p.items[k] for k in pairs[i:j, 1]] for i, j in zip(cut[:-1], cut[1:], strict=True)]
+                spans = [[{"start": int(a), "end": int(b)} for a, b in zip(begin[u:v], end[u:v], strict=True)] for u, v in zip(span[:-1], span[1:], strict=True)]
+                items = [[p.items[k] for k in pairs[u:v, 1]] for u, v in zip(cut[:-1], cut[1:], strict=True)]
                 yield pa.RecordBatch.from_pandas(
                     pd.DataFrame({"doc_id": ids, "n_words": np.diff(firsts) - 1, "spans": spans, "items": items}), schema=_OUT, preserve_index=False
                 )
 
-    return index.mapInArrow(run, "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
+    rows = index.mapInArrow(run, "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
+    return rows.withColumn("doc_id", given("doc_id"))
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()),
@@ -197,20 +202,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slack:
             item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, n_words, spans of hit words (start, end; merged) and the sorted distinct items that occur, per document.
 
-    ``slack`` 0 gives exact phrase matches, more gives proximity matches. Every row of ``docs`` gives one row.
+    ``slack`` 0 gives exact phrase matches, more gives proximity matches. Every row of ``docs`` gives one row. The index
+    is a table of the run; ``build_index`` and ``find`` are there for one that is kept.
     """
-    index = written(build_index(docs, id_col, text))
-    out = None
-    for items, texts in _rounds(benchmark, item_col, item_text):
-        found = _matches(index, Phrases(items, texts, window), slack)
-        if out is None:
-            out = found
-        else:  # only for a benchmark beyond one round, over documents with unique ids
-            out = out.unionByName(found)
-    if slack or out is None or out is found:
-        return out
-    merged = out.groupBy("doc_id").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return merged
+    return result_of(lambda: find(written(build_index(docs, id_col, text)), benchmark, window, slack, item_col, item_text))
+
+
+def find(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slack: int = 0, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``matches`` over a stored index. Where the benchmark takes several rounds, rows that repeat an id give one row."""
+    rounds = [_matches(index, Phrases(items, texts, window), slack) for items, texts in _rounds(benchmark, item_col, item_text)]
+    if len(rounds) == 1:
+        return rounds[0]
+    merged = reduce(DataFrame.unionByName, rounds).groupBy("doc_id").agg(
+        F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"),
+        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
+    )
+    return merged.withColumns({"spans": F.array_sort("spans"), "items": F.array_sort("items")})
 
 
 def hits(found: DataFrame) -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.session import ensure_checkpoint_dir
@@ -14,6 +15,18 @@ from shelfcast.session import ensure_checkpoint_dir
 _MADE: list[str] = []
 
 
+#: Stands for a NULL id inside operators that keep ids as numbers; it comes before all others.
+NO_ID = -(1 << 63)
+
+
+def numbered(id_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+
+
+def given(number: str) -> Column:
+    return F.when(F.col(number) != NO_ID, F.col(number))
+
+
 def fresh(spark: SparkSession) -> str:
     """A new path below ``spark.checkpoint.dir``."""
     ensure_checkpoint_dir(spark)
@@ -22,13 +35,30 @@ def fresh(spark: SparkSession) -> str:
     return path
 
 
+#: Bytes of rows that go to a Python task at once, about; a longer row goes alone.
+BATCH_BYTES = "8m"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Rows go to Python in small batches while this holds, so that tasks hold little beside their slices."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def written_at(df: DataFrame, **options: str) -> tuple[DataFrame, str]:
     """``df`` as Parquet below ``spark.checkpoint.dir``, read again, and its path.
 
     Computed once, and safe from lost executors: what follows reads the files, not the lineage.
     """
     spark, path = df.sparkSession, fresh(df.sparkSession)
-    df.write.options(**{"compression": "zstd"} | options).parquet(path)
+    with small_batches(spark):
+        df.write.options(**{"compression": "zstd"} | options).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
