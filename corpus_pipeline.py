@@ -1,13 +1,14 @@
 """The training-data pipeline: stages over ``documents``, each written as Parquet and read again by the next.
 
 Each stage takes (spark, docs, sf_dir); all but the last return the columns they were given, whatever these are. NULL and
-empty texts fail the quality rules and so leave at the first stage. Rows that repeat an id share their fate. An empty
+empty texts fail the quality rules and so leave at the first stage. Rows that repeat an id, or have none, share their fate. An empty
 table stays empty through all stages.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shelfcast.llm import mixing, phrase_index, quality_trees, signature_join, token_output
 from shelfcast.llm.queries import tokenizer_path
@@ -22,15 +23,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of least id stays."""
     classes = signature_join.similar_classes(docs)
-    stay = classes.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").select(*docs.columns)
+    stay = classes.filter("doc_id <=> component_id").select(F.col("doc_id").alias("_stays")).distinct()
+    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stays")), "left_semi")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a window of a benchmark item occurs go."""
     found = phrase_index.matches(docs, read(spark, sf_dir, "benchmark"))
-    leaks = found.filter("size(spans) > 0").select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    leaks = found.filter("size(spans) > 0").select(F.col("doc_id").alias("_leaks")).distinct()
+    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_leaks")), "left_anti")
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

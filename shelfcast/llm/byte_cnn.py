@@ -10,7 +10,7 @@ order of a hash of the id; rows whose crc32(id as text) mod 5 is 0 are held out
 maxima to the windows that made them. Labels, language, source and id are no inputs of a score. The sample is the only
 bound; every document is scored on its whole text.
 
-NULL and empty texts have no chunks, all features 0 and the score of the bias. Repeated texts have equal scores. An empty
+NULL and empty texts have no chunks, all features 0 and the score of the bias. A NULL id is not held out. Repeated texts have equal scores. An empty
 table gives an empty result; without labels of both kinds the score is the label's share (0.5 without any). Columns
 besides id and text are not read.
 """
@@ -210,4 +210,4 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text: str = "te
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).mapInArrow(run, f"_id {kind}, score double").withColumnRenamed("_id", id_col)
-    return out.select(id_col, is_held_out(id_col).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return out.select(id_col, F.coalesce(is_held_out(id_col), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -18,7 +18,8 @@ their sets is at least 3/4. The work falls into four parts.
 4. Classes are the connected components of the links; the members of equal sets share their class.
 
 NULL, empty and word-less texts have an empty set and are linked with nothing. Texts of fewer words than a shingle are
-one shingle. Rows that repeat an id are judged each, and count as one document of that id. An empty table gives an empty
+one shingle. Rows that repeat an id are judged each, and count as one document of that id. A NULL id is the least of all;
+a class that holds one has a NULL component. An empty table gives an empty
 result. Columns besides id and text are not read.
 """
 
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.llm import arrays as A
 from shelfcast.llm.components import components
-from shelfcast.llm.tables import buckets_for, result_of, text_bytes, written
+from shelfcast.llm.tables import buckets_for, given, numbered, result_of, text_bytes, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -445,7 +446,7 @@ def links_and_members(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     """(links between sets that connect all linked ones: src, dst; members: id, set, size of every document)."""
     total = text_bytes(docs, text)
     buckets = buckets_for(total, BUCKET_BYTES)
-    packed = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text).alias("_text")).mapInArrow(_emit(buckets, shingle), _PACKED)
+    packed = docs.select(numbered(id_col).alias("_id"), F.col(text).alias("_text")).mapInArrow(_emit(buckets, shingle), _PACKED)
     shared = written(packed.groupBy("bucket").applyInArrow(_share(buckets), _PACKED))
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -488,4 +489,5 @@ def _classes(docs: DataFrame, id_col: str, text: str, shingle: int) -> DataFrame
     whole = least.groupBy("component").agg(F.min("least").alias("component_id"))
     of_set = least.join(whole, "component").select("set", "component_id")
     out = members.join(of_set, "set", "left")
-    return out.select(F.col("_id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("component_id", "_id").alias("component_id"))
+    out = out.withColumn("component_id", F.coalesce("component_id", "_id"))
+    return out.select(given("_id").alias(id_col), F.col("size").alias("n_shingles"), given("component_id").alias("component_id"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.llm import arrays as A
-from shelfcast.llm.tables import buckets_for, text_bytes, written
+from shelfcast.llm.tables import buckets_for, given, numbered, text_bytes, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -39,7 +39,6 @@ BUCKET_BYTES = 12 << 20
 #: Window starts handled at once in a task, and bytes of text whose segments are merged before they are sent.
 PIECE, SENT_BYTES = 1 << 18, 4 << 20
 _PLACE = np.uint64((1 << 24) - 1)
-_NO_ID = -(1 << 63)
 
 #: Columns of a packed row: values of a bucket, each an array.
 _SEGMENT = {"hash": np.uint64, "body": np.uint64, "doc": np.int64, "low": np.uint32, "off": np.uint8, "count": np.uint8}
@@ -410,7 +409,7 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", t
     if not GRAM < length <= 200:
         raise ValueError(f"a window of {length} bytes does not fit anchors of {GRAM} bytes")
     buckets = buckets_for(text_bytes(docs, text), BUCKET_BYTES)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("_key"), F.col(text).alias("_text"))
+    rows = docs.select(numbered(id_col).alias("_key"), F.col(text).alias("_text"))
     sent = rows.select(F.col("_key").alias("_id"), "_text").mapInArrow(_emit(buckets, length), _PACKED)
     met = written(sent.groupBy("kind", "bucket").applyInArrow(_meet(buckets), _PACKED))
     wanted = met.filter(F.col("kind") == OPEN).groupBy("bucket").applyInArrow(_wanted, "_key long, hash binary, low binary, off binary, count binary")
@@ -420,7 +419,7 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", t
     ranges = met.filter(F.col("kind") == RANGES).union(more).select("bucket", "doc", "low", "high")
     spans = ranges.groupBy("bucket").applyInArrow(_spans(length), "_key long, starts binary, ends binary")
     out = rows.join(spans, "_key", "left").mapInArrow(_cut, "_key long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
-    return out.select(F.when(F.col("_key") != _NO_ID, F.col("_key")).alias(id_col), "n_bytes", "spans", "kept")
+    return out.select(given("_key").alias(id_col), "n_bytes", "spans", "kept")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -7,11 +7,13 @@ import sys
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from llm.llm_cases import ODD
-from shelfcast.llm import phrase_index
-from shelfcast.llm.queries import ORACLE_SQL, QUERIES
-from shelfcast.llm.tables import read
+from shelfcast.llm import byte_cnn, phrase_index, signature_join, suffix_dedup, token_output
+from shelfcast.llm.queries import ORACLE_SQL, QUERIES, tokenizer_path
+from shelfcast.llm.tables import fresh, read
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -131,3 +133,22 @@ def test_entry_stands_without_the_subpackage(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and 'pipeline' not in q; e.oracle_sql()"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, env=env)
+
+
+def test_null_ids(spark, data_dir):
+    """A NULL id is carried through, before all others; a large id keeps all its digits."""
+    big, text = 2**62 + 1, "one two three four five six seven eight nine ten"
+    rows = [(None, text), (big, text), (None, None), (7, " ".join(f"w{i % 90}x{i}" for i in range(80)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit(None).cast("string"), "n_chars": F.lit(1).cast("long")})
+    bench = spark.createDataFrame([("q", text)], "item_id string, text string")
+    assert sorted((r["doc_id"] or 0, r["contaminated"]) for r in phrase_index.hits(phrase_index.matches(docs, bench)).collect()) == [(0, False), (0, True), (7, False), (big, True)]
+    got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in signature_join.similar_classes(docs).collect())
+    assert [(i, n, c) for i, n, c in got if i] == [(7, 76, 7), (big, 6, None)]
+    path = fresh(spark)
+    token_output.write_ids(docs, path, tokenizer_path("byte_bpe_50k.json"))
+    assert [r["doc_id"] for r in token_output.read_ids(spark, path).orderBy("start").collect()] == [None, None, 7, big]
+    assert {r["doc_id"] for r in suffix_dedup.dedup_bytes(docs).collect()} == {None, 7, big}
+    assert {r["held_out"] for r in byte_cnn.score(docs, byte_cnn._start(1)).filter("doc_id IS NULL").collect()} == {False}
+    for stage in (corpus_pipeline.ngram_jaccard_join, corpus_pipeline.benchmark_decontamination, corpus_pipeline.source_mix):
+        docs = stage(spark, docs, data_dir)
+    assert {r["doc_id"] for r in docs.collect()} <= {None, 7}
