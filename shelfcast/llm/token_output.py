@@ -10,7 +10,7 @@ id, where ``start`` is the number of ids before the block, and ``codes`` (token,
 every ``EVERY``-th id of a block, so a reader can begin there. The decoder begins at all checkpoints of a block at once:
 in each step it looks the next ``MAX_BITS`` bits of every lane up in one table, which gives an id and its bits.
 
-NULL and empty texts have only the end id. Documents with the same id follow each other in the order of their texts.
+NULL and empty texts have only the end id. A NULL id stands before all others. Documents with the same id follow each other in the order of their texts.
 An empty table gives two empty tables. Columns besides id and text are not read. A document longer than a block is a
 block of its own.
 """
@@ -119,7 +119,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text: s
         if held:
             yield out()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text).alias("_text")).repartitionByRange("_id").sortWithinPartitions("_id", "_text")
+    rows = docs.select(tables.numbered(id_col).alias("_id"), F.col(text).alias("_text")).repartitionByRange("_id").sortWithinPartitions("_id", "_text")
     return rows.mapInArrow(run, _RAW)
 
 
@@ -239,7 +239,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
         raise ValueError("a table lookup reads at most 24 bits")
     spark = docs.sparkSession
     raw, kept = tables.written_at(tokenised(docs, tokenizer, end_id, id_col, text))
-    counts = id_counts(raw).orderBy("token").toPandas()  # at most one row per vocabulary entry
+    with tables.small_batches(spark):
+        counts = id_counts(raw).orderBy("token").toPandas()  # at most one row per vocabulary entry
     tokens = counts["token"].to_numpy(np.int64)
     bits = code_lengths(counts["n"].to_numpy(np.int64), max_bits)
     spark.createDataFrame([(int(t), int(b)) for t, b in zip(tokens, bits, strict=True)], "token long, bits int").coalesce(1).write.parquet(f"{path}/codes")
@@ -266,7 +267,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
                     ["part", "block", "start", "doc_ids", "counts", "checkpoints", "payload"],
                 )
 
-    raw.mapInArrow(run, _BLOCKS).write.option("compression", "zstd").parquet(f"{path}/blocks")
+    with tables.small_batches(spark):
+        raw.mapInArrow(run, _BLOCKS).write.option("compression", "zstd").parquet(f"{path}/blocks")
     tables.delete(spark, kept)
 
 
@@ -295,4 +297,5 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
                 )
 
     blocks = spark.read.parquet(f"{path}/blocks").select("start", "doc_ids", "counts", "checkpoints", "payload")
-    return blocks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    rows = blocks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    return rows.withColumn("doc_id", tables.given("doc_id"))
