@@ -27,15 +27,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfcast.llm import arrays as A
-from shelfcast.llm.tables import written
+from shelfcast.llm.tables import result_of, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WEIGHTS = (5, 2, 1)
 BUDGET_SHARE = 1.5
 MAX_REPEATS = 2
-#: Rows of one bucket of a running order, about.
-BUCKET_ROWS = 20_000
+#: Rows of one bucket of a running order, about, and the least number of buckets.
+BUCKET_ROWS, LEAST_BUCKETS = 5_000, 64
 
 
 def sized(docs: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
@@ -109,15 +109,14 @@ def queue(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_share: flo
     stats = sizes.agg(F.count("*").alias("n"), F.sum("size").alias("words")).first()
     n, budget = stats["n"], float(stats["words"] or 0) * budget_share
     # Buckets are equal ranges of a hash, or of the finish time, so they hold about BUCKET_ROWS rows each.
-    parts = max(1, n // BUCKET_ROWS)
+    parts = max(LEAST_BUCKETS, n // BUCKET_ROWS)
     sizes = sizes.alias("a").join(targets.alias("b"), F.col("a._source").eqNullSafe(F.col("b._source")), "left").select("a.*", "source_size", "target")
     copies = sizes.filter("size > 0").select("*", F.explode(F.array(*[F.lit(r) for r in range(max_repeats)])).alias("round"))
     copies = copies.withColumn("key", order_key(F.col("_id"), F.col("round")))
     slot = F.col("round") * parts + F.floor(F.col("key") * parts / float(16**12)).cast("int")
     in_source = running(copies, ["_source"], slot, [F.col("round"), F.col("key"), F.col("_id"), F.col("size")], "size", "words_so_far")
     timed = in_source.withColumn("finish", F.col("words_so_far") / F.col("target"))
-    # The budget ends near finish time 1: rows beyond it by a whole bucket are never sorted, the ranges are equal parts of it.
-    lane = F.least(F.floor(F.col("finish") * parts * max_repeats), F.lit(4 * parts * max_repeats)).cast("int")
+    lane = F.floor(F.col("finish") * parts * max_repeats)
     order = [F.col(c) for c in ("finish", "_source", "round", "key", "_id", "size")]
     timed = timed.withColumn("_all", F.lit(0))
     mixed = running(timed, ["_all"], lane, order, "size", "mix_words")
@@ -126,11 +125,14 @@ def queue(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_share: flo
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_share: float = BUDGET_SHARE, max_repeats: int = MAX_REPEATS,
         id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """id, size, source_size, target and the words the mix takes of every document.
+    """id, size, source_size, target and the words the mix takes of every document: a few numbers each, written.
 
     Ids need not be unique; rows that share id, source and size share what is taken evenly, as their copies are alike.
     """
-    sizes, taken = queue(docs, weights, budget_share, max_repeats, id_col, text, source)
+    return result_of(lambda: _taken(*queue(docs, weights, budget_share, max_repeats, id_col, text, source), id_col))
+
+
+def _taken(sizes: DataFrame, taken: DataFrame, id_col: str) -> DataFrame:
     keys = ["_id", "_source", "size"]
     per = taken.groupBy(*keys).agg(F.count("*").alias("copies"))
     twins = sizes.groupBy(*keys, "source_size", "target").agg(F.count("*").alias("twins"))
