@@ -13,9 +13,10 @@ segment, the unit of work.
    from the anchor are equal if both parts agree far enough, and all but the first of a class are repeated.
 3. The repeated windows of a document are merged into spans and cut out.
 
-Order is by id, then place. NULL and empty texts have no bytes. Matches never cross documents. Rows that share an id are
-taken for one document: they do not count as repeats of each other, and what is found for the id is cut out of each. A
-NULL id stands before all others. An empty table gives an empty result. Columns besides id and text are not read.
+Order is by id, then place. NULL and empty texts have no bytes. Matches never cross documents. Every row is a document of
+its own, also where rows share an id or have none: such rows are ordered by a hash of their texts. NULL ids stand before
+all others. For that the rows are numbered in this order and written once to the shared folder. An empty table gives an
+empty result. Columns besides id and text are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.llm import arrays as A
-from shelfcast.llm.tables import buckets_for, given, numbered, text_bytes, written
+from shelfcast.llm.tables import buckets_for, text_bytes, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -199,9 +200,7 @@ def _fetch(buckets: int, length: int):
             parts: list[tuple[np.ndarray, ...]] = []
             for i in range(batch.num_rows):
                 h, low, off, count = (np.frombuffer(batch.column(n)[i].as_buffer(), _FETCHED[n]) for n in ("hash", "low", "off", "count"))
-                end = bounds[i] + low.astype(np.int64) + count + length - 1
-                fits = end <= bounds[i + 1]  # another row of the same id may be shorter
-                parts.append((h[fits], np.full(int(fits.sum()), keys[i], np.int64), low[fits], off[fits], count[fits], bounds[i] + low[fits].astype(np.int64)))
+                parts.append((h, np.full(len(h), keys[i], np.int64), low, off, count, bounds[i] + low.astype(np.int64)))
             if not parts:
                 continue
             h, doc, low, off, count, start = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -388,17 +387,27 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[], [], []]
         for i in range(batch.num_rows):
             size = int(bounds[i + 1] - bounds[i])
-            starts, ends = batch.column("starts")[i].as_py(), batch.column("ends")[i].as_py()
-            starts, ends = (np.minimum(np.frombuffer(x or b"", np.int64), size) for x in (starts, ends))
-            starts, ends = starts[ends > starts].tolist(), ends[ends > starts].tolist()
+            starts, ends = (np.frombuffer(batch.column(n)[i].as_py() or b"", np.int64).tolist() for n in ("starts", "ends"))
             text = raw[bounds[i] : bounds[i + 1]]
             out[0].append(size)
             out[1].append([{"start": a, "end": b} for a, b in zip(starts, ends, strict=True)])
             out[2].append(b"".join(bytes(text[a:b]) for a, b in zip([0, *ends], [*starts, size], strict=True)))
         yield pa.RecordBatch.from_arrays([
-            batch.column("_key"), pa.array(out[0], pa.int64()),
+            batch.column("_id"), pa.array(out[0], pa.int64()),
             pa.array(out[1], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(out[2], pa.binary()),
-        ], ["_key", "n_bytes", "spans", "kept"])
+        ], ["_id", "n_bytes", "spans", "kept"])
+
+
+def numbered_rows(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """_key (the number of the row in the order of the documents), _id and _text, written.
+
+    Sorted ranges number their rows in this order. Rows that have the same id and text are spread by where they come from,
+    so that many of them do not meet in one range.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text).alias("_text"))
+    rows = rows.withColumns({"_hash": F.xxhash64("_text"), "_from": F.monotonically_increasing_id()})
+    order = ("_id", "_hash", "_from")
+    return written(rows.repartitionByRange(*order).sortWithinPartitions(*order).select(F.monotonically_increasing_id().alias("_key"), "_id", "_text"))
 
 
 def dedup_bytes(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -409,7 +418,7 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", t
     if not GRAM < length <= 200:
         raise ValueError(f"a window of {length} bytes does not fit anchors of {GRAM} bytes")
     buckets = buckets_for(text_bytes(docs, text), BUCKET_BYTES)
-    rows = docs.select(numbered(id_col).alias("_key"), F.col(text).alias("_text"))
+    rows = numbered_rows(docs, id_col, text)
     sent = rows.select(F.col("_key").alias("_id"), "_text").mapInArrow(_emit(buckets, length), _PACKED)
     met = written(sent.groupBy("kind", "bucket").applyInArrow(_meet(buckets), _PACKED))
     wanted = met.filter(F.col("kind") == OPEN).groupBy("bucket").applyInArrow(_wanted, "_key long, hash binary, low binary, off binary, count binary")
@@ -418,8 +427,8 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", t
     more = fetched.groupBy("bucket").applyInArrow(_sorted_out(buckets, length), _PACKED)
     ranges = met.filter(F.col("kind") == RANGES).union(more).select("bucket", "doc", "low", "high")
     spans = ranges.groupBy("bucket").applyInArrow(_spans(length), "_key long, starts binary, ends binary")
-    out = rows.join(spans, "_key", "left").mapInArrow(_cut, "_key long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
-    return out.select(given("_key").alias(id_col), "n_bytes", "spans", "kept")
+    out = rows.join(spans, "_key", "left").mapInArrow(_cut, "_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    return out.withColumnRenamed("_id", id_col)
 
 
 def digest(found: DataFrame) -> DataFrame:

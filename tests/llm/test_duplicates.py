@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shelfcast.llm import line_chunks, signature_join, suffix_dedup
 from shelfcast.llm.components import components
@@ -160,6 +161,21 @@ def test_repeated_bytes_of_odd_texts(spark, odd):
         suffix_dedup.dedup_bytes(odd, length=20)
 
 
+def test_repeated_bytes_of_rows_without_an_id_of_their_own(spark):
+    """Every row is a document; rows that share an id, or have none, are in the order of their texts' hashes."""
+    rnd = random.Random(8)
+    word = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage, twin = word(230), word(500)
+    rows = [(rnd.choice([None, 1, 2, 3, i]), word(rnd.randint(0, 150)) + rnd.choice([passage, passage[60:], ""]) + word(rnd.randint(0, 150))) for i in range(40)]
+    rows += [(None, twin), (None, twin), (5, twin), (6, word(300)), (7, None), (None, None)] + [(6, word(300) + passage)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    order = docs.orderBy("doc_id", F.xxhash64("text")).collect()
+    want = brute_bytes([(i, r["text"]) for i, r in enumerate(order)])
+    got = suffix_dedup.digest(suffix_dedup.dedup_bytes(docs)).collect()
+    row = lambda i, *x: (i is not None, i or 0, *x)
+    assert sorted(row(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == sorted(row(r["doc_id"], *want[i]) for i, r in enumerate(order))
+
+
 @pytest.mark.parametrize("n", [1, 2, 9, 300])
 def test_sorting(n):
     rnd = random.Random(n)
