@@ -13,6 +13,11 @@ segment, the unit of work.
    from the anchor are equal if both parts agree far enough, and all but the first of a class are repeated.
 3. The repeated windows of a document are merged into spans and cut out.
 
+At the edges of a passage that many documents share, each of them gives another segment with the same anchor. Anchors with
+about ``HOT_BODIES`` different segments or more are found in a sample first, and each window of their segments goes as a
+segment of its own, dealt by its bytes instead of the anchor: equal windows still meet, and different ones are spread and
+need no sorting. An anchor that the sample misses is sorted like the others, with the same result.
+
 Order is by id, then place. NULL and empty texts have no bytes. Matches never cross documents. Every row is a document of
 its own, also where rows share an id or have none: such rows are ordered by a hash of their texts. NULL ids stand before
 all others. For that the rows are numbered in this order and written once to the shared folder. An empty table gives an
@@ -39,7 +44,11 @@ LENGTH, GRAM, SHALLOW = 100, 32, 32
 BUCKET_BYTES = 12 << 20
 #: Window starts handled at once in a task, and bytes of text whose segments are merged before they are sent.
 PIECE, SENT_BYTES = 1 << 18, 4 << 20
+#: Different segments of an anchor from which on they go by windows; one of so many segments is in the sample that finds
+#: these anchors. The list sent to the tasks has the most frequent ones, so it is bounded whatever the corpus.
+HOT_BODIES, HOT_SAMPLE, HOT_LISTED = 2048, 32, 1 << 18
 _PLACE = np.uint64((1 << 24) - 1)
+_NONE = np.zeros(0, np.uint64)
 
 #: Columns of a packed row: values of a bucket, each an array.
 _SEGMENT = {"hash": np.uint64, "body": np.uint64, "doc": np.int64, "low": np.uint32, "off": np.uint8, "count": np.uint8}
@@ -94,8 +103,11 @@ def least_in_windows(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(after[: n - width + 1], before[width - 1 : n])
 
 
-def segments(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> dict[str, np.ndarray]:
-    """hash, body, text (number), low (place in the text), off (of the anchor from low), count (of windows) of the segments."""
+def segments(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: int = GRAM, hot: np.ndarray = _NONE) -> dict[str, np.ndarray]:
+    """hash, body, text (number), low (place in the text), off (of the anchor from low), count (of windows) of the segments.
+
+    Segments whose anchor's hash is ``hot`` are split into their windows.
+    """
     out: list[dict[str, np.ndarray]] = []
     total = len(data) - length + 1
     for first in range(0, max(total, 0), PIECE):
@@ -113,12 +125,15 @@ def segments(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: i
             continue
         new = np.ones(len(start), bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
-        at = np.flatnonzero(new)
+        split = np.isin(key[anchor], hot) if len(hot) else np.zeros(len(start), bool)
+        at = np.flatnonzero(new | split)
         count = np.diff(np.append(at, len(start)))
-        low, anchor, text = start[at], anchor[at], text[at]
+        low, anchor, text, split = start[at], anchor[at], text[at], split[at]
         body = A.span_hash(prefix, low, low + count + length - 1)
         body = A.mix(body + (anchor - low).astype(A.U64) * A.U64(0x9E3779B97F4A7C15))
-        out.append({"hash": key[anchor], "body": body, "text": text, "low": low + first - bounds[text], "off": anchor - low, "count": count})
+        # Where a segment is a window, its hash is no other window's: hash and body together still tell the anchor's hash.
+        meet = np.where(split, A.mix(key[anchor] ^ A.mix(body)), key[anchor])
+        out.append({"hash": meet, "body": body, "text": text, "low": low + first - bounds[text], "off": anchor - low, "count": count})
     if not out:
         return {n: np.zeros(0, np.int64) for n in ("hash", "body", "text", "low", "off", "count")}
     return {n: np.concatenate([o[n] for o in out]) for n in out[0]}
@@ -138,12 +153,33 @@ def _ranges(s: dict[str, np.ndarray], at: np.ndarray) -> dict[str, np.ndarray]:
     return {"doc": s["doc"][at], "low": s["low"][at], "high": (s["low"][at].astype(np.int64) + s["count"][at] - 1).astype(np.uint32)}
 
 
-def _emit(buckets: int, length: int):
+def _sample(length: int):
+    """The hash and body of one of ``HOT_SAMPLE`` segments, chosen by the body."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("_id").to_numpy(zero_copy_only=False).astype(np.int64)
             for part in A.text_slices(batch.column("_text"), SENT_BYTES):
                 s = segments(part.data, part.bounds, length)
+                taken = A.mix(s["body"].astype(A.U64)) % A.U64(HOT_SAMPLE) == 0
+                yield pa.RecordBatch.from_arrays([pa.array(s[n][taken].astype(A.U64).view(np.int64)) for n in ("hash", "body")], ["hash", "body"])
+
+    return run
+
+
+def hot_anchors(rows: DataFrame, length: int = LENGTH) -> np.ndarray:
+    """The hashes of anchors with about ``HOT_BODIES`` different segments or more."""
+    bodies = rows.select("_text").mapInArrow(_sample(length), "hash long, body long").distinct()
+    counted = bodies.groupBy("hash").agg(F.count("*").alias("n")).filter(F.col("n") >= HOT_BODIES // HOT_SAMPLE)
+    found = counted.orderBy(F.desc("n"), "hash").limit(HOT_LISTED).collect()
+    return np.sort(np.array([r["hash"] for r in found], np.int64).view(A.U64))
+
+
+def _emit(buckets: int, length: int, hot: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            for part in A.text_slices(batch.column("_text"), SENT_BYTES):
+                s = segments(part.data, part.bounds, length, hot=hot)
                 s["doc"] = ids[part.first : part.last][s.pop("text")]
                 s = {n: s[n].astype(k) for n, k in _SEGMENT.items()}
                 order, first = _repeats(s)
@@ -419,7 +455,7 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", t
         raise ValueError(f"a window of {length} bytes does not fit anchors of {GRAM} bytes")
     buckets = buckets_for(text_bytes(docs, text), BUCKET_BYTES)
     rows = numbered_rows(docs, id_col, text)
-    sent = rows.select(F.col("_key").alias("_id"), "_text").mapInArrow(_emit(buckets, length), _PACKED)
+    sent = rows.select(F.col("_key").alias("_id"), "_text").mapInArrow(_emit(buckets, length, hot_anchors(rows, length)), _PACKED)
     met = written(sent.groupBy("kind", "bucket").applyInArrow(_meet(buckets), _PACKED))
     wanted = met.filter(F.col("kind") == OPEN).groupBy("bucket").applyInArrow(_wanted, "_key long, hash binary, low binary, off binary, count binary")
     # Both joins with the texts keep all documents, so that they share one shuffle of the texts.

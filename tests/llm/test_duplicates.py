@@ -4,9 +4,11 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from shelfcast.llm import arrays as A
 from shelfcast.llm import line_chunks, signature_join, suffix_dedup
 from shelfcast.llm.components import components
 from shelfcast.llm.queries import QUERIES
@@ -176,6 +178,24 @@ def test_repeated_bytes_of_rows_without_an_id_of_their_own(spark):
     assert sorted(row(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == sorted(row(r["doc_id"], *want[i]) for i, r in enumerate(order))
 
 
+def test_hot_anchors_are_split_by_windows(spark, monkeypatch):
+    """Many documents with one passage: at its edges each gives another segment, which must not meet in one bucket."""
+    rnd = random.Random(3)
+    word = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage = word(220)
+    rows = [(i, word(rnd.randint(100, 160)) + passage + word(rnd.randint(100, 160))) for i in range(150)] + [(200, "z" * 400), (201, "z" * 300 + "y" * 90)]
+    monkeypatch.setattr(suffix_dedup, "HOT_BODIES", 40)
+    monkeypatch.setattr(suffix_dedup, "HOT_SAMPLE", 2)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hot = suffix_dedup.hot_anchors(docs.select(F.col("text").alias("_text")))
+    part = next(A.text_slices(pa.array([t for _, t in rows])))
+    plain, split = (suffix_dedup.segments(part.data, part.bounds, hot=h) for h in (hot[:0], hot))
+    most = lambda s: max(len(set(s["body"][s["hash"] == h].tolist())) for h in np.unique(s["hash"]))
+    assert most(plain) >= 140 and most(split) < 80
+    assert plain["count"].sum() == split["count"].sum()
+    assert digests(suffix_dedup.digest(suffix_dedup.dedup_bytes(docs))) == brute_bytes(rows)
+
+
 @pytest.mark.parametrize("n", [1, 2, 9, 300])
 def test_sorting(n):
     rnd = random.Random(n)
