@@ -11,7 +11,8 @@ empty or all terms agree: exact phrase matches. With ``slack`` > 0 proximity mat
 ``slack`` places of where it belongs. All phrases of a shard advance together, one term a step.
 
 Terms are 64-bit hashes of the words. The phrases, at most ``MAX_BENCHMARK_BYTES`` of benchmark text a round, are sent to
-all tasks; a larger benchmark is searched in several rounds over the same index.
+all tasks; a larger benchmark is searched in several rounds over the same index, one after the other, each written and its
+phrases freed before the next. Rounds are merged by the shard's number and the document's place in it, never by id.
 
 NULL and empty texts have no words, no hits and no items. An item of fewer words than the window is one phrase; one
 without words has none. Repeated items and documents each get their own matches. Empty tables give an empty result (no
@@ -27,7 +28,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,7 +53,10 @@ def terms_of(part: A.Slice) -> tuple[np.ndarray, np.ndarray]:
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per shard: document ids, first place of each document, sorted terms, bounds of their postings, postings."""
+    """One row per shard: document ids, first place of each document, sorted terms, bounds of their postings, postings.
+
+    To be written before it is searched: the number of a shard holds for the written table.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,7 +72,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
                 row = (ids[part.first : part.last], firsts, words, edges if len(term) else edges[:1], place[order])
                 yield pa.RecordBatch.from_arrays([pa.array([A.pack(x)], pa.binary()) for x in row], ["ids", "firsts", "terms", "bounds", "postings"])
 
-    return docs.select(numbered(id_col).alias("_id"), F.col(text).alias("_text")).mapInArrow(run, INDEX)
+    shards = docs.select(numbered(id_col).alias("_id"), F.col(text).alias("_text")).mapInArrow(run, INDEX)
+    return shards.withColumn("shard", F.monotonically_increasing_id())
 
 
 class Phrases:
@@ -76,14 +81,15 @@ class Phrases:
 
     def __init__(self, items: list, texts: list, window: int):
         rows, owners = [], []
+        number = {item: i for i, item in enumerate(dict.fromkeys(items))}
         part = next(A.text_slices(pa.array(texts, pa.string()), 1 << 62), None)
         term, of = terms_of(part) if part is not None else (np.zeros(0, A.U64), np.zeros(0, np.int64))
         for item, first, last in zip(range(len(items)), *(np.searchsorted(of, np.arange(len(items)), side=s) for s in ("left", "right")), strict=True):
             words = term[first:last]
             for at in range(max(1, len(words) - window + 1) if len(words) else 0):
                 rows.append(words[at : at + window])
-                owners.append(item)
-        self.items = items
+                owners.append(number[items[item]])
+        self.items = list(number)
         self.length = np.array([len(r) for r in rows], np.int64)
         self.terms = np.zeros((len(rows), window), A.U64)
         for i, r in enumerate(rows):
@@ -137,10 +143,14 @@ def search(phrases: Phrases, firsts: np.ndarray, terms: np.ndarray, bounds: np.n
     return phrase[inside], start[inside]
 
 
-def _rounds(benchmark: DataFrame, item_col: str, text: str) -> Iterator[tuple[list, list]]:
-    """The items in groups of bounded text; one group unless the benchmark is larger than ``MAX_BENCHMARK_BYTES``."""
+def _round_count(benchmark: DataFrame, text: str) -> int:
+    """1 unless the benchmark is larger than ``MAX_BENCHMARK_BYTES``."""
     size = benchmark.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
-    groups = buckets_for(size, MAX_BENCHMARK_BYTES) if size > MAX_BENCHMARK_BYTES else 1
+    return buckets_for(size, MAX_BENCHMARK_BYTES) if size > MAX_BENCHMARK_BYTES else 1
+
+
+def _rounds(benchmark: DataFrame, groups: int, item_col: str, text: str) -> Iterator[tuple[list, list]]:
+    """The items in ``groups`` groups, collected one at a time."""
     rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text).alias("text"))
     for k in range(groups):
         got = rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(groups)) == k).collect()
@@ -155,9 +165,8 @@ def _shard(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, ...]:
     return tuple(np.frombuffer(batch.column(c)[i].as_buffer(), kind) for c, kind in _KINDS.items())
 
 
-def _matches(index: DataFrame, phrases: Phrases, slack: int) -> DataFrame:
-    """Per document: n_words, and of this round: ranges of hit words (starts and lengths, packed) and the items."""
-    spread = index.sparkSession.sparkContext.broadcast(phrases)
+def _matches(index: DataFrame, spread: Broadcast, slack: int, whole: bool = True) -> DataFrame:
+    """Per document: shard, place in it, n_words, and of this round: spans of hit words and the items; all or only with hits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = spread.value
@@ -186,15 +195,36 @@ def _matches(index: DataFrame, phrases: Phrases, slack: int) -> DataFrame:
                 begin, end = begin - firsts[of], end - firsts[of]
                 spans = [[{"start": int(a), "end": int(b)} for a, b in zip(begin[u:v], end[u:v], strict=True)] for u, v in zip(span[:-1], span[1:], strict=True)]
                 items = [[p.items[k] for k in pairs[u:v, 1]] for u, v in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_pandas(
-                    pd.DataFrame({"doc_id": ids, "n_words": np.diff(firsts) - 1, "spans": spans, "items": items}), schema=_OUT, preserve_index=False
-                )
-
-    rows = index.mapInArrow(run, "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
-    return rows.withColumn("doc_id", given("doc_id"))
-
-
-_OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()),
+                shard = np.full(n, batch.column("shard")[i].as_py(), np.int64)
+                out = pd.DataFrame({"shard": shard, "place": np.arange(n), "doc_id": ids, "n_words": np.diff(firsts) - 1, "spans": spans, "items": items})
+                yield pa.RecordBatch.from_pandas(out if whole else out[np.diff(span) > 0], schema=_OUT, preserve_index=False)
+
+    return index.mapInArrow(run, _ROW)
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose spans are merged where they overlap or touch."""
+    for batch in batches:
+        column = batch.column("spans")
+        value = column.flatten()
+        row = np.repeat(np.arange(len(column)), column.value_lengths().to_numpy(zero_copy_only=False))
+        start, end = (value.field(n).to_numpy(zero_copy_only=False) for n in ("start", "end"))
+        order = np.lexsort((start, row))
+        row, start, end = row[order], start[order], end[order]
+        # Each row's places lie behind all places of the row before, so that a running maximum stays in the row.
+        span = int(end.max(initial=0)) + 1
+        reach = np.maximum.accumulate(row * span + end) - row * span
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (start[1:] > reach[:-1])
+        at = np.flatnonzero(new)
+        last = np.append(at[1:], len(row)) - 1 if len(at) else at
+        merged = pa.StructArray.from_arrays([pa.array(start[at]), pa.array(reach[last])], ["start", "end"])
+        merged = pa.ListArray.from_arrays(pa.array(np.searchsorted(row[at], np.arange(len(column) + 1)), pa.int32()), merged)
+        yield pa.RecordBatch.from_arrays([merged if n == "spans" else batch.column(n) for n in _OUT.names], schema=_OUT)
+
+
+_ROW = "shard long, place long, doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+_OUT = pa.schema([("shard", pa.int64()), ("place", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()),
                   ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
 
 
@@ -209,15 +239,23 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slack:
 
 
 def find(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slack: int = 0, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``matches`` over a stored index. Where the benchmark takes several rounds, rows that repeat an id give one row."""
-    rounds = [_matches(index, Phrases(items, texts, window), slack) for items, texts in _rounds(benchmark, item_col, item_text)]
-    if len(rounds) == 1:
-        return rounds[0]
-    merged = reduce(DataFrame.unionByName, rounds).groupBy("doc_id").agg(
-        F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"),
-        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
-    )
-    return merged.withColumns({"spans": F.array_sort("spans"), "items": F.array_sort("items")})
+    """``matches`` over a stored index. The result does not depend on the number of rounds."""
+    context, groups, done = index.sparkSession.sparkContext, _round_count(benchmark, item_text), []
+    for k, (items, texts) in enumerate(_rounds(benchmark, groups, item_col, item_text)):
+        spread = context.broadcast(Phrases(items, texts, window))
+        found = _matches(index, spread, slack, whole=not k)
+        if groups > 1:
+            found = written(found)
+            spread.destroy()
+        done.append(found)
+    out = done[0]
+    if groups > 1:
+        each = reduce(DataFrame.unionByName, done).groupBy("shard", "place").agg(
+            F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
+            F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        )
+        out = each.mapInArrow(_joined, _ROW)
+    return out.select(given("doc_id").alias("doc_id"), "n_words", "spans", "items")
 
 
 def hits(found: DataFrame) -> DataFrame:

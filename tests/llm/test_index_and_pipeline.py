@@ -62,6 +62,21 @@ def test_phrases_in_made_texts(spark, monkeypatch, window):
     assert phrase_index.matches(docs.limit(0), bench).count() == 0
 
 
+def test_rounds_do_not_change_results(spark, monkeypatch):
+    """Rows that repeat an id, or have none, keep their own words, merged spans and distinct items in several rounds."""
+    rnd = np.random.default_rng(4)
+    text = lambda n: " ".join(rnd.choice(["a", "b", "c"], n))
+    rows = [([None, 1, 2, i][i % 4], text(int(rnd.integers(0, 60)))) for i in range(60)] + [(None, None), (1, "a b c a b c")] * 2
+    items = [(str(i % 9), text(int(rnd.integers(1, 9)))) for i in range(30)] + [(None, "a b c a")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    monkeypatch.setattr(phrase_index, "SHARD_BYTES", 300)
+    got = []
+    for limit in (1 << 20, 40):
+        monkeypatch.setattr(phrase_index, "MAX_BENCHMARK_BYTES", limit)
+        got.append(sorted(repr(r) for r in phrase_index.matches(docs, bench, 4).collect()))
+    assert len(got[0]) == len(rows) and got[0] == got[1]
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "x one two odd three four y"), (2, "one two three four"), (3, "four three two one"), (4, "one two"), (5, "one two . three")], "doc_id long, text string")
     bench = spark.createDataFrame([("q", "one two three four")], "item_id string, text string")
