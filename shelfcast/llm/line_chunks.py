@@ -9,9 +9,10 @@ Chunks meet by 64-bit hash first, as narrow rows that are counted in each task b
 seen twice fetch their text, and are then grouped by hash and text, which compares the bytes. A very common chunk is
 pre-aggregated there too, and the join that marks its occurrences can be split by the adaptive skew join.
 
-NULL texts have no lines, empty texts one empty line; both are kept as empty. Rows that share an id share its place in
-the order: the same chunk at the same place of two such rows is one occurrence. An empty table gives an empty result.
-Columns besides id and text are not read.
+NULL texts have no lines, empty texts one empty line; both are kept as empty. Every row is a document of its own, also
+where rows share an id or have none: such rows are ordered by a hash of their texts, and NULL ids stand before all others.
+Rows of the same id and text go as one, and what can be removed from all but one of them is. An empty table gives an empty
+result. Columns besides id and text are not read.
 """
 
 from __future__ import annotations
@@ -27,8 +28,22 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 10), 16, 10).cast("long")
 
 
+def different_rows(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """_id, _text, _hash of the text, and how many rows are the same; the texts are only compared if there are such rows."""
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"), F.xxhash64(text).alias("_hash"))
+    if rows.groupBy("_id", "_hash").agg(F.count("*").alias("copies")).filter("copies > 1").limit(1).count():
+        return rows.groupBy("_id", "_hash", "_text").agg(F.count("*").alias("copies"))
+    return rows.withColumn("copies", F.lit(1).cast("long"))
+
+
+def _of_rows(rows: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """``rows`` with what is found for each."""
+    found = found.withColumnsRenamed({"_id": "_of", "_hash": "_of_hash"})
+    return rows.join(found, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_hash") == F.col("_of_hash")), how).drop("_of", "_of_hash")
+
+
 def with_chunks(docs: DataFrame, id_col: str, text: str, window: int, divisor: int) -> DataFrame:
-    """_id, chunks: array of (k, n, body) in order; the bodies joined by line breaks are the text."""
+    """_id, _hash (of the text), copies, chunks: array of (k, n, body) in order; the bodies joined by line breaks are the text."""
     at = lambda i, j: F.element_at("hashes", (i - j + 1).cast("int")) * F.lit(_FACTOR**j)
 
     def ends(i: Column) -> Column:
@@ -37,7 +52,7 @@ def with_chunks(docs: DataFrame, id_col: str, text: str, window: int, divisor: i
             rolled = rolled + at(i, j)
         return rolled % divisor == 0
 
-    rows = docs.select(F.col(id_col).alias("_id"), F.split(text, "\n", -1).alias("lines"))
+    rows = different_rows(docs, id_col, text).select("_id", "_hash", "copies", F.split("_text", "\n", -1).alias("lines"))
     rows = rows.withColumn("hashes", F.transform("lines", line_hash))
     places = F.sequence(F.lit(window - 1), F.size("lines") - 1)
     rows = rows.withColumn("cuts", F.when(F.size("lines") >= window, F.filter(places, ends)).otherwise(F.array().cast("array<int>")))
@@ -49,7 +64,7 @@ def with_chunks(docs: DataFrame, id_col: str, text: str, window: int, divisor: i
         n = F.element_at("stops", k + 1) - s
         return F.struct(k.alias("k"), n.alias("n"), F.array_join(F.slice("lines", s + 1, n), "\n").alias("body"))
 
-    return rows.select("_id", F.when(F.col("lines").isNull(), F.lit(0)).otherwise(F.size("lines")).alias("n_lines"), F.transform("starts", chunk).alias("chunks"))
+    return rows.select("_id", "_hash", "copies", F.when(F.col("lines").isNull(), F.lit(0)).otherwise(F.size("lines")).alias("n_lines"), F.transform("starts", chunk).alias("chunks"))
 
 
 def _candidates(chunks: Column, least: int) -> Column:
@@ -57,22 +72,25 @@ def _candidates(chunks: Column, least: int) -> Column:
 
 
 def repeated_chunks(rows: DataFrame, least: int) -> DataFrame:
-    """_id, removed: the places of the chunks that stand earlier somewhere, per id."""
-    hashed = rows.select("_id", F.explode(F.transform(_candidates(F.col("chunks"), least), lambda c: F.struct(c["k"].alias("k"), F.xxhash64(c["body"]).alias("h")))).alias("c"))
-    hashed = hashed.select("_id", "c.k", "c.h")
+    """_id, _hash, removed: the places of the chunks that stand earlier somewhere, per row."""
+    hashed = rows.select("_id", "_hash", F.explode(F.transform(_candidates(F.col("chunks"), least), lambda c: F.struct(c["k"].alias("k"), F.xxhash64(c["body"]).alias("h")))).alias("c"))
+    hashed = hashed.select("_id", "_hash", "c.k", "c.h")
     twice = hashed.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    wanted = hashed.join(twice, "h").groupBy("_id").agg(F.collect_set("k").alias("places"))
-    found = rows.join(wanted, "_id").select("_id", F.explode(F.filter("chunks", lambda c: F.array_contains("places", c["k"]))).alias("c"))
-    found = found.select("_id", "c.k", F.xxhash64("c.body").alias("h"), "c.body")
-    first = found.groupBy("h", "body").agg(F.min(F.struct("_id", "k")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    again = found.join(first, ["h", "body"]).filter(F.struct("_id", "k") != F.col("first"))
-    return again.groupBy("_id").agg(F.collect_set("k").alias("removed"))
+    wanted = hashed.join(twice, "h").groupBy("_id", "_hash").agg(F.collect_set("k").alias("places"))
+    found = _of_rows(rows, wanted, "inner").select("_id", "_hash", F.explode(F.filter("chunks", lambda c: F.array_contains("places", c["k"]))).alias("c"))
+    found = found.select("_id", "_hash", "c.k", F.xxhash64("c.body").alias("h"), "c.body")
+    first = found.groupBy("h", "body").agg(F.min(F.struct("_id", "_hash", "k")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    again = found.join(first, ["h", "body"]).filter(~F.struct("_id", "_hash", "k").eqNullSafe(F.col("first")))
+    return again.groupBy("_id", "_hash").agg(F.collect_set("k").alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, divisor: int = DIVISOR, least: int = LEAST_LINES) -> DataFrame:
     """id, n_lines, n_chunks, n_removed_chunks, n_removed_lines and the kept text of every document."""
     rows = with_chunks(docs, id_col, text, window, divisor)
-    rows = rows.join(repeated_chunks(rows, least), "_id", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+    rows = _of_rows(rows, repeated_chunks(rows, least), "left")
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    every = F.transform(_candidates(F.col("chunks"), least), lambda c: c["k"])
+    rows = rows.withColumn("removed", F.when(F.col("copy") > 1, every).otherwise(F.coalesce("removed", F.array().cast("array<int>"))))
     gone = F.filter("chunks", lambda c: F.array_contains("removed", c["k"]))
     kept = F.filter("chunks", lambda c: ~F.array_contains("removed", c["k"]))
     return rows.select(

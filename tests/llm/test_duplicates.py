@@ -228,3 +228,41 @@ def test_line_chunks(spark, odd):
     assert got[8]["kept_text"] == ODD[7][1]
     assert got[9]["n_removed_lines"] in (0, 2, 3, 4)
     assert line_chunks.dedup_lines(odd.limit(0)).count() == 0
+
+
+def brute_chunks(texts):
+    """(removed lines, kept text) of every text, in their order."""
+    seen, out = set(), []
+    for text in texts:
+        chunks, last = [[]], None
+        for line in text.split("\n") if text is not None else []:
+            h = int(hashlib.md5(line.encode()).hexdigest()[:10], 16)
+            chunks[-1].append(line)
+            if last is not None and (h + 31 * last) % 3 == 0:
+                chunks.append([])
+            last = h
+        gone, kept = 0, []
+        for c in filter(None, chunks):
+            body = "\n".join(c)
+            if len(c) > 1 and body.strip() and body in seen:
+                gone += len(c)
+            else:
+                kept.append(body)
+            if len(c) > 1:
+                seen.add(body)
+        out.append((gone, "\n".join(kept)))
+    return out
+
+
+def test_line_chunks_of_rows_without_an_id_of_their_own(spark):
+    rnd = random.Random(6)
+    blocks = [[f"line {i} of block {b}" for i in range(8)] for b in range(5)]
+    rows = [(rnd.choice([None, 1, 2, 3]), "\n".join([f"own {i}", *blocks[rnd.randrange(5)], f"own {i} too", f"end {i}"])) for i in range(40)]
+    for docs in (rows, rows + rows[:3] * 2 + [(None, None), (None, None), (1, "")]):  # without and with equal rows
+        docs = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+        order = docs.orderBy("doc_id", F.xxhash64("text")).collect()
+        want = brute_chunks([r["text"] for r in order])
+        row = lambda i, *x: (i is not None, i or 0, *x)
+        got = line_chunks.dedup_lines(docs).collect()
+        assert sorted(row(r["doc_id"], r["n_removed_lines"], r["kept_text"]) for r in got) == sorted(row(r["doc_id"], *w) for r, w in zip(order, want, strict=True))
+        assert sum(w[0] for w in want) > 50
