@@ -24,6 +24,8 @@ from shelfcast.llm.components import components
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 #: Query parameters that do not change the page (fixed values).
 TRACKING = r"(?:utm_[a-z]+|ref|fbclid|gclid)"
+#: The attribute ``rel`` with the word ``canonical`` in its list.
+CANONICAL = r"""(?i)\brel\s*=\s*(?:"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|'(?:[^']*\s)?canonical(?:\s[^']*)?'|canonical(?=[\s/>]))"""
 
 
 def host_of(url: Column) -> Column:
@@ -58,10 +60,11 @@ def canonical_form(url: Column) -> Column:
 def linked_addresses(html: Column) -> Column:
     """Absolute addresses of canonical links and refresh redirects in a page, as an array; empty for NULL.
 
-    Only tags that hold both parts count; entities in addresses are not decoded except ``&amp;``.
+    Only tags that hold both parts count, however long they are; a tag that never ends is none. Entities in addresses are not decoded except ``&amp;``.
     """
-    tags = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?is)<(?:link|meta)\b[^>]{0,4000}>"), F.lit(0))
-    canonical = F.transform(F.filter(tags, lambda t: t.rlike(r"(?i)^<link\b") & t.rlike(r"""(?i)\brel\s*=\s*["']?canonical\b""")),
+    tags = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?is)<(?:link|meta)\b[^>]*+(?:>|\z)"), F.lit(0))
+    tags = F.filter(tags, lambda t: t.endswith(">"))
+    canonical = F.transform(F.filter(tags, lambda t: t.rlike(r"(?i)^<link\b") & t.rlike(CANONICAL)),
                             lambda t: F.regexp_extract(t, r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)""", 1))
     refresh = F.transform(F.filter(tags, lambda t: t.rlike(r"""(?i)\bhttp-equiv\s*=\s*["']?refresh\b""")),
                           lambda t: F.regexp_extract(t, r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)""", 1))

@@ -156,6 +156,19 @@ def test_url_rules_and_aliases(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_links_of_long_tags_and_lists_of_words(spark):
+    far = "http://x.com/de/" + "a" * 9000
+    pages = [
+        (f'<link rel="canonical" href="{far}">', [far]), (f'<meta http-equiv=refresh content="0; url={far}">', [far]),
+        ("<link rel='alternate canonical' href='http://a.b/1'>", ["http://a.b/1"]), ('<link href="http://a.b/2" rel=" Canonical nofollow"/>', ["http://a.b/2"]),
+        ("<link rel=canonical href=http://a.b/3>", ["http://a.b/3"]), ("<link href=http://a.b/4 rel=canonical>", ["http://a.b/4"]),
+        ('<link rel="canonical-like" href="http://a.b/5">', []), ('<link rel="canonical" href="http://a.b/6"', []), ("<link " * 200_000, []), (None, []),
+    ]
+    docs = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(pages)], "i int, html string")
+    got = docs.select("i", url_filter.linked_addresses(F.col("html")).alias("to")).orderBy("i").collect()
+    assert [r["to"] for r in got] == [to for _, to in pages]
+
+
 def test_mix_by_a_plain_queue(spark):
     import hashlib
 
