@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm import byte_cnn, line_chunks, mixing, phrase_index, quality_trees, signature_join, suffix_dedup, token_counts, token_output, url_filter
+from shelfcast.llm import byte_cnn, line_chunks, mixing, phrase_index, quality_trees, signature_join, simhash, suffix_dedup, token_counts, token_output, url_filter
 from shelfcast.llm.tables import fresh, read
 
 
@@ -63,8 +63,12 @@ def op10_benchmark_decontamination(spark: SparkSession, base: str) -> DataFrame:
     return phrase_index.hits(found)
 
 
+def op13_simhash_near_dedup(spark: SparkSession, base: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, base, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_output, op2_ngram_jaccard_join, op3_quality_rules, op4_suffix_dedup, op5_token_counts, op6_url_filter, op7_source_mix, op8_quality_classifier, op9_line_dedup, op10_benchmark_decontamination)
+    f.__name__: f for f in (op1_token_output, op2_ngram_jaccard_join, op3_quality_rules, op4_suffix_dedup, op5_token_counts, op6_url_filter, op7_source_mix, op8_quality_classifier, op9_line_dedup, op10_benchmark_decontamination, op13_simhash_near_dedup)
 }
 
 #: Queries that SQL can express.
