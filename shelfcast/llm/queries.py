@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm import byte_cnn, line_chunks, mixing, phrase_index, quality_trees, signature_join, simhash, suffix_dedup, token_counts, token_output, url_filter
+from shelfcast.llm import byte_cnn, conversation_trie, line_chunks, mixing, phrase_index, quality_trees, signature_join, simhash, suffix_dedup, token_counts, token_output, url_filter
 from shelfcast.llm.tables import fresh, read
 
 
@@ -63,12 +63,17 @@ def op10_benchmark_decontamination(spark: SparkSession, base: str) -> DataFrame:
     return phrase_index.hits(found)
 
 
+def op11_conversation_trie(spark: SparkSession, base: str) -> DataFrame:
+    own = conversation_trie.turn_sequences(read(spark, base, "conversations"))
+    return conversation_trie.prefix_trie(conversation_trie.shared_starts(own))
+
+
 def op13_simhash_near_dedup(spark: SparkSession, base: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, base, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_output, op2_ngram_jaccard_join, op3_quality_rules, op4_suffix_dedup, op5_token_counts, op6_url_filter, op7_source_mix, op8_quality_classifier, op9_line_dedup, op10_benchmark_decontamination, op13_simhash_near_dedup)
+    f.__name__: f for f in (op1_token_output, op2_ngram_jaccard_join, op3_quality_rules, op4_suffix_dedup, op5_token_counts, op6_url_filter, op7_source_mix, op8_quality_classifier, op9_line_dedup, op10_benchmark_decontamination, op11_conversation_trie, op13_simhash_near_dedup)
 }
 
 #: Queries that SQL can express.
@@ -126,4 +131,43 @@ ORACLE_SQL: dict[str, str] = {
     SELECT d.doc_id, COALESCE(n_lines, 0) AS n_lines, COALESCE(n_chunks, 0) AS n_chunks, COALESCE(n_removed_chunks, 0) AS n_removed_chunks,
            COALESCE(n_removed_lines, 0) AS n_removed_lines, sha256(COALESCE(kept, '')) AS kept_sha256
     FROM documents d LEFT JOIN summed USING (doc_id)""",
+    "op11_conversation_trie": """
+    WITH own AS (
+      SELECT conv_id, COALESCE(role, '') AS role, COALESCE(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL
+    ), numbered AS (
+      SELECT *, md5(strlen(role)::VARCHAR || ':' || role || text) AS digest FROM own
+    ), placed AS (
+      SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) - 1 AS place FROM numbered
+    ), checked AS (
+      SELECT conv_id, conv_id - conv_id % 100 AS base, xor(4294967295::BIGINT, list_reduce(
+        list_concat([4294967295::BIGINT], flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+        lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END)) % 6 AS h
+      FROM (SELECT DISTINCT conv_id FROM own)
+    ), rebuilt AS (
+      SELECT c.conv_id, p.place, p.digest, p.text FROM checked c JOIN placed p ON p.conv_id = c.base AND p.place < c.h
+      UNION ALL
+      SELECT c.conv_id, p.place, p.digest, p.text FROM checked c JOIN placed p ON p.conv_id = c.conv_id AND p.place >= c.h
+    ), members AS (
+      SELECT conv_id, ROW_NUMBER() OVER t AS depth, md5(string_agg(digest, '') OVER t) AS start, length(text) AS chars
+      FROM rebuilt WINDOW t AS (PARTITION BY conv_id ORDER BY place ROWS UNBOUNDED PRECEDING)
+      UNION ALL SELECT conv_id, 0, '', 0 FROM checked
+    ), sized AS (
+      SELECT *, depth = MAX(depth) OVER (PARTITION BY conv_id) AS ends FROM members
+    ), nodes AS (
+      SELECT depth, start, MIN(conv_id) AS conv_id, COUNT(*) AS n_convs, ANY_VALUE(chars) AS chars,
+             sha256(COALESCE(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+      FROM sized GROUP BY depth, start
+    ), tied AS (
+      SELECT n.*, p.start AS parent_start FROM nodes n LEFT JOIN members p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1
+    ), counted AS (
+      SELECT t.*, COALESCE(c.n_children, 0) AS n_children FROM tied t
+      LEFT JOIN (SELECT depth - 1 AS depth, parent_start, COUNT(*) AS n_children FROM tied WHERE depth > 0 GROUP BY 1, 2) c
+        ON c.depth = t.depth AND c.parent_start = t.start
+    ), below AS (
+      SELECT m.depth, m.start, COUNT(*) FILTER (c.n_children = 0) AS n_leaves, CAST(SUM((c.n_convs - 1) * c.chars) AS BIGINT) AS saved_tokens
+      FROM counted c JOIN members m ON m.conv_id = c.conv_id AND m.depth <= c.depth GROUP BY 1, 2
+    )
+    SELECT c.conv_id, c.depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, b.n_leaves, b.saved_tokens, c.ends_sha256
+    FROM counted c JOIN below b ON b.depth = c.depth AND b.start = c.start
+    LEFT JOIN nodes p ON p.depth = c.depth - 1 AND p.start = c.parent_start""",
 }
