@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm import byte_cnn, conversation_trie, line_chunks, mixing, phrase_index, quality_trees, signature_join, simhash, suffix_dedup, token_counts, token_output, url_filter
+from shelfcast.llm import byte_cnn, conversation_trie, line_chunks, mixing, phrase_index, quality_trees, signature_join, simhash, suffix_dedup, token_alignment, token_counts, token_output, url_filter
 from shelfcast.llm.tables import fresh, read
 
 
@@ -68,12 +68,17 @@ def op11_conversation_trie(spark: SparkSession, base: str) -> DataFrame:
     return conversation_trie.prefix_trie(conversation_trie.shared_starts(own))
 
 
+def op12_token_alignment(spark: SparkSession, base: str) -> DataFrame:
+    files = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
+    return token_alignment.align(read(spark, base, "documents"), *files)
+
+
 def op13_simhash_near_dedup(spark: SparkSession, base: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, base, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_output, op2_ngram_jaccard_join, op3_quality_rules, op4_suffix_dedup, op5_token_counts, op6_url_filter, op7_source_mix, op8_quality_classifier, op9_line_dedup, op10_benchmark_decontamination, op11_conversation_trie, op13_simhash_near_dedup)
+    f.__name__: f for f in (op1_token_output, op2_ngram_jaccard_join, op3_quality_rules, op4_suffix_dedup, op5_token_counts, op6_url_filter, op7_source_mix, op8_quality_classifier, op9_line_dedup, op10_benchmark_decontamination, op11_conversation_trie, op12_token_alignment, op13_simhash_near_dedup)
 }
 
 #: Queries that SQL can express.
