@@ -1,8 +1,8 @@
 """Alignment of two tokenizers' tokens over whole texts, and how often each pair of ids is linked in the corpus.
 
-Texts are cut before a blank or line feed that follows no white space: no token of either vocabulary crosses such a place (both
-are checked for it), so distinct chunks are encoded and aligned once for a slice and remembered for the next ones. Within
-a chunk, the tokenizers library gives character offsets and sentencepiece the spans of its proto. The ends both name are
+Texts are cut before a blank or line feed that follows no white space, and between a letter or digit and a punctuation mark that
+no piece holds side by side: no token of either vocabulary crosses such a place, so distinct chunks are encoded and aligned
+once and remembered for the next slices. Within a chunk, the tokenizers library gives character offsets and sentencepiece the spans of its proto. The ends both name are
 coarse cuts. A token that holds a part of a character, or is a byte of one, has no end of its own there: the stretch
 between two coarse cuts that holds such a token is cut further where the decoded bytes of both sides end together. A
 chunk whose decoded bytes differ from its text on either side leaves its document without tokens.
@@ -22,8 +22,9 @@ import hashlib
 import os
 import re
 import sys
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +38,12 @@ from shelfcast.llm.token_counts import byte_letters
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Bytes of text in one shard, about.
-SHARD_BYTES = 4 << 20
+#: Bytes of text in one shard, about, and chunks encoded at once.
+SHARD_BYTES, ENCODED = 2 << 20, 4_096
+#: Links of a group that are listed one by one before they are counted.
+LARGE_GROUP = 64
 BLANK, LINE = 0x20, 0x0A
+MARKS = ".,;:!?)]}\"%"
 SHARDS = pa.schema([
     ("shard", pa.int64()), ("ids", pa.list_(pa.int64())), ("n_a", pa.list_(pa.int64())), ("n_b", pa.list_(pa.int64())),
     ("n_groups", pa.list_(pa.int64())), ("n_links", pa.list_(pa.int64())), ("digest", pa.list_(pa.string())),
@@ -51,8 +55,8 @@ SHARDS_DDL = (
 )
 
 
-def chunk_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and text of the chunks: cuts stand before a blank or line feed that follows no white space of any kind."""
+def chunk_spans(data: np.ndarray, bounds: np.ndarray, parted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and text of the chunks. ``parted`` tells of two ASCII characters whether texts may be cut between them."""
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
@@ -64,28 +68,98 @@ def chunk_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     # White space beyond ASCII, or what might be: C2 85, C2 A0, E1 .. .., E2 80 .., E2 81 .., E3 80 80.
     wide = ((two == 0xC2) & np.isin(one, (0x85, 0xA0))) | (three == 0xE1) | ((three == 0xE2) & np.isin(two, (0x80, 0x81))) | ((three == 0xE3) & (two == 0x80) & (one == 0x80))
     cuts = at[(one > BLANK) & ~(wide & (one >= 0x80))]
-    full = bounds[:-1][bounds[:-1] < bounds[1:]]
-    start = np.union1d(cuts, full)
+    begins = np.zeros(n, bool)
+    begins[1:] = parted[data[:-1], data[1:]]
+    begins[cuts] = True
+    begins[bounds[:-1][bounds[:-1] < bounds[1:]]] = True
+    start = np.flatnonzero(begins)
     return start, np.concatenate([start[1:], [n]]), A.owner(start, bounds)
 
 
+class Vocabulary:
+    """The bytes of every token, and the decimal digits of its id."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.flat = np.frombuffer(b"".join(tokens), np.uint8)
+        self.size = np.array([len(t) for t in tokens], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.digits = [b"%d" % i for i in range(len(tokens))]
+
+    def decoded(self, ids: np.ndarray) -> np.ndarray:
+        return self.flat[A.ranges(self.start[ids], self.size[ids])]
+
+
+@dataclass
+class Side:
+    """One side's tokens of a run of chunks: ids, the chunk of each, and the ends that the library names."""
+
+    words: Vocabulary
+    ids: np.ndarray
+    chunk: np.ndarray
+    given: np.ndarray
+
+    def ends(self, start: np.ndarray) -> np.ndarray:
+        """Where the decoded bytes of each token end."""
+        total = np.cumsum(self.words.size[self.ids])
+        first = np.searchsorted(self.chunk, np.arange(len(start)))
+        before = np.concatenate([[0], total])[first]
+        return start[self.chunk] + total - before[self.chunk]
+
+    def differs(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Chunks whose decoded bytes are not their text."""
+        n = len(size)
+        bad = np.bincount(self.chunk, self.words.size[self.ids], n).astype(np.int64) != size
+        even = ~bad[self.chunk]
+        decoded, at = self.words.decoded(self.ids[even]), A.ranges(start[~bad], size[~bad])
+        bad[np.repeat(np.flatnonzero(~bad), size[~bad])[decoded != data[at]]] = True
+        return bad
+
+    def of(self, good: np.ndarray) -> Side:
+        keep = good[self.chunk]
+        return Side(self.words, self.ids[keep], self.chunk[keep], self.given[keep])
+
+
+def common_cuts(a_given: np.ndarray, a_true: np.ndarray, b_given: np.ndarray, b_true: np.ndarray) -> np.ndarray:
+    """Ends of both sides: the given ends where they are whole characters', decoded bytes in the stretches with a part of one."""
+    coarse = np.intersect1d(a_given[a_given == a_true], b_given[b_given == b_true], assume_unique=True)
+    a_in, b_in = np.searchsorted(coarse, a_true), np.searchsorted(coarse, b_true)
+    parts = np.union1d(a_in[a_given != a_true], b_in[b_given != b_true])
+    fine = np.intersect1d(a_true[np.isin(a_in, parts)], b_true[np.isin(b_in, parts)], assume_unique=True)
+    return np.union1d(coarse, fine)
+
+
 class Aligner(pretokens.Distinct):
     """Aligns distinct chunks. A remembered row: ok, tokens of A, of B, groups, then (a, b, links in two halves) of each pair."""
 
     def __init__(self, file_a: str, model_b: bytes):
         import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.a = Tokenizer.from_str(file_a)
         self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_proto=model_b)
+        # Chunks hold their own blanks, so the library adds none.
+        model = sentencepiece_model_pb2.ModelProto()
+        model.ParseFromString(model_b)
+        model.normalizer_spec.add_dummy_prefix = False
+        self.b = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
         letters = {c: i for i, c in enumerate(byte_letters())}
-        self.a_bytes = {i: bytes(letters.get(c, 0) for c in token) for token, i in self.a.get_vocab(with_added_tokens=False).items()}
+        tokens = [b""] * self.a.get_vocab_size(with_added_tokens=True)
+        for token, i in self.a.get_vocab(with_added_tokens=False).items():
+            tokens[i] = bytes(letters.get(c, 0) for c in token)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any("\n" in p or re.search("[^▁]▁", p) for p in pieces):
             raise ValueError("a piece of the second vocabulary crosses the cuts between chunks")
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.words_a = Vocabulary(tokens)
+        self.words_b = Vocabulary([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
+        # Between a letter or digit and a mark, unless a piece holds the two; a pre-token of the first side always ends there.
+        self.parted = np.zeros((256, 256), bool)
+        self.parted[np.ix_([b for b in range(128) if chr(b).isalnum()], [ord(c) for c in MARKS])] = True
+        for p in pieces:
+            for x, y in zip(p, p[1:], strict=False):
+                if ord(x) < 128 and ord(y) < 128:
+                    self.parted[ord(x), ord(y)] = False
         super().__init__(self.align)
 
     def forget(self) -> None:
@@ -93,83 +167,82 @@ class Aligner(pretokens.Distinct):
         self.digests: list[bytes] = []
 
     def align(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        made = [self.some(chunks[at : at + ENCODED]) for at in range(0, len(chunks), ENCODED)]
+        return np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made])
+
+    def sides(self, chunks: list[bytes], data: np.ndarray, start: np.ndarray) -> tuple[Side, Side]:
         texts = [c.decode("utf-8", "replace") for c in chunks]
+        number = np.arange(len(chunks))
         of_a = self.a.encode_batch(texts, add_special_tokens=False)
-        # The second library adds a blank itself: it replaces the chunk's own, or goes again before a line feed. To nothing it adds none.
-        of_b = self.b.encode([t[1:] or "\n" if t[0] == " " else t for t in texts], return_type="proto", num_threads=1)
-        flat, lengths = [], []
-        for chunk, text, a, b in zip(chunks, texts, of_a, of_b, strict=True):
-            row, digest = self.aligned(chunk, text, a, b)
-            self.digests.append(digest)
-            flat += row
-            lengths.append(len(row))
-        return np.array(flat, np.int32), np.array(lengths, np.int64)
-
-    def aligned(self, chunk: bytes, text: str, a, b) -> tuple[list[int], bytes]:
-        a_ids, a_ends = a.ids, [end for _, end in a.offsets]
-        pieces, shift = list(b.pieces), 1
-        if chunk[0] != BLANK:
-            pieces, shift = pieces[1:], 0
-        elif len(chunk) == 1:
-            pieces = pieces[:1]
-        b_ids, b_ends = [p.id for p in pieces], [p.end + shift for p in pieces]
-        a_parts, b_parts = [self.a_bytes.get(i, b"") for i in a_ids], [self.b_bytes[i] for i in b_ids]
-        if b"".join(a_parts) != chunk or b"".join(b_parts) != chunk:
-            return [0, 0, 0, 0], b""
-        if len(text) != len(chunk):  # character offsets as byte offsets
-            at = [0]
-            for c in text:
-                at.append(at[-1] + len(c.encode()))
-            a_ends = [at[e] for e in a_ends]
-        groups, links = [], Counter()
-        for a_from, a_to, b_from, b_to in groups_of(a_parts, a_ends, b_parts, b_ends):
-            in_a, in_b = a_ids[a_from:a_to], b_ids[b_from:b_to]
-            groups.append(b",".join(b"%d" % i for i in in_a) + b"|" + b",".join(b"%d" % i for i in in_b))
-            if len(in_a) == len(in_b) == 1:
-                links[in_a[0], in_b[0]] += 1
-            else:
-                often = Counter(in_b).items()
-                for i, n in Counter(in_a).items():
-                    for j, m in often:
-                        links[i, j] += n * m
-        row = [1, len(a_ids), len(b_ids), len(groups)]
-        for (i, j), n in links.items():
-            row += (i, j, n >> 31, n & 0x7FFFFFFF)
-        return row, b";".join(groups)
-
-
-def decoded_ends(parts: list[bytes]) -> list[int]:
-    total, out = 0, []
-    for p in parts:
-        total += len(p)
-        out.append(total)
-    return out
-
-
-def groups_of(a_parts: list[bytes], a_ends: list[int], b_parts: list[bytes], b_ends: list[int]) -> Iterator[tuple[int, int, int, int]]:
-    """Token ranges (of A from, to, of B from, to) between common ends: the given ends where they are whole characters', else decoded bytes."""
-    a_true, b_true = decoded_ends(a_parts), decoded_ends(b_parts)
-    a_sure = {e: k + 1 for k, e in enumerate(a_ends) if e == a_true[k]}
-    b_sure = {e: k + 1 for k, e in enumerate(b_ends) if e == b_true[k]}
-    a_from = b_from = 0
-    for end in sorted(a_sure.keys() & b_sure.keys()):
-        a_to, b_to = a_sure[end], b_sure[end]
-        if a_ends[a_from:a_to] == a_true[a_from:a_to] and b_ends[b_from:b_to] == b_true[b_from:b_to]:
-            yield a_from, a_to, b_from, b_to
-        else:  # a part of a character in between
-            b_at = {e: k for k, e in enumerate(b_true[b_from:b_to], b_from + 1)}
-            a_last, b_last = a_from, b_from
-            for k in range(a_from, a_to):
-                if a_true[k] in b_at:
-                    yield a_last, k + 1, b_last, b_at[a_true[k]]
-                    a_last, b_last = k + 1, b_at[a_true[k]]
-        a_from, b_from = a_to, b_to
-    if a_from < len(a_parts):  # the last ends belong to parts of characters
-        b_at = {e: k for k, e in enumerate(b_true[b_from:], b_from + 1)}
-        for k in range(a_from, len(a_parts)):
-            if a_true[k] in b_at:
-                yield a_from, k + 1, b_from, b_at[a_true[k]]
-                a_from, b_from = k + 1, b_at[a_true[k]]
+        ids = [e.ids for e in of_a]
+        chunk = np.repeat(number, [len(i) for i in ids])
+        lead = np.concatenate([np.flatnonzero((data & 0xC0) != 0x80), [len(data)]])  # characters' first bytes
+        last = np.fromiter((end for e in of_a for _, end in e.offsets), np.int64, len(chunk))
+        character = np.searchsorted(lead, start)[chunk] + last
+        a = Side(self.words_a, np.fromiter(chain.from_iterable(ids), np.int64, len(chunk)), chunk, lead[np.minimum(character, len(lead) - 1)])
+        pieces = [list(p.pieces) for p in self.b.encode(texts, return_type="proto", num_threads=1)]
+        chunk = np.repeat(number, [len(p) for p in pieces])
+        ids = np.fromiter((p.id for of in pieces for p in of), np.int64, len(chunk))
+        return a, Side(self.words_b, ids, chunk, start[chunk] + np.fromiter((p.end for of in pieces for p in of), np.int64, len(chunk)))
+
+    def some(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        n = len(chunks)
+        data, size = np.frombuffer(b"".join(chunks), np.uint8), np.array([len(c) for c in chunks], np.int64)
+        start = np.cumsum(size) - size
+        a, b = self.sides(chunks, data, start)
+        good = ~(a.differs(data, start, size) | b.differs(data, start, size))
+        a, b = a.of(good), b.of(good)
+        a_true, b_true = a.ends(start), b.ends(start)
+        cuts = common_cuts(a.given, a_true, b.given, b_true)
+        a_group, b_group = np.searchsorted(cuts, a_true), np.searchsorted(cuts, b_true)
+        of_chunk = np.searchsorted(start, cuts) - 1
+        self.digests += self.written(a.ids, a_group, b.ids, b_group, np.searchsorted(of_chunk, np.arange(n + 1)))
+        chunk, code, links = self.links(a.ids, a_group, b.ids, b_group, of_chunk)
+        pairs = np.bincount(chunk, minlength=n)
+        head = np.cumsum(4 + 4 * pairs) - 4 - 4 * pairs
+        flat = np.zeros(4 * (n + len(code)), np.int32)
+        for k, column in enumerate((good, np.bincount(a.chunk, minlength=n), np.bincount(b.chunk, minlength=n), np.bincount(of_chunk, minlength=n))):
+            flat[head + k] = column
+        at = np.repeat(head + 4, pairs) + 4 * A.ranges(np.zeros(n, np.int64), pairs)
+        for k, column in enumerate((code >> 32, code & 0xFFFFFFFF, links >> 31, links & 0x7FFFFFFF)):
+            flat[at + k] = column
+        return flat, 4 + 4 * pairs
+
+    def written(self, a_ids: np.ndarray, a_group: np.ndarray, b_ids: np.ndarray, b_group: np.ndarray, of_chunk: np.ndarray) -> list[bytes]:
+        """The groups of each chunk, as ``a1,a2|b1;a3|b2,b3``."""
+        number = np.arange(of_chunk[-1] + 1)
+        sides = []
+        for words, ids, group in ((self.words_a, a_ids, a_group), (self.words_b, b_ids, b_group)):
+            digits = [words.digits[i] for i in ids.tolist()]
+            at = np.searchsorted(group, number).tolist()
+            sides.append([digits[i] if j == i + 1 else b",".join(digits[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)])
+        groups = [x + b"|" + y for x, y in zip(*sides, strict=True)]
+        at = of_chunk.tolist()
+        return [b";".join(groups[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
+
+    def links(self, a_ids: np.ndarray, a_group: np.ndarray, b_ids: np.ndarray, b_group: np.ndarray, of_chunk: np.ndarray) -> tuple[np.ndarray, ...]:
+        """chunk, pair and number of links, each pair once in a chunk. Large groups go by distinct ids, as repeats in them multiply."""
+        n = len(of_chunk)
+        a_size, b_size = np.bincount(a_group, minlength=n), np.bincount(b_group, minlength=n)
+        a_first, b_first = np.cumsum(a_size) - a_size, np.cumsum(b_size) - b_size
+        large = a_size * b_size > LARGE_GROUP
+        each = np.flatnonzero(~large[a_group])
+        often = b_size[a_group[each]]
+        left = np.repeat(each, often)
+        right = A.ranges(b_first[a_group[each]], often)
+        parts = [(of_chunk[a_group[left]], (a_ids[left] << 32) | b_ids[right], np.ones(len(left), np.int64))]
+        for g in np.flatnonzero(large).tolist():
+            x, x_often = np.unique(a_ids[a_first[g] : a_first[g] + a_size[g]], return_counts=True)
+            y, y_often = np.unique(b_ids[b_first[g] : b_first[g] + b_size[g]], return_counts=True)
+            code = ((x << 32)[:, None] | y[None, :]).reshape(-1)
+            parts.append((np.full(len(code), of_chunk[g]), code, (x_often[:, None] * y_often[None, :]).reshape(-1)))
+        chunk, code, links = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.lexsort((code, chunk))
+        chunk, code, links = chunk[order], code[order], links[order]
+        new = np.ones(len(code), bool)
+        new[1:] = (chunk[1:] != chunk[:-1]) | (code[1:] != code[:-1])
+        first = np.flatnonzero(new)
+        return chunk[first], code[first], np.add.reduceat(links, first) if len(first) else links
 
 
 class Memory:
@@ -213,7 +286,7 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def shard_of(part: A.Slice, ids: list, aligner: Aligner, number: int) -> dict[str, list]:
     part = with_blank(part)
-    begin, end, text = chunk_spans(part.data, part.bounds)
+    begin, end, text = chunk_spans(part.data, part.bounds, aligner.parted)
     n = len(part.bounds) - 1
     row = aligner.look_up(part, begin, end)
     head = aligner.bounds[row]
