@@ -34,12 +34,14 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 WEIGHTS = (5, 2, 1)
 BUDGET_SHARE = 1.5
 MAX_REPEATS = 2
+#: Alike rows listed from one array at most.
+LISTED = 10_000
 #: Rows of one bucket of a running order, about, and the least number of buckets.
 BUCKET_ROWS, LEAST_BUCKETS = 5_000, 64
 
 
 def sized(docs: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
-    """id, source, size in words and the order key of every document; the text goes no further."""
+    """id, source, hash of the text and size in words of every document; the text goes no further."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -52,11 +54,16 @@ def sized(docs: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
                 starts[at] = inside[at]
                 total = np.concatenate([[0], np.cumsum(starts, dtype=np.int64)])
                 size[part.first : part.last] = total[part.bounds[1:]] - total[part.bounds[:-1]]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_source"), pa.array(size)], ["_id", "_source", "size"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_id", "_source", "_mark")), pa.array(size)], ["_id", "_source", "_mark", "size"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    cols = [F.col(id_col).alias("_id"), F.col(source).cast("string").alias("_source"), F.col(text).alias("_text")]
-    return docs.select(*cols).mapInArrow(run, f"_id {kind}, _source string, size long")
+    cols = [F.col(id_col).alias("_id"), F.col(source).cast("string").alias("_source"), mark(text).alias("_mark"), F.col(text).alias("_text")]
+    return docs.select(*cols).mapInArrow(run, f"_id {kind}, _source string, _mark long, size long")
+
+
+def mark(text: str) -> Column:
+    """Tells rows that share an id apart."""
+    return F.xxhash64(F.col(text))
 
 
 def order_key(id_col: Column, round_: Column) -> Column:
@@ -113,7 +120,8 @@ def queue(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_share: flo
     sizes = sizes.alias("a").join(targets.alias("b"), F.col("a._source").eqNullSafe(F.col("b._source")), "left").select("a.*", "source_size", "target")
     copies = sizes.filter("size > 0").select("*", F.explode(F.array(*[F.lit(r) for r in range(max_repeats)])).alias("round"))
     copies = copies.withColumn("key", order_key(F.col("_id"), F.col("round")))
-    slot = F.col("round") * parts + F.floor(F.col("key") * parts / float(16**12)).cast("int")
+    # Divided first: the product of key and buckets would not fit 64 bits for many documents. The quotient is exact.
+    slot = F.col("round") * F.lit(parts).cast("long") + F.floor(F.col("key") / float(16**12) * parts).cast("long")
     in_source = running(copies, ["_source"], slot, [F.col("round"), F.col("key"), F.col("_id"), F.col("size")], "size", "words_so_far")
     timed = in_source.withColumn("finish", F.col("words_so_far") / F.col("target"))
     lane = F.floor(F.col("finish") * parts * max_repeats)
@@ -132,24 +140,51 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_share: float
     return result_of(lambda: _taken(*queue(docs, weights, budget_share, max_repeats, id_col, text, source), id_col))
 
 
-def _taken(sizes: DataFrame, taken: DataFrame, id_col: str) -> DataFrame:
-    keys = ["_id", "_source", "size"]
+def _shares(sizes: DataFrame, taken: DataFrame) -> DataFrame:
+    """How many copies the mix takes of all rows alike in id, source and text (``copies``), and how many such rows there are."""
+    keys = ["_id", "_source", "_mark", "size"]
     per = taken.groupBy(*keys).agg(F.count("*").alias("copies"))
     twins = sizes.groupBy(*keys, "source_size", "target").agg(F.count("*").alias("twins"))
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in keys]
-    out = twins.alias("a").join(per.alias("b"), same, "left").select("a.*", F.coalesce("copies", F.lit(0)).alias("copies"))
-    each = out.select("*", F.posexplode(F.sequence(F.lit(1), F.col("twins").cast("int"))).alias("_nth", "_one"))
-    share = F.floor(F.col("copies") / F.col("twins")) + (F.col("_nth") < F.col("copies") % F.col("twins")).cast("long")
+    return twins.alias("a").join(per.alias("b"), same, "left").select("a.*", F.coalesce("copies", F.lit(0)).alias("copies"))
+
+
+def _nth_share(nth: Column) -> Column:
+    """Copies of the nth row (from 0) among rows that are alike."""
+    return F.floor(F.col("copies") / F.col("twins")).cast("long") + (nth < F.col("copies") % F.col("twins")).cast("long")
+
+
+def _taken(sizes: DataFrame, taken: DataFrame, id_col: str) -> DataFrame:
+    out = _shares(sizes, taken)
+    alone = out.filter("twins = 1").withColumn("share", F.col("copies"))
+    # Alike rows come in two kinds only: with one copy more, and without.
+    more, rest = F.col("copies") % F.col("twins"), F.floor(F.col("copies") / F.col("twins")).cast("long")
+    kinds = F.array(F.struct((rest + 1).alias("share"), more.alias("rows")), F.struct(rest.alias("share"), (F.col("twins") - more).alias("rows")))
+    alike = out.filter("twins > 1").select("*", F.inline(kinds)).filter("rows > 0")
+    # Long runs are listed in pieces, so that no row holds one array for all of them.
+    piece = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / LISTED).cast("long")))
+    alike = alike.withColumn("_piece", piece).withColumn("_rows", F.least(F.lit(LISTED), F.col("rows") - F.col("_piece") * LISTED).cast("int"))
+    alike = alike.withColumn("_one", F.explode(F.array_repeat(F.lit(0), F.col("_rows"))))
+    columns = ["_id", "size", "source_size", "target", "share"]
+    each = alone.select(*columns).unionByName(alike.select(*columns))
     return each.select(
         F.col("_id").alias(id_col), "size", "source_size", F.col("target").cast("double").alias("target"),
-        (share * F.col("size")).cast("long").alias("taken"),
+        (F.col("share") * F.col("size")).cast("long").alias("taken"),
     )
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them (0 to ``max_repeats`` times), all columns kept."""
-    taken = mix(docs, id_col=id_col, text=text, source=source, **how)
-    copies = taken.filter("taken > 0").select(F.col(id_col).alias("_mix_id"), (F.col("taken") / F.col("size")).cast("int").alias("_copies"))
-    copies = copies.groupBy("_mix_id").agg(F.max("_copies").alias("_copies"))
-    out = docs.join(copies, F.col(id_col).eqNullSafe(F.col("_mix_id"))).drop("_mix_id")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies", "_copy")
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS,
+                    budget_share: float = BUDGET_SHARE, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them (0 to ``max_repeats`` times), all columns kept.
+
+    Rows are told apart by id, source and text. The join is a shuffled one at every size, as the list of ids grows with the rows.
+    """
+    copies = result_of(lambda: _shares(*queue(docs, weights, budget_share, max_repeats, id_col, text, source))).filter("copies > 0")
+    copies = copies.select(F.struct("_id", "_source", "_mark").alias("_key"), "copies", "twins")
+    rows = docs.withColumn("_key", F.struct(F.col(id_col).alias("_id"), F.col(source).cast("string").alias("_source"), mark(text).alias("_mark")))
+    rows = rows.join(copies.hint("shuffle_hash"), "_key")
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0))) - 1
+    alone = rows.filter("twins = 1").withColumn("_copies", F.col("copies"))
+    alike = rows.filter("twins > 1").withColumn("_copies", _nth_share(nth))
+    out = alone.unionByName(alike).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int"))))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -217,3 +217,29 @@ def test_mix_of_odd_rows(spark, odd):
     blank = mixing.mix(odd.filter("doc_id < 4")).collect()
     assert [(r["size"], r["taken"]) for r in blank] == [(0, 0)] * 3
     assert mixing.mixed_documents(twins.filter(F.col("doc_id") == 5)).count() > 0
+
+
+def test_mix_does_not_depend_on_the_number_of_buckets(spark, monkeypatch, texts):
+    """So many buckets that order key times buckets would not fit 64 bits."""
+    rows = spark.createDataFrame([(d, t, f"s{d % 4}") for d, t in texts], "doc_id long, text string, source string")
+    plain = {r["doc_id"]: r["taken"] for r in mixing.mix(rows).collect()}
+    monkeypatch.setattr(mixing, "LEAST_BUCKETS", 1_000_000)
+    assert {r["doc_id"]: r["taken"] for r in mixing.mix(rows).collect()} == plain
+
+
+def test_mixed_documents_of_missing_and_repeated_ids(spark, monkeypatch):
+    """Every row comes as often as the mix takes it, also where rows share an id, or all but the text."""
+    monkeypatch.setattr(mixing, "LISTED", 3)
+    rows = [(None, f"text {k} " * (k % 5 + 1), f"s{k % 3}") for k in range(60)] + [(7, f"other {k} words", "s1") for k in range(40)] + [(8, "all alike", "s2")] * 25
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    words = lambda rs: sum(len(r["text"].split()) for r in rs)
+    taken = sorted((r["size"], r["taken"]) for r in mixing.mix(docs).collect())
+    out = mixing.mixed_documents(docs).collect()
+    assert len(taken) == len(rows) and words(out) == sum(t for _, t in taken)
+    often = {}
+    for r in out:
+        often[r] = often.get(r, 0) + 1
+    expected = {}
+    for r in rows:
+        expected[r] = expected.get(r, 0) + 1
+    assert all(n <= 2 * expected[tuple(r)] for r, n in often.items())
