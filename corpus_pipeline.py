@@ -24,7 +24,8 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Of each group of near duplicates the document of least id stays."""
     classes = signature_join.similar_classes(docs)
     stay = classes.filter("doc_id <=> component_id").select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stays")), "left_semi")
+    # The list of ids grows with the documents, so it is shuffled at every size, and only the list is held in memory.
+    return docs.join(stay.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_stays")), "left_semi")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
