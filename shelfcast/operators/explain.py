@@ -18,9 +18,9 @@ from shelfcast.operators.combine import key_digest, top_k_per_group
 from shelfcast.operators.learners import MODEL_FEATURES, numeric, score
 
 
-def model_importance(spark: SparkSession, model: PipelineModel, features: Sequence[str]) -> DataFrame:
+def model_importance(spark: SparkSession, model, features: Sequence[str]) -> DataFrame:
     """Importance of each feature inside a fitted tree model, largest first."""
-    weights = model.stages[-1].featureImportances.toArray()
+    weights = model.stages[-1].featureImportances.toArray() if isinstance(model, PipelineModel) else model.importances()
     rows = [(f, float(w)) for f, w in zip(features, weights)]
     return spark.createDataFrame(rows, "Feature string, Importance double").orderBy(F.desc("Importance"), "Feature")
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.functions.scalars import at_most, ratio
 from shelfcast.names import DATE, HOLIDAY, KEYS, TARGET
+from shelfcast.operators import binned_trees
 from shelfcast.operators.baselines import PREDICTION_COLUMNS, naive_columns
 from shelfcast.operators.evaluate import error_metrics
 from shelfcast.session import cut_lineage
@@ -170,8 +171,21 @@ def fit_forest(
     return _fit(train, features, target, forest, written)
 
 
-def score(model: PipelineModel, rows: DataFrame, features: Sequence[str] = MODEL_FEATURES, out: str = "Predicted") -> DataFrame:
+def fit_second_order(
+    train: DataFrame, features: Sequence[str], settings: Boosting, target: str = TARGET, row_id: Sequence[str] = (*KEYS, DATE)
+) -> binned_trees.TreeModel:
+    """Boosted trees over all rows from gradients and curvatures, with ridge leaves; a job per level, whatever the rows."""
+    rows = train.where(F.col(target).isNotNull()).withColumn("_all", F.lit(1.0))
+    blocks = binned_trees.blocks_of(rows, features, {"y": target, "all": "_all"}, row_id)
+    return binned_trees.boosted(
+        blocks, [binned_trees.Task("y", "all")], settings.trees, settings.depth, settings.rate, settings.row_share, settings.feature_share, settings.seed
+    )[0]
+
+
+def score(model: PipelineModel | binned_trees.TreeModel, rows: DataFrame, features: Sequence[str] = MODEL_FEATURES, out: str = "Predicted") -> DataFrame:
     """Rows with the model's prediction; columns that served as features come back unfilled."""
+    if isinstance(model, binned_trees.TreeModel):
+        return binned_trees.scored(model, rows, out)
     packed = rows.withColumn("_row", F.struct(*rows.columns))
     scored = model.transform(numeric(packed, features).drop("Predicted"))
     return scored.select("_row.*", F.col("Predicted").alias(out))

@@ -2,7 +2,8 @@
 
 Spark groups the weeks of a series (at most one row per calendar week) and spreads the series over the cluster; all
 models of a series are fitted in one pass over its rows, so a study reads the weekly table once however many models it
-compares. A series is small, so splits are exact and the published numbers of trees cost milliseconds.
+compares. A series is small, so splits are exact; the published numbers of trees take about a second a series and model, so
+series are dealt to tasks by their number, not by the bytes of their rows.
 """
 
 from __future__ import annotations
@@ -17,10 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.names import DATE, KEYS, TARGET
+from shelfcast.operators import learners
 from shelfcast.operators.learners import MODEL_FEATURES, Boosting, Forest, numeric
 
 # The functions travel with the task, so executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
+# So do the settings, whose classes are defined there.
+cloudpickle.register_pickle_by_value(learners)
 
 Tree = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 

@@ -5,19 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import RandomForestRegressor
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.functions.quantiles import attach_scalars
 from shelfcast.names import DATE, HOLIDAY, KEYS, TARGET
+from shelfcast.operators import binned_trees, causal_forest
 from shelfcast.operators.combine import key_digest, one_hot
 from shelfcast.operators.features import uplift_features
-from shelfcast.operators.learners import UPLIFT_FEATURES, Boosting, Forest, fit_boosting, numeric, score, training_rows
+from shelfcast.operators.learners import UPLIFT_FEATURES, Boosting, Forest, score
 from shelfcast.session import cut_lineage
 
 # Controls of the causal model and its settings.
@@ -31,21 +28,6 @@ def uplift_rows(fact: DataFrame, needed: Sequence[str] = CONTROLS) -> DataFrame:
     return uplift_features(fact).dropna(subset=[*needed, TARGET])
 
 
-def _treatment_model(train: DataFrame, controls: Sequence[str], settings: Boosting) -> PipelineModel:
-    classifier = GBTClassifier(
-        featuresCol="features",
-        labelCol="_t",
-        maxIter=settings.trees,
-        maxDepth=settings.depth,
-        stepSize=settings.rate,
-        subsamplingRate=settings.row_share,
-        featureSubsetStrategy="all" if settings.feature_share >= 1 else str(settings.feature_share),
-        seed=settings.seed,
-    )
-    rows = training_rows(train, controls, "_t", written=True)
-    return Pipeline(stages=[VectorAssembler(inputCols=list(controls), outputCol="features"), classifier]).fit(rows)
-
-
 def cross_fit_residuals(
     rows: DataFrame,
     controls: Sequence[str] = CONTROLS,
@@ -56,48 +38,40 @@ def cross_fit_residuals(
     row_id: Sequence[str] = (*KEYS, DATE),
     clip: float = 0.01,
 ) -> DataFrame:
-    """Outcome and treatment residuals; each fold is predicted by models that never saw it."""
+    """Outcome and treatment residuals; each fold is predicted by models that never saw it.
+
+    The outcome and treatment models of all folds grow in step: every job splits a level of one tree of each.
+    """
     fold = F.conv(F.substring(key_digest(row_id), 1, 8), 16, 10).cast("bigint") % folds
     table = cut_lineage(rows.withColumn("_fold", fold).withColumn("_t", F.col(treatment).cast("double")))
-    parts = []
-    for k in range(folds):
-        train, held_out = table.where(F.col("_fold") != k), table.where(F.col("_fold") == k)
-        outcome = fit_boosting(train, controls, settings, target, written=True)
-        chance = _treatment_model(train, controls, settings)
-        scored = score(outcome, held_out, controls, "_y_hat")
-        packed = numeric(scored.withColumn("_row", F.struct(*scored.columns)), controls)
-        parts.append(chance.transform(packed).select("_row.*", vector_to_array("probability")[1].alias("_p")))
-    p = F.greatest(F.lit(clip), F.least(F.lit(1 - clip), F.col("_p")))
-    return (
-        reduce(DataFrame.unionByName, parts)
-        .withColumn("_y_res", F.col(target) - F.col("_y_hat"))
-        .withColumn("_t_res", F.col("_t") - p)
-        .drop("_fold", "_y_hat", "_p")
-    )
+    learns = {f"learns_{k}": f"_learns_{k}" for k in range(folds)}
+    marked = table.where(F.col(target).isNotNull()).withColumns({f"_learns_{k}": (F.col("_fold") != k).cast("double") for k in range(folds)})
+    blocks = binned_trees.blocks_of(marked, controls, {"y": target, "t": "_t"} | learns, row_id)
+    tasks = [binned_trees.Task("y", k) for k in learns] + [binned_trees.Task("t", k, logistic=True) for k in learns]
+    models = binned_trees.boosted(blocks, tasks, settings.trees, settings.depth, settings.rate, settings.row_share, settings.feature_share, settings.seed)
+    names = [f"_{what}_{k}" for what in ("y_hat", "p") for k in range(folds)]
+    scored = binned_trees.with_arrays(table, controls, lambda x: [m.predict(x) for m in models], names)
+    of_fold = lambda what: F.coalesce(*[F.when(F.col("_fold") == k, F.col(f"_{what}_{k}")) for k in range(folds)])
+    p = F.greatest(F.lit(clip), F.least(F.lit(1 - clip), of_fold("p")))
+    return scored.withColumns({"_y_res": F.col(target) - of_fold("y_hat"), "_t_res": F.col("_t") - p}).drop("_fold", *names)
 
 
 def causal_uplift(
-    residuals: DataFrame, controls: Sequence[str] = CONTROLS, settings: Forest = CAUSAL_FOREST
-) -> tuple[DataFrame, PipelineModel]:
-    """Effect of the treatment per row: a forest on the residual ratio, weighted by the squared treatment residual."""
-    table = residuals.withColumn("_effect", F.col("_y_res") / F.col("_t_res")).withColumn(
-        "_weight", F.col("_t_res") * F.col("_t_res")
-    )
-    forest = RandomForestRegressor(
-        featuresCol="features",
-        labelCol="_effect",
-        weightCol="_weight",
-        predictionCol="Predicted",
-        numTrees=settings.trees,
-        maxDepth=settings.depth,
-        minInstancesPerNode=settings.min_leaf,
-        featureSubsetStrategy="all",
-        seed=settings.seed,
-    )
-    rows = training_rows(table, controls, "_effect", ["_weight"])
-    model = Pipeline(stages=[VectorAssembler(inputCols=list(controls), outputCol="features"), forest]).fit(rows)
-    scored = score(model, residuals, controls, "Holiday_Uplift")
-    return scored.drop("_t", "_y_res", "_t_res"), model
+    residuals: DataFrame,
+    controls: Sequence[str] = CONTROLS,
+    settings: Forest = CAUSAL_FOREST,
+    cluster: Sequence[str] = KEYS[:1],
+    row_id: Sequence[str] = (*KEYS, DATE),
+) -> tuple[DataFrame, causal_forest.CausalForest]:
+    """Effect of the treatment per row with its standard error and interval, by an honest causal forest; and the forest."""
+    known = residuals.where(F.col("_y_res").isNotNull())
+    model = causal_forest.fit(known, controls, "_y_res", "_t_res", cluster, row_id, settings.trees, settings.depth, settings.min_leaf, seed=settings.seed)
+    return causal_forest.with_effects(model, residuals.drop("_t", "_y_res", "_t_res")), model
+
+
+def mean_interval(effects: DataFrame, measure: str = "Holiday_Uplift") -> DataFrame:
+    """The mean effect and the means of the rows' bounds."""
+    return effects.agg(F.avg(measure).alias("Effect"), F.avg("Lower").alias("Lower"), F.avg("Upper").alias("Upper"), F.count(measure).alias("Rows"))
 
 
 def average_effect(residuals: DataFrame, cluster: str | None = None, z: float = 1.96) -> DataFrame:
@@ -132,7 +106,7 @@ def what_if_rows(fact: DataFrame, features: Sequence[str] = UPLIFT_FEATURES) ->
     return rows.dropna(subset=[*features, TARGET])
 
 
-def what_if_uplift(model: PipelineModel, rows: DataFrame, features: Sequence[str] = UPLIFT_FEATURES, flag: str = HOLIDAY) -> DataFrame:
+def what_if_uplift(model: PipelineModel | binned_trees.TreeModel, rows: DataFrame, features: Sequence[str] = UPLIFT_FEATURES, flag: str = HOLIDAY) -> DataFrame:
     """Predicted sales with the holiday flag set minus without, everything else equal."""
     with_flag = score(model, rows.withColumn("_kept", F.col(flag)).withColumn(flag, F.lit(1)), features, "With_Holiday")
     without = score(model, with_flag.withColumn(flag, F.lit(0)), features, "Without_Holiday")

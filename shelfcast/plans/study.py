@@ -67,11 +67,13 @@ def uplift_study(
     """Causal uplift per row, its average with interval, rollups, and what drives it."""
     residuals = uplift.cross_fit_residuals(uplift.uplift_rows(fact), settings=nuisance)
     effects, model = uplift.causal_uplift(residuals, settings=forest)
+    effects = cut_lineage(effects)
     rollups = uplift.uplift_rollups(effects)
     return {
         "uplift": effects.select(
-            "Store", "Dept", "Date", *uplift.CONTROLS, "Weekly_Sales", "Holiday_Uplift"
+            "Store", "Dept", "Date", *uplift.CONTROLS, "Weekly_Sales", "Holiday_Uplift", "Std_Error", "Lower", "Upper"
         ),
+        "mean_interval": uplift.mean_interval(effects),
         "uplift_by_series": rollups.where("Level = 'Series'").drop("Level"),
         "uplift_rollups": rollups,
         "average_effect": uplift.average_effect(residuals, cluster="Store"),

@@ -297,4 +297,4 @@ def test_task_functions_travel_by_value():
     from pyspark import cloudpickle
 
     shipped = cloudpickle.list_registry_pickle_by_value()
-    assert {"shelfcast.functions.ttest", "shelfcast.operators.series_fit"} <= set(shipped)
+    assert {"shelfcast.functions.ttest", "shelfcast.operators.series_fit", "shelfcast.operators.learners", "shelfcast.operators.binned_trees"} <= set(shipped)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfcast.names import FACTORS
-from shelfcast.operators import baselines, combine, evaluate, explain, features, learners, series_fit, series_trees, uplift
+from shelfcast.operators import baselines, binned_trees, combine, evaluate, explain, features, learners, series_fit, series_trees, uplift
 from shelfcast.session import cut_lineage
 from shelfcast.sources.warehouse import TRAIN_END, VAL_END
 from workload.registry import once, query, rounded
@@ -221,7 +221,11 @@ def _residuals(t):
 
 
 def _uplift(t):
-    return once(t, "uplift", lambda: uplift.causal_uplift(_residuals(t), settings=SIZES["causal"]))
+    def make():
+        effects, model = uplift.causal_uplift(_residuals(t), settings=SIZES["causal"])
+        return cut_lineage(effects), model
+
+    return once(t, "uplift", make)
 
 
 @query("UPL1 CLN3")
@@ -236,6 +240,20 @@ def uplift_importance(t):
     return explain.model_importance(t.spark, model, uplift.CONTROLS)
 
 
+@query("UPL2")
+def uplift_intervals(t):
+    """Effect and interval of every row."""
+    effects, _ = _uplift(t)
+    return effects.select("Store", "Dept", "Date", "Holiday_Uplift", "Std_Error", "Lower", "Upper")
+
+
+@query("UPL2")
+def uplift_mean_interval(t):
+    """The mean effect with the means of the rows' bounds."""
+    effects, _ = _uplift(t)
+    return uplift.mean_interval(effects)
+
+
 @query("UPL2")
 def average_holiday_effect(t):
     return uplift.average_effect(_residuals(t), cluster="Store")
@@ -260,12 +278,15 @@ def _what_if(t):
     """(model, test rows) of the what-if study: one boosted model over all rows up to the date quantile."""
     def make():
         rows = cut_lineage(features.quantile_date_split(uplift.what_if_rows(t.fact)))
-        model = learners.fit_boosting(rows.where("split = 'train'"), learners.UPLIFT_FEATURES, SIZES["what-if"], written=True)
+        model = learners.fit_second_order(rows.where("split = 'train'"), learners.UPLIFT_FEATURES, SIZES["what-if"])
         return model, rows.where("split = 'test'")
 
     return once(t, "what-if", make)
 
 
+_WEEK = ("Store", "Dept", "Date")
+
+
 @query("UPL4 SPL2 RSH2")
 def whatif_uplift(t):
     model, test = _what_if(t)
@@ -286,7 +307,7 @@ def whatif_model_quality(t):
 def shapley_values(t):
     model, test = _what_if(t)
     used = learners.UPLIFT_FEATURES
-    return explain.shapley_with_features(explain.shapley_values(model, test, used), test, used)
+    return explain.shapley_with_features(binned_trees.tree_shapley(model, test, _WEEK), test, used)
 
 
 # What every fitted model must satisfy, whatever its numbers; the right-hand sides need no model.
@@ -372,9 +393,9 @@ def whatif_coverage(t):
 @query("XPL4", f"""WITH {_WHAT_IF}
 SELECT Store, Dept, COUNT(*) AS Rows, TRUE AS Adds_Up FROM complete, cut WHERE epoch(CAST(Date AS TIMESTAMP)) / 86400 > last_day GROUP BY ALL""")
 def shapley_additivity(t):
-    """A row's Shapley values add up to its prediction minus that of the mean row."""
+    """A row's Shapley values add up to its prediction minus the mean one of the background rows."""
     model, test = _what_if(t)
-    shap = explain.shapley_values(model, test, learners.UPLIFT_FEATURES)
+    shap = binned_trees.tree_shapley(model, test, _WEEK)
     total = sum((F.col(f"Shap_{f}") for f in learners.UPLIFT_FEATURES[1:]), F.col(f"Shap_{learners.UPLIFT_FEATURES[0]}"))
     off = F.abs(total - (F.col("Predicted") - F.col("Baseline")))
     return shap.groupBy("Store", "Dept").agg(F.count(F.lit(1)).alias("Rows"), (F.max(off) < 1e-4).alias("Adds_Up"))
@@ -399,3 +420,14 @@ def average_effect_of_plain_residuals(t):
         "Store", (F.col("Weekly_Sales") - F.col("_y")).alias("_y_res"), (F.col("IsHoliday") - F.col("_t")).alias("_t_res")
     )
     return rounded(uplift.average_effect(rest, cluster="Store"), Effect=4, Std_Error=4, Lower=3, Upper=3)
+
+
+@query("UPL2", f"""WITH {_WHAT_IF}
+SELECT Store, Dept, COUNT(*) AS Rows, TRUE AS Between, TRUE AS Symmetric FROM complete GROUP BY ALL""")
+def uplift_interval_coverage(t):
+    """Every effect lies in the middle of an interval that is not empty."""
+    effects, _ = _uplift(t)
+    middle = F.abs((F.col("Lower") + F.col("Upper")) / 2 - F.col("Holiday_Uplift")) <= 1e-6 * (1 + F.abs("Holiday_Uplift"))
+    inside = (F.col("Lower") < F.col("Holiday_Uplift")) & (F.col("Holiday_Uplift") < F.col("Upper"))
+    known = lambda c: F.coalesce(F.every(c), F.lit(False))
+    return effects.groupBy("Store", "Dept").agg(F.count("Holiday_Uplift").alias("Rows"), known(inside).alias("Between"), known(middle).alias("Symmetric"))
