@@ -26,6 +26,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # So do the settings, whose classes are defined there.
 cloudpickle.register_pickle_by_value(learners)
 
+#: Series of one task, about, and tasks at most.
+SERIES_PER_TASK, MOST_TASKS = 4, 20_000
+
 Tree = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
@@ -151,7 +154,11 @@ def forest(x: np.ndarray, y: np.ndarray, settings: Forest, others: Sequence[np.n
 def _prepared(parts: DataFrame, features: Sequence[str], keys: Sequence[str], target: str, used: Sequence[str]) -> DataFrame:
     ids = [F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)]
     rows = parts.where(F.col("split").isin(*used) & F.col(target).isNotNull())
-    return numeric(rows.select(*ids, F.col(DATE).alias("_date"), F.col("split").alias("_split"), F.col(target).cast("double").alias("_y"), *features), features)
+    rows = numeric(rows.select(*ids, F.col(DATE).alias("_date"), F.col("split").alias("_split"), F.col(target).cast("double").alias("_y"), *features), features)
+    # Dealt by the number of series, which the adaptive planner keeps: by bytes, hundreds of fits would share a task.
+    names = [f"_key_{i}" for i in range(len(keys))]
+    series = rows.select(*names).distinct().count()
+    return rows.repartition(max(1, min(MOST_TASKS, -(-series // SERIES_PER_TASK))), *names)
 
 
 def _fitted(group: pd.DataFrame, features: list[str], model: Boosting | Forest, fit_on: Sequence[str], rest: np.ndarray):
