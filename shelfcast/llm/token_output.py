@@ -84,6 +84,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text: s
         memory = spark.sparkContext.broadcast(P.Memory(f.read()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # what earlier tasks of this worker left behind
         known, specials = memory.value.get(_encoder)
         part_number, block, start = TaskContext.get().partitionId(), 0, 0
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -119,8 +120,9 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text: s
         if held:
             yield out()
 
-    rows = docs.select(tables.numbered(id_col).alias("_id"), F.col(text).alias("_text")).repartitionByRange("_id").sortWithinPartitions("_id", "_text")
-    return rows.mapInArrow(run, _RAW)
+    # Ranges of id and text hash: rows that share an id, or have none, spread over the tasks like others.
+    rows = docs.select(tables.numbered(id_col).alias("_id"), F.xxhash64(F.col(text)).alias("_mark"), F.col(text).alias("_text"))
+    return rows.repartitionByRange("_id", "_mark").sortWithinPartitions("_id", "_mark").select("_id", "_text").mapInArrow(run, _RAW)
 
 
 def id_counts(raw: DataFrame) -> DataFrame:
