@@ -296,5 +296,7 @@ def test_what_if_difference(planted):
 def test_task_functions_travel_by_value():
     from pyspark import cloudpickle
 
+    import shelfcast.functions.ttest  # noqa: F401
+
     shipped = cloudpickle.list_registry_pickle_by_value()
     assert {"shelfcast.functions.ttest", "shelfcast.operators.series_fit", "shelfcast.operators.learners", "shelfcast.operators.binned_trees"} <= set(shipped)
