@@ -100,7 +100,8 @@ def test_queries_with_sql(spark, data_dir):
     import duckdb
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{data_dir}/documents.parquet'")
+    for table in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{data_dir}/{table}.parquet'")
     for name, sql in ORACLE_SQL.items():
         want = con.execute(sql).df()
         got = QUERIES[name](spark, data_dir).toPandas()
