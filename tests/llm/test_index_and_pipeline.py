@@ -107,7 +107,7 @@ def test_queries_with_sql(spark, data_dir):
         got = QUERIES[name](spark, data_dir).toPandas()
         cols = sorted(want.columns)
         assert cols == sorted(got.columns)
-        frames = [f[cols].sort_values(cols).reset_index(drop=True).astype(str) for f in (want, got)]
+        frames = [f[cols].convert_dtypes().sort_values(cols).reset_index(drop=True).astype(str) for f in (want, got)]
         assert frames[0].equals(frames[1]), name
 
 
