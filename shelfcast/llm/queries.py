@@ -122,20 +122,30 @@ ORACLE_SQL: dict[str, str] = {
       SELECT *, COALESCE((h + 31 * LAG(h) OVER (PARTITION BY doc_id ORDER BY i)) % 3 = 0, FALSE) AS ends FROM hashed
     ), placed AS (
       SELECT *, SUM(ends::INT) OVER (PARTITION BY doc_id ORDER BY i) - ends::INT AS k FROM cut
+    ), content AS (
+      SELECT *, regexp_matches(line, '[^ \\t\\n\\x0B\\f\\r]') AS has_content FROM placed
     ), chunks AS (
-      SELECT doc_id, k, COUNT(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM placed GROUP BY doc_id, k
-    ), judged AS (
-      SELECT *, n >= 2 AND regexp_matches(body, '[^ \\t\\n\\x0B\\f\\r]')
-                AND ROW_NUMBER() OVER (PARTITION BY body ORDER BY n < 2, doc_id, k) > 1 AS gone FROM chunks
+      SELECT doc_id, k, MIN(i) AS start, MAX(i) AS stop, COUNT(*) FILTER (has_content) >= 2 AS multi, string_agg(line, chr(10) ORDER BY i) AS body
+      FROM content GROUP BY doc_id, k
+    ), gone_chunks AS (
+      SELECT doc_id, start, stop FROM chunks WHERE multi QUALIFY ROW_NUMBER() OVER (PARTITION BY body ORDER BY doc_id, start) > 1
+    ), windows AS (
+      SELECT doc_id, i AS start, LEAD(i) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM content WHERE has_content
+    ), bodies AS (
+      SELECT w.doc_id, w.start, w.stop, string_agg(c.line, chr(10) ORDER BY c.i) AS body
+      FROM windows w JOIN content c ON c.doc_id = w.doc_id AND c.i BETWEEN w.start AND w.stop WHERE w.stop IS NOT NULL GROUP BY 1, 2, 3
+    ), gone_windows AS (
+      SELECT doc_id, start, stop FROM bodies QUALIFY ROW_NUMBER() OVER (PARTITION BY body ORDER BY doc_id, start) > 1
+    ), gone AS (
+      SELECT DISTINCT doc_id, unnest(range(start, stop + 1)) AS i FROM (FROM gone_chunks UNION ALL FROM gone_windows)
     ), summed AS (
-      SELECT doc_id, CAST(SUM(n) AS BIGINT) AS n_lines, COUNT(*) AS n_chunks, COUNT(*) FILTER (gone) AS n_removed_chunks,
-             CAST(COALESCE(SUM(n) FILTER (gone), 0) AS BIGINT) AS n_removed_lines,
-             COALESCE(string_agg(body, chr(10) ORDER BY k) FILTER (NOT gone), '') AS kept
-      FROM judged GROUP BY doc_id
+      SELECT doc_id, COUNT(*) AS n_lines, COUNT(DISTINCT k) AS n_chunks, COUNT(g.i) AS n_removed_lines,
+             COALESCE(string_agg(line, chr(10) ORDER BY i) FILTER (g.i IS NULL), '') AS kept
+      FROM content c LEFT JOIN gone g USING (doc_id, i) GROUP BY doc_id
     )
-    SELECT d.doc_id, COALESCE(n_lines, 0) AS n_lines, COALESCE(n_chunks, 0) AS n_chunks, COALESCE(n_removed_chunks, 0) AS n_removed_chunks,
+    SELECT d.doc_id, COALESCE(n_lines, 0) AS n_lines, COALESCE(n_chunks, 0) AS n_chunks, COALESCE(c.n, 0) AS n_removed_chunks,
            COALESCE(n_removed_lines, 0) AS n_removed_lines, sha256(COALESCE(kept, '')) AS kept_sha256
-    FROM documents d LEFT JOIN summed USING (doc_id)""",
+    FROM documents d LEFT JOIN summed USING (doc_id) LEFT JOIN (SELECT doc_id, COUNT(*) AS n FROM gone_chunks GROUP BY 1) c USING (doc_id)""",
     "op11_conversation_trie": """
     WITH own AS (
       SELECT conv_id, COALESCE(role, '') AS role, COALESCE(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL

@@ -220,9 +220,7 @@ def test_line_chunks(spark, odd):
     got = {r["doc_id"]: r for r in line_chunks.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert (got[1]["n_removed_lines"], got[1]["kept_text"]) == (0, rows[1][1])
     assert got[4]["kept_text"] == "alone\nagain"
-    for i in (2, 3):  # all but the chunks next to the inserted lines go
-        assert got[i]["n_removed_lines"] > 0
-        assert not set(got[i]["kept_text"].split("\n")) - set(dict(rows)[i].split("\n"))
+    assert (got[2]["kept_text"], got[3]["kept_text"]) == ("zero\nhalf\none", "two")  # "one" stands before the block there too
     got = {r["doc_id"]: r for r in line_chunks.dedup_lines(odd).collect()}
     assert (got[1]["n_lines"], got[1]["kept_text"], got[2]["n_lines"], got[2]["kept_text"]) == (0, "", 1, "")
     assert got[8]["kept_text"] == ODD[7][1]
@@ -231,38 +229,70 @@ def test_line_chunks(spark, odd):
 
 
 def brute_chunks(texts):
-    """(removed lines, kept text) of every text, in their order."""
-    seen, out = set(), []
+    """(removed lines, kept text) of every text, in their order: repeated chunks and windows between lines with content."""
+    seen, out = {"chunk": set(), "window": set()}, []
     for text in texts:
-        chunks, last = [[]], None
-        for line in text.split("\n") if text is not None else []:
-            h = int(hashlib.md5(line.encode()).hexdigest()[:10], 16)
-            chunks[-1].append(line)
-            if last is not None and (h + 31 * last) % 3 == 0:
-                chunks.append([])
-            last = h
-        gone, kept = 0, []
-        for c in filter(None, chunks):
-            body = "\n".join(c)
-            if len(c) > 1 and body.strip() and body in seen:
-                gone += len(c)
-            else:
-                kept.append(body)
-            if len(c) > 1:
-                seen.add(body)
-        out.append((gone, "\n".join(kept)))
+        lines = text.split("\n") if text is not None else []
+        hashes = [int(hashlib.md5(x.encode()).hexdigest()[:10], 16) for x in lines]
+        starts = [0] + [i + 1 for i in range(1, len(lines)) if (hashes[i] + 31 * hashes[i - 1]) % 3 == 0 and i + 1 < len(lines)]
+        full = [i for i, x in enumerate(lines) if x.strip(" \t\n\x0b\x0c\r")]
+        spans = [("window", a, b + 1) for a, b in zip(full, full[1:], strict=False)]
+        spans += [("chunk", a, b) for a, b in zip(starts, starts[1:] + [len(lines)], strict=True) if sum(a <= i < b for i in full) > 1]
+        gone = set()
+        for kind, a, b in spans:
+            body = tuple(lines[a:b])
+            if body in seen[kind]:
+                gone |= set(range(a, b))
+            seen[kind].add(body)
+        out.append((len(gone), "\n".join(x for i, x in enumerate(lines) if i not in gone)))
     return out
 
 
+def check_lines(docs):
+    """``docs`` against brute force; the number of removed lines."""
+    order = docs.orderBy("doc_id", F.xxhash64("text")).collect()
+    want = brute_chunks([r["text"] for r in order])
+    row = lambda i, *x: (i is not None, i or 0, *x)
+    got = line_chunks.dedup_lines(docs).collect()
+    assert sorted(row(r["doc_id"], r["n_removed_lines"], r["kept_text"]) for r in got) == sorted(row(r["doc_id"], *w) for r, w in zip(order, want, strict=True))
+    return sum(w[0] for w in want)
+
+
+def test_short_passages_go_and_single_lines_stay(spark):
+    rnd = random.Random(3)
+    passages = [[f"line {i} of passage {p}" for i in range(2 + p % 5)] for p in range(60)]
+    for p in passages[::4]:
+        p.insert(1, "  ")  # a blank line is no line of a passage, and goes with it
+    rows, planted = [], 0
+    for i in range(300):
+        p = passages[i % 60]
+        planted += len(p) if i >= 60 else 0
+        own = [f"own {i} {k}" for k in range(rnd.randrange(1, 9))]
+        rows.append((i, "\n".join([*own, "a common heading", "", *p, "a common line", f"end {i}", "alone", f"last {i}"])))
+    # each passage stands five times, between the same lines, which go with it
+    out = line_chunks.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r["n_removed_lines"] for r in out) >= planted
+    got = {r["doc_id"]: r["kept_text"] for r in out}
+    kept = [x for t in got.values() for x in t.split("\n")]
+    assert sum(x.startswith("line ") for x in kept) == sum(x.startswith("line ") for p in passages for x in p)
+    assert all(f"own {i} 0" in t and t.endswith(f"end {i}\nalone\nlast {i}") for i, t in got.items())
+
+
+def test_lines_of_very_common_chunks_and_long_texts(spark, odd):
+    """A third of the rows hold one passage, hot keys are looked up apart, and one text has 40,000 lines."""
+    common = "\n".join(f"common {i}" for i in range(9))
+    long = "\n".join(f"line {i} of {i % 7}" for i in range(40_000))
+    rows = [(i, f"own {i}\n{common if i % 3 == 0 else f'more {i}'}\nlast {i}") for i in range(600)] + [(700, long), (701, f"x\n{long}"), (None, long), (None, None), (702, "")]
+    assert check_lines(spark.createDataFrame(rows, "doc_id long, text string")) == 199 * 9 + 80_000
+    x = "\n".join(["same"] * 5)  # windows that overlap themselves
+    assert check_lines(spark.createDataFrame([(1, x), (2, "same\nsame")], "doc_id long, text string")) == 6
+    assert check_lines(odd.select("doc_id", "text")) == 3
+
+
 def test_line_chunks_of_rows_without_an_id_of_their_own(spark):
     rnd = random.Random(6)
     blocks = [[f"line {i} of block {b}" for i in range(8)] for b in range(5)]
     rows = [(rnd.choice([None, 1, 2, 3]), "\n".join([f"own {i}", *blocks[rnd.randrange(5)], f"own {i} too", f"end {i}"])) for i in range(40)]
     for docs in (rows, rows + rows[:3] * 2 + [(None, None), (None, None), (1, "")]):  # without and with equal rows
         docs = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-        order = docs.orderBy("doc_id", F.xxhash64("text")).collect()
-        want = brute_chunks([r["text"] for r in order])
-        row = lambda i, *x: (i is not None, i or 0, *x)
-        got = line_chunks.dedup_lines(docs).collect()
-        assert sorted(row(r["doc_id"], r["n_removed_lines"], r["kept_text"]) for r in got) == sorted(row(r["doc_id"], *w) for r, w in zip(order, want, strict=True))
-        assert sum(w[0] for w in want) > 50
+        assert check_lines(docs) > 50
