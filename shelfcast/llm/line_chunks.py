@@ -13,9 +13,10 @@ them and no others. Lines of whitespace alone count for no length: a *multi-line
 So every line in a passage of two or more lines that also stands earlier goes, and no line goes for itself alone.
 
 Chunks meet by their MD5, windows by a 64-bit hash, as narrow rows that are counted in each task before the shuffle.
-Only what was seen twice fetches its text, and is then grouped by hash and text, which compares the bytes. Keys that hold
-many rows are looked up without a shuffle (``skew.look_up``); there are fewer than ``HOT_PARTS`` of them, and their bodies
-together have at most ``HOT_PARTS`` times the bytes of an average one. Texts are shuffled once, for both joins.
+Only what was seen twice fetches its text, and is then grouped by SHA-256 and text, which compares the bytes and merges
+common bodies in each task. Occurrences go by the SHA-256 of a body once it is known to stand for one body only; were there
+ever two, both would be kept. Keys that hold many rows are looked up without a shuffle (``skew.look_up``). Both joins with
+the texts share one shuffle of them.
 
 NULL texts have no lines, empty texts one empty line; both are kept as empty. Every row is a document of its own, also
 where rows share an id or have none: such rows are ordered by a hash of their texts, and NULL ids stand before all others.
@@ -46,6 +47,11 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 10), 16, 10).cast("long")
 
 
+def body_hash(body: Column) -> Column:
+    """The key by which bodies meet before their bytes are compared."""
+    return F.xxhash64(body)
+
+
 def different_rows(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """_id, _text, _hash of the text, and how many rows are the same; the texts are only compared if there are such rows."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"), F.xxhash64(text).alias("_hash"))
@@ -55,8 +61,8 @@ def different_rows(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def _of_rows(rows: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    """``rows`` with what is found for each."""
-    found = found.withColumnsRenamed({"_id": "_of", "_hash": "_of_hash"})
+    """``rows`` with what is found for each. Shuffled at every size, as both grow together; only ``found`` is held in memory."""
+    found = found.withColumnsRenamed({"_id": "_of", "_hash": "_of_hash"}).hint("shuffle_hash")
     return rows.join(found, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_hash") == F.col("_of_hash")), how).drop("_of", "_of_hash")
 
 
@@ -87,7 +93,7 @@ def with_units(rows: DataFrame, window: int, divisor: int, least: int) -> DataFr
         return rolled % divisor == 0
 
     def seam(a: Column, b: Column) -> Column:
-        return F.struct(a.alias("start"), (b - a + 1).alias("n"), F.xxhash64(_body(a, b - a + 1)).alias("h"))
+        return F.struct(a.alias("start"), (b - a + 1).alias("n"), body_hash(_body(a, b - a + 1)).alias("h"))
 
     def between(full: Column) -> Column:
         inner = F.transform(F.slice(full, 1, F.size(full) - 1), lambda a, t: seam(a, F.get(full, t + 1)))
@@ -138,10 +144,12 @@ def repeats(rows: DataFrame, units: DataFrame) -> DataFrame:
     total = places.agg(F.sum(F.size("places"))).first()[0] or 0
     found = _lines(_of_rows(rows.select("_id", "_hash", "_text"), places, "inner"))
     found = found.select("_id", "_hash", F.explode(F.transform("places", lambda p: p.withField("body", _body(p["start"], p["n"])))).alias("p"))
-    found = found.select("_id", "_hash", "p.*", F.xxhash64("p.body").alias("h"))
-    keys = ["is_chunk", "h", "body"]
-    first = found.groupBy(*keys).agg(F.min(F.struct("_id", "_hash", "start")).alias("first"), F.count("*").alias("seen")).filter("seen > 1")
-    again = look_up(found, first, keys, "seen", total, "inner").filter(~F.struct("_id", "_hash", "start").eqNullSafe(F.col("first")))
+    found = found.select("_id", "_hash", "p.*", F.unhex(F.sha2("p.body", 256)).alias("digest"))
+    keys = ["is_chunk", "digest"]
+    bodies = found.groupBy(*keys, "body").agg(F.min(F.struct("_id", "_hash", "start")).alias("first"), F.count("*").alias("seen"))
+    classes = bodies.groupBy(*keys).agg(F.count("*").alias("bodies"), F.min("first").alias("first"), F.sum("seen").alias("seen"))
+    again = look_up(found.drop("body"), classes.filter("bodies = 1 AND seen > 1").drop("bodies"), keys, "seen", total, "inner")
+    again = again.filter(~F.struct("_id", "_hash", "start").eqNullSafe(F.col("first")))
     return again.groupBy("_id", "_hash").agg(F.collect_list(F.struct("start", "n")).alias("spans"), F.count_if("is_chunk").alias("gone_chunks"))
 
 

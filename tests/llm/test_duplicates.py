@@ -278,6 +278,12 @@ def test_short_passages_go_and_single_lines_stay(spark):
     assert all(f"own {i} 0" in t and t.endswith(f"end {i}\nalone\nlast {i}") for i, t in got.items())
 
 
+def test_lines_of_windows_that_share_a_hash(spark, monkeypatch):
+    monkeypatch.setattr(line_chunks, "body_hash", F.length)
+    rows = [(i, "\n".join(f"line {(i * 7 + k * k) % 23:02}" for k in range(9))) for i in range(30)]
+    assert check_lines(spark.createDataFrame(rows, "doc_id long, text string")) > 60
+
+
 def test_lines_of_very_common_chunks_and_long_texts(spark, odd):
     """A third of the rows hold one passage, hot keys are looked up apart, and one text has 40,000 lines."""
     common = "\n".join(f"common {i}" for i in range(9))
