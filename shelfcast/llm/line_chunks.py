@@ -160,9 +160,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", win
     multi = F.filter("chunks", lambda c: c["h"].isNotNull())
     span = lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"))
     every = F.concat(F.transform(multi, span), F.transform("seams", span), F.flatten(F.transform("chunks", lambda c: F.transform(c["windows"], span))))
-    known = units.select("_id", "_hash", F.size("chunks").cast("long").alias("n_chunks"), F.when(F.col("copies") > 1, every).alias("every"), F.size(multi).cast("long").alias("multi"))
+    known = units.select("_id", "_hash", "copies", F.size("chunks").cast("long").alias("n_chunks"), F.when(F.col("copies") > 1, every).alias("every"), F.size(multi).cast("long").alias("multi"))
     known = _of_rows(known, repeats(rows, units), "left")
-    rows = _lines(_of_rows(rows, known, "left"))
+    rows = _lines(_of_rows(rows.select("_id", "_hash", "_text"), known, "left"))
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     spans = F.when(F.col("copy") > 1, F.col("every")).otherwise(F.coalesce("spans", F.array().cast("array<struct<start:int,n:int>>")))
     rows = rows.withColumn("gone", F.array_distinct(F.flatten(F.transform(spans, lambda s: _up_to(s["start"] + s["n"], s["start"])))))
