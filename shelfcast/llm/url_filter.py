@@ -57,8 +57,41 @@ def canonical_form(url: Column) -> Column:
     return F.when(url.contains("://"), form)
 
 
-def linked_addresses(html: Column) -> Column:
-    """Absolute addresses of canonical links and refresh redirects in a page, as an array; empty for NULL.
+def _without_dots(path: Column) -> Column:
+    """``path`` without ``.`` and ``..`` segments; a path that ends in one ends in ``/``."""
+    steps = F.when(path.rlike(r"(^|/)\.\.?$"), F.concat(path, F.lit("/"))).otherwise(path)
+
+    def step(done: Column, s: Column) -> Column:
+        return F.when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).when(s == ".", done).otherwise(F.concat(done, F.array(s)))
+
+    walked = F.array_join(F.aggregate(F.split(steps, "/"), F.array().cast("array<string>"), step), "/")
+    return F.when(walked.startswith("/"), walked).otherwise(F.concat(F.lit("/"), walked))
+
+
+def resolved(target: Column, page: Column) -> Column:
+    """The absolute address that ``target``, as written in the page at address ``page``, stands for.
+
+    Targets with ``scheme://`` are absolute; ``//host``, ``/path``, ``?query`` and plain paths are taken from the page's address.
+    NULL for fragments and empty targets, which are the page itself, for other schemes (``mailto:``), and for relative targets
+    of a page whose address has no ``://``. A ``base`` tag is not read.
+    """
+    own = F.regexp_extract(target, r"(?s)^([^?#]*)", 1)
+    rest = F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    scheme = F.regexp_extract(page, r"(?s)^(.*?)://", 1)
+    site = F.regexp_extract(page, r"(?s)^(.*?://[^/?#]*)", 1)
+    folder = F.regexp_extract(path_of(page), r"(?s)^(.*/)", 1)
+    path = F.when(own.startswith("/"), own).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), own))
+    return (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), target)
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:") | target.startswith("#") | (target == "") | (site == ""), F.lit(None).cast("string"))
+        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+        .when(own == "", F.concat(site, path_of(page), rest))
+        .otherwise(F.concat(site, _without_dots(path), rest))
+    )
+
+
+def linked_addresses(html: Column, page: Column) -> Column:
+    """Absolute addresses of canonical links and refresh redirects in the page at address ``page``, as an array; empty for NULL.
 
     Only tags that hold both parts count, however long they are; a tag that never ends is none. Entities in addresses are not decoded except ``&amp;``.
     """
@@ -69,7 +102,7 @@ def linked_addresses(html: Column) -> Column:
     refresh = F.transform(F.filter(tags, lambda t: t.rlike(r"""(?i)\bhttp-equiv\s*=\s*["']?refresh\b""")),
                           lambda t: F.regexp_extract(t, r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)""", 1))
     found = F.transform(F.concat(canonical, refresh), lambda u: F.replace(u, F.lit("&amp;"), F.lit("&")))
-    return F.filter(found, lambda u: u.contains("://"))
+    return F.array_compact(F.transform(found, lambda u: resolved(u, F.coalesce(page, F.lit("")))))
 
 
 def alias_edges(pages: DataFrame, url: str = "url", html: str | None = "html") -> DataFrame:
@@ -78,7 +111,7 @@ def alias_edges(pages: DataFrame, url: str = "url", html: str | None = "html") -
     rows = pages.filter(F.col(url).contains("://"))
     ties = rows.select(here, F.col(url).alias("to"))
     if html is not None:
-        links = rows.select(here, F.explode(linked_addresses(F.col(html))).alias("to"))
+        links = rows.select(here, F.explode(linked_addresses(F.col(html), F.col(url))).alias("to"))
         ties = ties.union(links).union(links.select("to", "to"))
     return ties.select("src", F.concat(F.lit("form://"), canonical_form(F.col("to"))).alias("dst")).distinct()
 

@@ -165,10 +165,86 @@ def test_links_of_long_tags_and_lists_of_words(spark):
         ('<link rel="canonical-like" href="http://a.b/5">', []), ('<link rel="canonical" href="http://a.b/6"', []), ("<link " * 200_000, []), (None, []),
     ]
     docs = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(pages)], "i int, html string")
-    got = docs.select("i", url_filter.linked_addresses(F.col("html")).alias("to")).orderBy("i").collect()
+    got = docs.select("i", url_filter.linked_addresses(F.col("html"), F.lit("http://a.b/")).alias("to")).orderBy("i").collect()
     assert [r["to"] for r in got] == [to for _, to in pages]
 
 
+def test_relative_targets(spark):
+    from urllib.parse import urljoin
+
+    bases = ["http://a.b/c/d/e?q=1#f", "https://a.b", "http://a.b/", "http://a.b/c/d/", "http://a.b?x"]
+    targets = ["g", "./g", "g/", "/g", "//h.i/j?k", "?y", "g?y#s", "../g", "../../../g", ".", "..", "./../g/.", "/c/./x/../g", "http://x.y/../z", "g;x=1/../y", "", "#s", "mailto:a@b", "javascript:f()"]
+    rows = [(b, t) for b in bases for t in targets]
+    docs = spark.createDataFrame(rows + [(None, "g"), ("no address", "/g")], "page string, target string")
+    got = {(r["page"], r["target"]): r["to"] for r in docs.select("page", "target", url_filter.resolved(F.col("target"), F.coalesce("page", F.lit(""))).alias("to")).collect()}
+    assert got.pop((None, "g")) is got.pop(("no address", "/g")) is None
+    for (b, t), to in got.items():
+        if t in ("", "#s", "mailto:a@b", "javascript:f()"):
+            assert to is None
+        elif t.startswith("http"):
+            assert to == t
+        elif not (t.startswith("?") and "/" not in b[8:]):
+            assert to == urljoin(b, t), (b, t)
+
+
+def brute_judge(pages):
+    """host, path, rule and verdict of each (id, url, targets), components by union-find."""
+    def parts(u):
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)(?:\?([^#]*))?", u or "")
+        return (re.sub("[A-Z]", lambda c: c[0].lower(), m[1]), m[2], m[3] or "") if m else ("", "", "")
+
+    def rule(host, path):
+        fits = [(len(d + p), d + p, v) for d, p, v in url_filter.RULES if (host == d or host.endswith("." + d)) and path.startswith(p)]
+        return max(fits)[1:] if fits else (None, None)
+
+    def form(u):
+        host, path, query = parts(u)
+        query = "&".join(q for q in query.split("&") if q and not re.match(r"(utm_[a-z]+|ref|fbclid|gclid)(=|$)", q))
+        return "form", re.sub(r"^www\.", "", host) + path.rstrip("/") + ("?" + query if query else "")
+
+    up = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for _, u, targets in pages:
+        if "://" in (u or ""):
+            for src, dst in [(u, u), *((u, t) for t in targets), *((t, t) for t in targets)]:
+                up[top(src)] = top(form(dst))
+    verdicts = {}
+    for x in list(up):
+        if isinstance(x, str):
+            verdicts.setdefault(top(x), set()).add(rule(*parts(x)[:2])[1])
+    out = {}
+    for i, u, _ in pages:
+        host, path, _ = parts(u)
+        name, own = rule(host, path)
+        near = verdicts.get(top(u), set()) if u in up else set()
+        out[i] = (host, path, name, own or ("allow" if "allow" in near or "block" not in near else "block"))
+    return out
+
+
+def test_url_query_and_a_made_crawl(spark, data_dir):
+    pages = [(r["page_id"], r["url"], []) for r in read(spark, data_dir, "pages").collect()]
+    judged = lambda df: {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in df.collect()}
+    assert judged(QUERIES["op6_url_filter"](spark, data_dir)) == brute_judge(pages)
+    rnd = np.random.default_rng(2)
+    hosts = ["x.com", "y.com", "a.example.org", "n.net", "m.net", "www.n.net"]
+    crawl = []
+    for i in range(200):
+        url = f"http://{hosts[rnd.integers(6)]}/{rnd.choice(['de', 'fr', 'es', 'it'])}/{rnd.integers(30)}"
+        host, path = url[7:].split("/", 1)
+        to, text = [(f"http://{host}/de/7", "/de/7"), (f"http://{host}/it/1", "../it/1"), ("http://n.net/it/3", "//n.net/it/3"), (f"http://{host}/{path.split('/')[0]}/4", "4"), (None, "#top")][rnd.integers(5)]
+        crawl.append((i, url, text, [to] if to else []))
+    crawl += [(200, *crawl[0][1:]), (201, "http://o.net/1", "//x.com/de/99", ["http://x.com/de/99"])]  # a repeated page, and one tied to a blocked address
+    docs = spark.createDataFrame([(i, u, f'<link rel=canonical href="{t}">') for i, u, t, _ in crawl], "page_id long, url string, html string")
+    want = brute_judge([(i, u, to) for i, u, _, to in crawl])
+    assert judged(url_filter.judge(docs)) == want
+    assert want[201][2:] == (None, "block")
+
+
 def test_mix_by_a_plain_queue(spark):
     import hashlib
 
