@@ -164,14 +164,21 @@ def fill_calendar(df: DataFrame, target: str = TARGET, keys: Sequence[str] = KEY
     return weeks.join(df, [*keys, date], "left").fillna({target: 0.0})
 
 
-def standardise(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None = None) -> DataFrame:
-    """Zero mean, unit variance (population deviation), statistics from the training rows only.
+def fit_scaler(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Column, Mean, Deviation (population) of each column: a table to store and to apply to other rows later."""
+    one = df.agg(F.array(*[
+        F.struct(F.lit(c).alias("Column"), F.avg(c).alias("Mean"), F.stddev_pop(c).alias("Deviation")) for c in cols
+    ]).alias("_columns"))
+    return one.select(F.inline("_columns"))
+
 
-    A constant column is centred and not scaled.
+def apply_scaler(df: DataFrame, scaler: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Centre and scale ``cols`` by a stored ``fit_scaler`` table. A constant column is centred and not scaled.
+
+    A column that the table lacks becomes NULL.
     """
-    stats = (fit_on if fit_on is not None else df).agg(
-        *[a for c in cols for a in (F.avg(c).alias(f"_m_{c}"), F.stddev_pop(c).alias(f"_s_{c}"))]
-    )
+    pick = lambda c, what: F.max(F.when(F.col("Column") == c, F.col(what)))
+    stats = scaler.agg(*[a for c in cols for a in (pick(c, "Mean").alias(f"_m_{c}"), pick(c, "Deviation").alias(f"_s_{c}"))])
     scaled = {
         c: (F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(F.lit(1.0))
         for c in cols
@@ -179,6 +186,11 @@ def standardise(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None = N
     return attach_scalars(df, stats).withColumns(scaled).select(*df.columns)
 
 
+def standardise(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None = None) -> DataFrame:
+    """Zero mean, unit variance (population deviation), statistics from the training rows only."""
+    return apply_scaler(df, fit_scaler(fit_on if fit_on is not None else df, cols), cols)
+
+
 def uplift_features(fact: DataFrame) -> DataFrame:
     """Lags, calendar and holiday interactions as used by the uplift models."""
     return holiday_interactions(calendar_features(lag_features(fact)))

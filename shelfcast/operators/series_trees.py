@@ -104,11 +104,13 @@ def walk(tree: Tree, x: np.ndarray) -> np.ndarray:
         node = np.where(inner, child[node] + right, node)
 
 
-def boost(x: np.ndarray, y: np.ndarray, settings: Boosting, watch: tuple[np.ndarray, np.ndarray] | None, others: Sequence[np.ndarray]) -> tuple[list[np.ndarray], int, np.ndarray]:
+def boost(
+    x: np.ndarray, y: np.ndarray, settings: Boosting, watch: tuple[np.ndarray, np.ndarray] | None, others: Sequence[np.ndarray], grown: list[Tree] | None = None
+) -> tuple[list[np.ndarray], int, np.ndarray]:
     """(predictions for each of ``others``, trees kept, gain by feature) of boosted trees with ridge-regularised leaves.
 
     With ``early_stop`` the fit ends when the error on ``watch`` has not improved for ``patience`` trees, and the trees
-    after the best one are dropped.
+    after the best one are dropped. ``grown`` receives the trees that stay, their leaves multiplied by the rate.
     """
     rng = np.random.default_rng(settings.seed)
     n, width = x.shape
@@ -125,6 +127,8 @@ def boost(x: np.ndarray, y: np.ndarray, settings: Boosting, watch: tuple[np.ndar
         gained = np.zeros(columns)
         tree = grow(x[rows][:, used], (fit - y)[rows], np.ones(len(rows)), settings.depth, 1.0, 1.0, gained)
         gains[used] += gained
+        if grown is not None:
+            grown.append((np.where(tree[0] >= 0, used[np.maximum(tree[0], 0)], -1), *tree[1:3], settings.rate * tree[3]))
         fit += settings.rate * walk(tree, x[:, used])
         for o, rest in zip(out, others, strict=True):
             o += settings.rate * walk(tree, rest[:, used])
@@ -135,17 +139,26 @@ def boost(x: np.ndarray, y: np.ndarray, settings: Boosting, watch: tuple[np.ndar
                 best, best_at, best_state = error, k + 1, ([o.copy() for o in out], gains.copy())
             elif k + 1 - best_at >= settings.patience:
                 break
+    if stop and grown is not None:
+        del grown[best_at:]
     return (*((best_state[0], best_at) if stop else (out, settings.trees)), best_state[1] if stop else gains)
 
 
-def forest(x: np.ndarray, y: np.ndarray, settings: Forest, others: Sequence[np.ndarray]) -> tuple[list[np.ndarray], int, np.ndarray]:
-    """(predictions, trees, gain by feature) of the mean of trees on bootstrap samples; every split tries all features."""
+def forest(
+    x: np.ndarray, y: np.ndarray, settings: Forest, others: Sequence[np.ndarray], grown: list[Tree] | None = None
+) -> tuple[list[np.ndarray], int, np.ndarray]:
+    """(predictions, trees, gain by feature) of the mean of trees on bootstrap samples; every split tries all features.
+
+    ``grown`` receives the trees, their leaves divided by the number of trees.
+    """
     rng = np.random.default_rng(settings.seed)
     out, gains = [np.zeros(len(o)) for o in others], np.zeros(x.shape[1])
     for _ in range(settings.trees):
         weight = np.bincount(rng.integers(0, len(y), len(y)), minlength=len(y)).astype(float)
         rows = np.flatnonzero(weight)
         tree = grow(x[rows], -(y * weight)[rows], weight[rows], settings.depth, 0.0, float(settings.min_leaf), gains)
+        if grown is not None:
+            grown.append((*tree[:3], tree[3] / settings.trees))
         for o, rest in zip(out, others, strict=True):
             o += walk(tree, rest) / settings.trees
     return out, settings.trees, gains
