@@ -7,11 +7,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from shelfcast import schemas
-from shelfcast.operators import cleaning, combine, learners
+from shelfcast.names import FACTORS
+from shelfcast.operators import cleaning, combine, features, learners, stored_trees
 from shelfcast.session import ensure_checkpoint_dir
 from shelfcast.sources import readers, sinks
-from workload.model_queries import global_boosting, study_parts
-from workload.registry import query, rounded
+from shelfcast.sources.warehouse import TRAIN_END, VAL_END
+from workload.model_queries import _GATED, SIZES, global_boosting, study_parts
+from workload.registry import once, query, round_columns, rounded
 
 
 def _folder(t) -> str:
@@ -110,3 +112,80 @@ def reloaded_encoder(t):
     sinks.write_table(cleaning.label_codes(parts, "p_type", "Type_Code"), path)
     encoded, _ = cleaning.label_encode(parts, "p_type", "Type_Code", readers.read_parquet(t.spark, path))
     return encoded.select("p_partkey", "Type_Code")
+
+
+def _stored_models(t):
+    """The boosted trees and the forest of every series, fitted once, written and read back."""
+    def make():
+        path = f"{_folder(t)}/series_models"
+        models = {"XGBoost": SIZES["basic"], "Random Forest": SIZES["forest"]}
+        stored_trees.save_series_models(stored_trees.fit_series_models(study_parts(t), models, scale=True), path)
+        return path
+
+    return readers.read_parquet(t.spark, once(t, "stored series models", make))
+
+
+@query("SNK4 MDL4 MDL5", f"""WITH {_GATED}
+SELECT Store, Dept, Model, CASE Model WHEN 'XGBoost' THEN ROUND(AVG(Weekly_Sales), 4) ELSE 0::DOUBLE END AS Start, TRUE AS Whole
+FROM gated, (VALUES ('XGBoost'), ('Random Forest')) m(Model) WHERE split = 'train' GROUP BY Store, Dept, Model""")
+def stored_series_models(t):
+    """A boosted model starts at the mean of its training weeks, a forest at 0; every tree is there, each child inside its tree."""
+    trees = {"XGBoost": SIZES["basic"].trees, "Random Forest": SIZES["forest"].trees}
+    wanted = F.element_at(F.create_map(*[F.lit(x) for item in trees.items() for x in item]), F.col("Model"))
+    total = F.aggregate("Nodes", F.lit(0), lambda a, b: a + b)
+    sizes = [F.size(c) == total for c in ("Feature", "Threshold", "Child", "Value")]
+    largest = F.array_max("Child") < F.array_max("Nodes")
+    whole = (F.col("Trees") == wanted) & (F.size("Nodes") == wanted) & sizes[0] & sizes[1] & sizes[2] & sizes[3] & largest
+    return rounded(_stored_models(t).select("Store", "Dept", "Model", "Start", whole.alias("Whole")), Start=4)
+
+
+@query("SNK4 FTR4", f"""WITH {_GATED}, long AS (
+  SELECT Store, Dept, Feature, COALESCE(Value, 0) AS Value FROM (SELECT g.Store, g.Dept, g.Date, f.Temperature, f.Fuel_Price, f.CPI, f.Unemployment
+    FROM gated g LEFT JOIN features f ON g.Store = f.Store AND g.Date = f.Date WHERE split = 'train' AND Weekly_Sales >= 0)
+  UNPIVOT INCLUDE NULLS (Value FOR Feature IN (Temperature, Fuel_Price, CPI, Unemployment)))
+SELECT Store, Dept, Model, Feature, ROUND(AVG(Value), 4) AS Mean, ROUND(CASE WHEN MIN(Value) < MAX(Value) THEN STDDEV_POP(Value) ELSE 1 END, 4) AS Scale
+FROM long, (VALUES ('XGBoost'), ('Random Forest')) m(Model) GROUP BY ALL""")
+def stored_series_scalers(t):
+    """The scaler that every stored model carries, for the factor columns; missing values count as 0, as in the fit."""
+    rows = _stored_models(t).select("Store", "Dept", "Model", F.inline(F.arrays_zip("Features", "Means", "Scales")))
+    rows = rows.where(F.col("Features").isin(*FACTORS))
+    return rounded(rows.select("Store", "Dept", "Model", F.col("Features").alias("Feature"), F.col("Means").alias("Mean"), F.col("Scales").alias("Scale")), Mean=4, Scale=4)
+
+
+@query("SNK4 MDL4 MDL5 UDF4", f"""WITH {_GATED}
+SELECT Store, Dept, Model, COUNT(*) AS Weeks, MIN(Date) AS First, MAX(Date) AS Last, TRUE AS Known, TRUE AS Inside
+FROM gated, (VALUES ('XGBoost'), ('Random Forest')) m(Model) WHERE split = 'test' GROUP BY ALL""")
+def reloaded_series_scores(t):
+    """Test weeks scored by the models read back, without their sales; a forest stays in the range of its training weeks."""
+    parts = study_parts(t)
+    test = parts.where("split = 'test'").drop("Weekly_Sales")
+    span = parts.where("split = 'train'").groupBy("Store", "Dept").agg(F.min("Weekly_Sales").alias("low"), F.max("Weekly_Sales").alias("top"))
+    inside = (F.col("Model") != "Random Forest") | F.col("Predicted").between(F.col("low") - 1e-6, F.col("top") + 1e-6)
+    found = stored_trees.score_series(test, _stored_models(t)).join(span, ["Store", "Dept"])
+    return found.groupBy("Store", "Dept", "Model").agg(
+        F.count("Predicted").alias("Weeks"), F.min("Date").alias("First"), F.max("Date").alias("Last"),
+        F.every(F.col("Predicted").isNotNull()).alias("Known"), F.coalesce(F.every(inside), F.lit(False)).alias("Inside"),
+    )
+
+
+@query("SNK4 SRC6 DT8 UDF4", f"""WITH {_GATED}, ends AS (SELECT Store, Dept, MAX(Date) AS last FROM gated GROUP BY ALL)
+SELECT Store, Dept, CAST(last + CAST(7 * k AS INTEGER) AS DATE) AS Date, Model, TRUE AS Known FROM ends, range(1, 9) r(k), (VALUES ('XGBoost'), ('Random Forest')) m(Model)""")
+def coming_weeks_scored(t):
+    """Eight weeks after each series' last one, which have no sales yet, under its stored models; the factors stay as they were."""
+    parts = study_parts(t)
+    factors = [c for c in learners.MODEL_FEATURES if c not in ("Store", "Dept")]
+    last = combine.best_per_group(parts.select("Store", "Dept", "Date", *factors).withColumn("_age", -F.unix_date("Date")), "_age", ("Store", "Dept"), ties=["Date"])
+    weeks = features.future_weeks(parts, 8).join(last.select("Store", "Dept", *factors), ["Store", "Dept"])
+    return stored_trees.score_series(weeks, _stored_models(t)).select("Store", "Dept", "Date", "Model", F.col("Predicted").isNotNull().alias("Known"))
+
+
+@query("SNK4 FTR4", """SELECT Store, Dept, Date, """ + ", ".join(
+    f"ROUND(({c} - (SELECT AVG({c}) FROM fact WHERE Date < DATE '2000-01-01')) / (SELECT STDDEV_POP({c}) FROM fact WHERE Date < DATE '2000-01-01'), 6) AS {c}" for c in FACTORS) + """
+FROM fact WHERE Date >= DATE '2001-01-01'""")
+def reloaded_scaler(t):
+    """The scaler of the training weeks, written, read back and applied to the test weeks."""
+    path = f"{_folder(t)}/scaler"
+    fact = features.label_split(t.fact, TRAIN_END, VAL_END)
+    sinks.write_table(features.fit_scaler(fact.where("split = 'train'"), FACTORS), path)
+    test = fact.where("split = 'test'").select("Store", "Dept", "Date", *FACTORS)
+    return round_columns(features.apply_scaler(test, readers.read_parquet(t.spark, path), FACTORS), 6, *FACTORS)
