@@ -38,17 +38,29 @@ def bool_to_int(df: DataFrame, cols: Sequence[str] = (HOLIDAY,)) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("int") for c in cols})
 
 
+#: Labels drawn to cut the alphabet, and slices it is cut into, about.
+LABELS_DRAWN, LABEL_SLICES = 4_000, 200
+
+
 def label_codes(df: DataFrame, col: str, out: str) -> DataFrame:
-    """The encoder as a table: each distinct label with its place in alphabetical order, from 0. NULL has no code."""
-    labels = df.select(F.col(col).cast("string").alias(col)).where(F.col(col).isNotNull()).distinct()
-    # Places in the whole order: the labels before a label's first character, and its place among those that share it.
-    head = F.substring(col, 1, 1)
-    before = Window.orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)
-    heads = labels.groupBy(head.alias("_head")).agg(F.count(F.lit(1)).alias("_n"))
-    heads = heads.select("_head", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    ranked = labels.withColumn("_head", head)
-    ranked = ranked.withColumn("_place", F.row_number().over(Window.partitionBy("_head").orderBy(col)) - 1)
-    return ranked.join(heads, "_head").select(col, (F.col("_before") + F.col("_place")).cast("int").alias(out))
+    """The encoder as a table: each distinct label with its place in alphabetical order, from 0. NULL has no code.
+
+    The order is cut into slices of about equal numbers of labels, at labels drawn by the order of a hash, so no task orders
+    more than its slice, whatever characters the labels share; a label's code is its place there and the labels of the slices before.
+    """
+    labels = df.select(F.col(col).cast("string").alias("_label")).where(F.col("_label").isNotNull()).distinct()
+    drawn = labels.orderBy(F.xxhash64("_label"), "_label").limit(LABELS_DRAWN)
+    cuts = drawn.agg(F.sort_array(F.collect_list("_label")).alias("_all"))
+    step = F.greatest(F.lit(1), F.floor(F.size("_all") / LABEL_SLICES).cast("int"))
+    cuts = cuts.select(F.filter("_all", lambda x, i: i % step == 0).alias("_cuts"))
+    own = F.size(F.filter("_cuts", lambda c: c <= F.col("_label")))
+    sliced = attach_scalars(labels, cuts).select("_label", own.alias("_slice"))
+    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_slice").orderBy("_label")) - 1
+    ranked = sliced.withColumn("_place", place).join(F.broadcast(sizes), "_slice")  # a row per slice
+    return ranked.select(F.col("_label").alias(col), (F.col("_before") + F.col("_place")).cast("int").alias(out))
 
 
 def label_encode(df: DataFrame, col: str, out: str, codes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

@@ -102,6 +102,17 @@ def join_by_row_id(left: DataFrame, right: DataFrame, row_id: str = "row_id") ->
     return left.join(right, row_id)
 
 
+def side_by_side(left: DataFrame, right: DataFrame, row_id: str = "row_id") -> DataFrame:
+    """Two numbered tables (``sources.readers.read_numbered``) put beside each other by position.
+
+    The longer one keeps all its rows; columns of the shorter one are NULL there. Column names must differ.
+    """
+    twice = (set(left.columns) & set(right.columns)) - {row_id}
+    if twice:
+        raise ValueError(f"both tables have {sorted(twice)}")
+    return left.join(right, row_id, "full")
+
+
 def stack(frames: Sequence[DataFrame]) -> DataFrame:
     """Union by column name; columns a part lacks are NULL there."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -52,8 +52,11 @@ class Warehouse:
     spark: SparkSession
     base: str
 
+    def path(self, name: str) -> str:
+        return f"{self.base}/{name}.parquet"
+
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.base}/{name}.parquet")
+        return self.spark.read.parquet(self.path(name))
 
     def _lines(self, amount: Column, date_from: str | None, date_to: str | None, depts: Sequence[int] | None) -> DataFrame:
         """Lines with their week, store and department. Bounds on weeks and departments become bounds on the stored

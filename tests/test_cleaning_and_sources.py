@@ -162,6 +162,41 @@ def test_labels_get_their_alphabetical_place(spark):
     assert {r.label: r.code for r in cleaning.label_encode(later, "label", "code", codes)[0].collect()} == {"a": order.index("a"), "new": len(order)}
 
 
+def test_label_codes_of_many_labels_that_share_their_beginning(spark):
+    """All labels begin alike; they are still ordered in many slices, none of which holds much of the whole."""
+    n = 30_000
+    df = spark.range(n).select(F.format_string("same/%05d", (F.col("id") * 7919) % n).alias("label")).union(spark.sql("SELECT cast(null as string)"))
+    codes = cleaning.label_codes(df, "label", "code")
+    wrong = codes.where(F.col("code") != F.substring("label", 6, 5).cast("int"))
+    assert codes.count() == n and wrong.count() == 0
+    plan = codes._jdf.queryExecution().optimizedPlan().toString()
+    assert "_slice" in plan and "substring" not in plan
+    assert cleaning.label_codes(df.limit(0), "label", "code").count() == 0
+
+
+def test_rows_are_numbered_by_position(spark, tmp_path):
+    """Several files, several tasks a file, repeated rows; numbers are consecutive in the order of files and rows."""
+    path = str(tmp_path / "rows")
+    spark.range(10_000).select((F.col("id") % 3).alias("a"), F.col("id").alias("place")).coalesce(1).write.option("maxRecordsPerFile", 1_700).parquet(path)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        rows = readers.read_numbered(spark, path, "n")
+        assert rows.columns == ["n", "a", "place"] and rows.where("n <> place").count() == 0 and rows.count() == 10_000
+        assert len(spark.read.parquet(path).inputFiles()) == 6 and rows.rdd.getNumPartitions() > 6
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "Sort" not in plan.split("Window")[0]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    with pytest.raises(ValueError, match="place"):
+        readers.read_numbered(spark, path, "place")
+    short = readers.read_numbered(spark, path, "n").where("n < 4").select("n", F.col("a").alias("b"))
+    both = combine.side_by_side(rows.where("n < 6").drop("place"), short, "n").orderBy("n").collect()
+    assert [(r.n, r.a, r.b) for r in both] == [(0, 0, 0), (1, 1, 1), (2, 2, 2), (3, 0, 0), (4, 1, None), (5, 2, None)]
+    with pytest.raises(ValueError, match="both tables"):
+        combine.side_by_side(rows, rows, "n")
+
+
 def test_profile_counts_distinct_values_exactly(spark):
     df = spark.createDataFrame([(1, None, 1.0), (2, "x", 2.0), (2, "y", 3.0)], "a int, b string, v double")
     got = {(r.metric, r.column): r.value for r in aggregates.profile_table(df, ["v"], date=None).collect()}

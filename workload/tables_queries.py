@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfcast.functions import calendar as cal
 from shelfcast.functions import scalars
 from shelfcast.names import FACTORS, MARKDOWNS
 from shelfcast.operators import baselines, cleaning, combine, features
-from shelfcast.session import cut_lineage
+from shelfcast.sources import readers
 from shelfcast.sources.search_interest import outer_join_terms
 from shelfcast.sources.warehouse import TERMS
 from workload.registry import query, round_columns, rounded
@@ -291,13 +290,19 @@ def jn9_anti_by_keys(t):
 
 @query("JN12", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount FROM lineitem")
 def joined_by_row_id(t):
-    """Two column sets of the lines put side by side. Lines that repeat all four ids are numbered, so none is lost."""
-    ids = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    nth = F.row_number().over(Window.partitionBy(*ids).orderBy("l_quantity", "l_discount"))
-    lines = t.raw.table("lineitem").select(*ids, "l_quantity", "l_discount", nth.alias("nth"))
-    lines = cut_lineage(lines.select(F.struct(*ids, "nth").alias("row_id"), "l_quantity", "l_discount"))
-    joined = combine.join_by_row_id(lines.select("row_id", "l_quantity"), lines.select("row_id", "l_discount"))
-    return joined.select("row_id.*", "l_quantity", "l_discount").drop("nth")
+    """Two column sets of the lines put side by side by the position of the line in its table."""
+    lines = readers.read_numbered(t.spark, t.raw.path("lineitem"))
+    joined = combine.join_by_row_id(lines.select("row_id", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"), lines.select("row_id", "l_discount"))
+    return joined.drop("row_id")
+
+
+@query("JN12", """SELECT CAST(COALESCE(p.n, o.n) - 1 AS BIGINT) AS row_id, p_partkey, p_type, o_orderkey, o_totalprice
+    FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY p_partkey) AS n FROM part) p FULL JOIN (SELECT *, ROW_NUMBER() OVER (ORDER BY o_orderkey) AS n FROM orders) o ON p.n = o.n""")
+def tables_side_by_side(t):
+    """Parts and orders, both stored in the order of their keys, beside each other by position; there are more orders."""
+    parts = readers.read_numbered(t.spark, t.raw.path("part")).select("row_id", "p_partkey", "p_type")
+    orders = readers.read_numbered(t.spark, t.raw.path("orders")).select("row_id", "o_orderkey", "o_totalprice")
+    return combine.side_by_side(parts, orders)
 
 
 @query("SET1", """SELECT Store, Dept, Date, Weekly_Sales, NULL::DOUBLE AS Temperature FROM sales
