@@ -1,4 +1,4 @@
-"""Models fitted to each series on its own: ARIMA, its seasonal form, and trend with yearly seasonality.
+"""Models fitted to each series on its own: ARIMA (``arima_likelihood``), its seasonal form, and trend with yearly seasonality.
 
 Spark groups the weeks of a series into one Arrow batch (a few hundred rows: one per week of the
 calendar) and spreads the series over the cluster; NumPy only does the arithmetic of one fit.
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.names import DATE, HOLIDAY, KEYS, TARGET
+from shelfcast.operators.arima_likelihood import arima_fits, likelihood_forecast
 
 # The functions travel with the task, so executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -61,7 +62,10 @@ def enough_for_arima(weeks: int, season: int = 0, least: int = ARIMA_WEEKS, beyo
 
 
 def forecast_arima(y: np.ndarray, steps: int, season: int = 0) -> np.ndarray:
-    """ARIMA(1,1,1), or (1,1,1)(1,1,1,season): difference, fit, extend, sum back up. NaN if the history is too short."""
+    """(1,1,1)(1,1,1,season) by least conditional squares: difference, fit, extend, sum back up. NaN if the history is too short.
+
+    Without a season this is ARIMA(1,1,1) by the same criterion.
+    """
     if not enough_for_arima(len(y), season):
         return np.full(steps, np.nan)
     seasonal = y[season:] - y[:-season] if season else y
@@ -155,10 +159,8 @@ def _per_series(
 def arima_forecast(
     split_df: DataFrame, keys: Sequence[str] = KEYS, target: str = TARGET, fit_on: Sequence[str] = ("train",)
 ) -> DataFrame:
-    def method(train, test):
-        return forecast_arima(train[target].to_numpy("float64"), len(test))
-
-    return _per_series(split_df, "ARIMA", method, keys, target, fit_on)
+    """ARIMA(1,1,1) by exact likelihood; ``arima_likelihood`` also gives standard errors."""
+    return likelihood_forecast(arima_fits(split_df, keys, target, fit_on, ARIMA_WEEKS), keys).drop("Std_Error")
 
 
 def seasonal_arima_forecast(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfcast.names import FACTORS
-from shelfcast.operators import baselines, binned_trees, combine, evaluate, explain, features, learners, series_fit, series_trees, uplift
+from shelfcast.operators import arima_likelihood, baselines, binned_trees, combine, evaluate, explain, features, learners, series_fit, series_trees, uplift
 from shelfcast.session import cut_lineage
 from shelfcast.sources.warehouse import TRAIN_END, VAL_END
 from workload.registry import once, query, rounded
@@ -360,6 +360,46 @@ def series_fit_status(t):
     return series_fit.fit_status(combine.stack([f(parts) for f in (series_fit.arima_forecast, series_fit.seasonal_arima_forecast, series_fit.trend_season_forecast)]))
 
 
+_CHANGES = f"""{_GATED}, steps AS (SELECT Store, Dept, Date, Weekly_Sales AS y, Weekly_Sales - LAG(Weekly_Sales) OVER s AS w, ROW_NUMBER() OVER s AS i
+  FROM gated WHERE split = 'train' WINDOW s AS (PARTITION BY Store, Dept ORDER BY Date)),
+pairs AS (SELECT *, LAG(w) OVER (PARTITION BY Store, Dept ORDER BY Date) AS before FROM steps)"""
+
+
+@query("MDL8 UDF4", f"""WITH {_CHANGES}, fixed AS (SELECT Store, Dept, COUNT(w) AS n, (0.75::DOUBLE * MAX(CASE WHEN i = 2 THEN w * w END) + SUM((w - 0.5::DOUBLE * before) ** 2)) / COUNT(w) AS v,
+  ARG_MAX(w, Date) AS last, ARG_MAX(y, Date) AS level FROM pairs GROUP BY ALL),
+ahead AS (SELECT Store, Dept, Date, ROW_NUMBER() OVER (PARTITION BY Store, Dept ORDER BY Date) AS h FROM gated WHERE split = 'test'),
+spread AS (SELECT a.h, SUM((2 - POW(0.5::DOUBLE, b.h - 1)) ** 2) AS s FROM (SELECT DISTINCT h FROM ahead) a JOIN (SELECT DISTINCT h FROM ahead) b ON b.h <= a.h GROUP BY ALL)
+SELECT Store, Dept, Date, ROUND(v, 2) AS Variance, ROUND(-0.5::DOUBLE * (n * (LN(2 * PI() * v) + 1) - LN(0.75::DOUBLE)), 4) AS Log_Likelihood,
+  ROUND(level + last * (1 - POW(0.5::DOUBLE, h)), 2) AS Predicted, ROUND(SQRT(v * s), 2) AS Std_Error FROM fixed JOIN ahead USING (Store, Dept) JOIN spread USING (h)""")
+def arima_at_fixed_coefficients(t):
+    """The recursion at coefficients whose likelihood, forecasts and standard errors have a closed form."""
+    fits = arima_likelihood.arima_fits(t.gated, at=(0.5, 0.0))
+    weeks = fits.select("Store", "Dept", "Variance", "Log_Likelihood", F.inline(F.arrays_zip("Dates", "Predicted", "Std_Error")))
+    return rounded(weeks.withColumnRenamed("Dates", "Date"), Variance=2, Log_Likelihood=4, Predicted=2, Std_Error=2)
+
+
+@query("MDL8 UDF4", f"""WITH {_CHANGES}
+SELECT Store, Dept, COUNT(*) AS Weeks, ROUND(-0.5::DOUBLE * COUNT(w) * (LN(2 * PI() * SUM(w * w) / COUNT(w)) + 1), 4) AS Plain_Likelihood, TRUE AS Not_Worse, TRUE AS Inside, TRUE AS Covers_Shock
+FROM steps GROUP BY ALL""")
+def arima_likelihood_gain(t):
+    """The fit is at least as likely as a random walk; no week is known better than up to its own shock.
+
+    Errors need not grow from week to week: with a moving average near -1 the level returns, and they level off.
+    """
+    plain = arima_likelihood.arima_fits(t.gated, at=(0.0, 0.0)).select("Store", "Dept", F.col("Log_Likelihood").alias("Plain_Likelihood"))
+    covers = F.forall("Std_Error", lambda e: e >= F.sqrt("Variance") * (1 - 1e-9))
+    fits = arima_likelihood.arima_fits(t.gated).select(
+        "Store", "Dept", F.col("Weeks").cast("bigint").alias("Weeks"), "Log_Likelihood", ((F.abs("AR") < 1) & (F.abs("MA") < 1)).alias("Inside"), covers.alias("Covers_Shock"))
+    both = fits.join(plain, ["Store", "Dept"]).withColumn("Not_Worse", F.col("Log_Likelihood") >= F.col("Plain_Likelihood") - 1e-6)
+    return rounded(both.drop("Log_Likelihood"), Plain_Likelihood=4)
+
+
+@query("MDL8 UDF4")
+def arima_intervals(t):
+    """Forecasts of each test week with their standard errors."""
+    return arima_likelihood.likelihood_forecast(arima_likelihood.arima_fits(t.gated))
+
+
 @query("MDL12", f"""WITH {_GATED}
 SELECT DISTINCT Store, Dept, h AS IsHoliday, TRUE AS Scored FROM gated, (VALUES (0), (1)) v(h)""")
 def scenario_coverage(t):
