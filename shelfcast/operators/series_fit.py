@@ -1,4 +1,5 @@
-"""Models fitted to each series on its own: ARIMA (``arima_likelihood``), its seasonal form, and trend with yearly seasonality.
+"""Models fitted to each series on its own: ARIMA (``arima_likelihood``), its seasonal form, and trend with yearly
+seasonality (``trend_holidays``).
 
 Spark groups the weeks of a series into one Arrow batch (a few hundred rows: one per week of the
 calendar) and spreads the series over the cluster; NumPy only does the arithmetic of one fit.
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.names import DATE, HOLIDAY, KEYS, TARGET
 from shelfcast.operators.arima_likelihood import arima_fits, likelihood_forecast
+from shelfcast.operators.trend_holidays import trend_fits, trend_forecast
 
 # The functions travel with the task, so executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -102,7 +104,7 @@ def forecast_trend_season(
     days: np.ndarray, y: np.ndarray, holiday: np.ndarray, future_days: np.ndarray, future_holiday: np.ndarray, waves: int = 10,
     least: int = TREND_WEEKS, floor_share: float = 1e-3, cap_factor: float | None = None,
 ) -> np.ndarray:
-    """Trend, yearly waves and a holiday effect, multiplied: ridge least squares on the log of sales.
+    """Straight trend, yearly waves and one holiday effect, multiplied: ridge least squares on the log of sales.
 
     A logarithm needs positive sales: weeks below ``floor_share`` of the mean level count as that much. ``cap_factor``
     limits forecasts to that multiple of the largest week; without it they are as the model has them. NaN if there are
@@ -181,12 +183,8 @@ def seasonal_arima_forecast(
 def trend_season_forecast(
     split_df: DataFrame, keys: Sequence[str] = KEYS, target: str = TARGET, fit_on: Sequence[str] = ("train",)
 ) -> DataFrame:
-    def method(train, test):
-        days = lambda part: pd.to_datetime(part[DATE]).to_numpy("datetime64[D]").astype("float64")
-        flag = lambda part: part[HOLIDAY].fillna(0.0).to_numpy("float64")
-        return forecast_trend_season(days(train), train[target].to_numpy("float64"), flag(train), days(test), flag(test))
-
-    return _per_series(split_df, "Prophet", method, keys, target, fit_on)
+    """Changing trend, waves of the year and holidays by name; ``trend_holidays`` also gives what was fitted."""
+    return trend_forecast(trend_fits(split_df, keys, target, fit_on, TREND_WEEKS), keys)
 
 
 def fit_status(forecasts: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shelfcast.functions import holidays
 from shelfcast.names import FACTORS
-from shelfcast.operators import arima_likelihood, baselines, binned_trees, combine, evaluate, explain, features, learners, series_fit, series_trees, uplift
+from shelfcast.operators import arima_likelihood, baselines, binned_trees, combine, evaluate, explain, features, learners, series_fit, series_trees, trend_holidays, uplift
 from shelfcast.session import cut_lineage
 from shelfcast.sources.warehouse import TRAIN_END, VAL_END
 from workload.registry import once, query, rounded
@@ -400,6 +401,46 @@ def arima_intervals(t):
     return arima_likelihood.likelihood_forecast(arima_likelihood.arima_fits(t.gated))
 
 
+_HOLIDAYS = """years AS (SELECT y, make_date(y, m, 1) AS first, m, n, wd, Holiday FROM range(1990, 2030) r(y), (VALUES
+    (1, 3, 1, 'Martin Luther King Jr. Day'), (2, 3, 1, 'Washington''s Birthday'), (5, -1, 1, 'Memorial Day'), (9, 1, 1, 'Labor Day'), (10, 2, 1, 'Columbus Day'), (11, 4, 4, 'Thanksgiving')) h(m, n, wd, Holiday)),
+named AS (SELECT Holiday, CAST(CASE WHEN n > 0 THEN first + CAST((wd - isodow(first) + 7) % 7 + 7 * (n - 1) AS INTEGER)
+      ELSE last_day(first) - CAST((isodow(last_day(first)) - wd + 7) % 7 AS INTEGER) END AS DATE) AS Day FROM years
+  UNION ALL SELECT Holiday, make_date(y, m, d) FROM range(1990, 2030) r(y), (VALUES (1, 1, 'New Year''s Day'), (6, 19, 'Juneteenth'), (7, 4, 'Independence Day'), (11, 11, 'Veterans Day'), (12, 25, 'Christmas Day')) h(m, d, Holiday)
+  WHERE Holiday <> 'Juneteenth' OR y >= 2021)"""
+
+
+@query("MDL10 DT8", f"""WITH {_HOLIDAYS}, weeks AS (SELECT DISTINCT Date FROM sales)
+SELECT Date, Holiday, Day FROM weeks JOIN named ON Day BETWEEN Date AND CAST(Date + 6 AS DATE)""")
+def named_holiday_weeks(t):
+    return holidays.holidays_of_weeks(t.sales)
+
+
+def _trend_fits(t):
+    return once(t, "trend fits", lambda: cut_lineage(trend_holidays.trend_fits(t.gated)))
+
+
+@query("MDL10 UDF4")
+def trend_changes(t):
+    """Slope of each series' trend and its change at every possible day, mostly 0; per year, on the log of sales."""
+    fits = _trend_fits(t).select("Store", "Dept", "Slope", F.inline(F.arrays_zip("Change_Days", "Changes")))
+    return fits.withColumnsRenamed({"Change_Days": "Date", "Changes": "Change"})
+
+
+@query("MDL10 UDF4")
+def holiday_effects_by_name(t):
+    return _trend_fits(t).select("Store", "Dept", F.explode("Effects").alias("Holiday", "Effect"))
+
+
+@query("MDL10", f"""WITH {_GATED}, {_HOLIDAYS}, train AS (SELECT * FROM gated WHERE split = 'train'),
+seen AS (SELECT Store, Dept, COUNT(DISTINCT Holiday) AS h FROM train JOIN named ON Day BETWEEN Date AND CAST(Date + 6 AS DATE) GROUP BY ALL)
+SELECT t.Store, t.Dept, CAST(COUNT(*) AS INTEGER) AS Weeks, CAST(LEAST(25, FLOOR(COUNT(*) * 0.8) - 1) AS INTEGER) AS Possible_Changes, CAST(COALESCE(MAX(h), 0) AS INTEGER) AS Holidays, TRUE AS At_Optimum
+FROM train t LEFT JOIN seen s ON t.Store = s.Store AND t.Dept = s.Dept GROUP BY ALL""")
+def trend_fit_quality(t):
+    """Each series has an effect for every holiday in its history, and its changes of slope are those of the optimum."""
+    return _trend_fits(t).select(
+        "Store", "Dept", "Weeks", F.size("Change_Days").alias("Possible_Changes"), F.size("Effects").alias("Holidays"), (F.col("Gap") < 1e-3).alias("At_Optimum"))
+
+
 @query("MDL12", f"""WITH {_GATED}
 SELECT DISTINCT Store, Dept, h AS IsHoliday, TRUE AS Scored FROM gated, (VALUES (0), (1)) v(h)""")
 def scenario_coverage(t):
