@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from shelfcast import schemas
 from shelfcast.operators import aggregates, cleaning, combine, features
 from shelfcast.plans.prepare import prepare_fact
-from shelfcast.sources import readers, sinks
+from shelfcast.sources import memo, readers, sinks
 from shelfcast.sources.warehouse import first_monday
 
 
@@ -225,3 +225,26 @@ def test_checkpoints_need_a_shared_folder_on_a_cluster(spark):
         else:
             with pytest.raises(ValueError, match="spark.checkpoint.dir"):
                 ensure_checkpoint_dir(fake)
+
+
+def test_a_changed_file_gives_a_new_result(spark, tmp_path):
+    source, folder, made = str(tmp_path / "in"), str(tmp_path / "memo"), []
+
+    def ask(parameters=()):
+        def make():
+            made.append(1)
+            return spark.read.parquet(source).groupBy().sum("id")
+
+        return memo.remembered(spark, folder, "total", [source], make, parameters).first()[0]
+
+    spark.range(10).write.parquet(source)
+    assert (ask(), ask(), len(made)) == (45, 45, 1)
+    assert (ask({"k": 2}), len(made)) == (45, 2)
+    spark.range(10, 12).write.mode("append").parquet(source)
+    assert (ask(), ask(), len(made)) == (66, 66, 3)
+    spark.range(3).write.mode("overwrite").parquet(source)
+    assert (ask(), len(made)) == (3, 4)
+    there, absent = memo.content_key(spark, [source]), memo.content_key(spark, [source, str(tmp_path / "no")])
+    assert there != absent == memo.content_key(spark, [source, str(tmp_path / "no")])
+    os.remove(next(p for p in (tmp_path / "memo").glob(f"total-{memo.content_key(spark, [source])}/_SUCCESS")))  # as if the write had died
+    assert (ask(), len(made)) == (3, 5)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.operators import baselines, evaluate, features, inventory, outliers, profile
+from shelfcast.sources.memo import content_key
 from shelfcast.sources.search_interest import pivot_terms
 from shelfcast.sources.warehouse import TERMS, TRAIN_END, VAL_END, Warehouse
 
@@ -21,6 +22,11 @@ class Tables:
         self.spark = spark
         self.raw = Warehouse(spark, base)
 
+    @cached_property
+    def content(self) -> str:
+        """A key of the folder's files as they are now."""
+        return content_key(self.spark, [self.raw.base])
+
     @cached_property
     def sales(self) -> DataFrame:
         return self.raw.sales()
@@ -86,15 +92,15 @@ class Tables:
         return inventory.inventory_impact(self.results, self.sales, self.profile)
 
 
-_ONCE: dict[tuple[str, str, str], object] = {}
+_ONCE: dict[tuple[str, str, str, str], object] = {}
 
 
 def once(t: Tables, name: str, make: Callable[[], object]):
     """What several queries over one folder share (a written training table, a fitted model), made by the first of them.
 
-    Kept for the life of the Spark application; the tables of a folder must not change meanwhile.
+    Kept for the life of the Spark application, and made again when a file of the folder changed.
     """
-    key = (t.spark.sparkContext.applicationId, t.raw.base, name)
+    key = (t.spark.sparkContext.applicationId, t.raw.base, t.content, name)
     if key not in _ONCE:
         _ONCE[key] = make()
     return _ONCE[key]

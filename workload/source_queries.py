@@ -10,7 +10,7 @@ from shelfcast import schemas
 from shelfcast.names import FACTORS
 from shelfcast.operators import cleaning, combine, features, learners, stored_trees
 from shelfcast.session import ensure_checkpoint_dir
-from shelfcast.sources import readers, sinks
+from shelfcast.sources import memo, readers, sinks
 from shelfcast.sources.warehouse import TRAIN_END, VAL_END
 from workload.model_queries import _GATED, SIZES, global_boosting, study_parts
 from workload.registry import once, query, round_columns, rounded
@@ -189,3 +189,18 @@ def reloaded_scaler(t):
     sinks.write_table(features.fit_scaler(fact.where("split = 'train'"), FACTORS), path)
     test = fact.where("split = 'test'").select("Store", "Dept", "Date", *FACTORS)
     return round_columns(features.apply_scaler(test, readers.read_parquet(t.spark, path), FACTORS), 6, *FACTORS)
+
+
+@query("CACHE1", "SELECT Store, Dept, ROUND(AVG(Weekly_Sales), 4) AS Mean, 1 AS Made FROM sales GROUP BY ALL")
+def remembered_means(t):
+    """A table asked for twice is made once; the second time it is read from where the first one wrote it."""
+    folder, made = _folder(t), []
+
+    def make():
+        made.append(1)
+        return rounded(t.sales.groupBy("Store", "Dept").agg(F.avg("Weekly_Sales").alias("Mean")), Mean=4)
+
+    inputs = [t.raw.path(name) for name in ("lineitem", "part", "supplier")]
+    for _ in range(2):
+        found = memo.remembered(t.spark, folder, "means", inputs, make, {"digits": 4})
+    return found.withColumn("Made", F.lit(len(made)))
