@@ -186,3 +186,29 @@ def test_functions_ship_to_workers_without_the_package(tmp_path):
         "assert 'shelfcast' not in sys.modules\n"
     )
     subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path, env={"PATH": "/usr/bin"}, timeout=100)
+
+
+def test_new_series_fits_ship_to_workers_without_the_package(tmp_path):
+    """The batch functions of the likelihood, the trend and the stored trees run where the library cannot be imported."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from shelfcast.operators import arima_likelihood, stored_trees, trend_holidays
+
+    (tmp_path / "made").write_bytes(cloudpickle.dumps((arima_likelihood.fit, trend_holidays.fit, stored_trees.score_trees, stored_trees.boost, learners.Boosting(3, 2, 0.3))))
+    code = (
+        "import sys, pickle; sys.path = [p for p in sys.path if 'repo' not in p and p != '']\n"
+        "import numpy as np\n"
+        f"arima, trend, score, boost, settings = pickle.loads(open({str(tmp_path / 'made')!r}, 'rb').read())\n"
+        "x = np.random.default_rng(0).normal(size=(40, 2))\n"
+        "assert np.abs(arima(x.T.copy(), np.array([40, 40]))[0]).max() < 1\n"
+        "assert trend([x], [np.abs(x)], [x[:, 0]], np.ones(2))[3][0] < 1e-3\n"
+        "grown = []\n"
+        "out = boost(x, x[:, 0], settings, None, [x], grown)[0][0]\n"
+        "flat = [np.concatenate([t[k] for t in grown]) for k in range(4)]\n"
+        "assert (score(x, x[:, 0].mean(), np.array([len(t[0]) for t in grown]), *flat) == out).all()\n"
+        "assert 'shelfcast' not in sys.modules\n"
+    )
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path, env={"PATH": "/usr/bin"}, timeout=100)
