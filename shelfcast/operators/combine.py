@@ -36,7 +36,7 @@ def join_trends(sales: DataFrame, weekly_trends: DataFrame) -> DataFrame:
     return sales.withColumn("_sunday", week_sunday(DATE)).join(trends, "_sunday", "left").drop("_sunday")
 
 
-def side_by_side(
+def measures_side_by_side(
     left: DataFrame, right: DataFrame, measures: Sequence[str], suffixes: tuple[str, str], keys: Sequence[str] = KEYS
 ) -> DataFrame:
     """Inner join of two tables that carry the same measures, told apart by suffix."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.functions.scalars import clip
 from shelfcast.names import KEYS, TARGET
-from shelfcast.operators.combine import drop_listed, keep_listed, side_by_side
+from shelfcast.operators.combine import drop_listed, keep_listed, measures_side_by_side
 from shelfcast.operators.evaluate import best_models
 
 WEEKS_PER_YEAR = 52
@@ -84,7 +84,7 @@ def improvement_potential(
     """Yearly error of the naive forecast minus that of the best model, per series."""
     naive = results.where(F.col("Model") == "Naive").select(*keys, "MAPE")
     best = best_models(results, keys).select(*keys, "MAPE")
-    both = side_by_side(naive, best, ["MAPE"], ("_Naive", "_Best"), keys)
+    both = measures_side_by_side(naive, best, ["MAPE"], ("_Naive", "_Best"), keys)
     rows = _with_annual_sales(both, sales, keys, target)
     return (
         rows.withColumn("Current_Error", F.col("MAPE_Naive") / 100 * F.col("Annual_Sales"))

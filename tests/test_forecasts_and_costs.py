@@ -98,6 +98,19 @@ def test_impact_edges_and_empty_bins(spark):
     assert bins == {"Low": 1, "Medium": 3, "High": 1, "Very High": 0}  # CV 0 is in no bin
 
 
+def test_improvement_potential_by_hand(spark):
+    r = results(spark, [
+        (1, 1, "A", "Naive", 1.0, 10.0, 10.0), (1, 1, "A", "Ensemble", 1.0, 4.0, 10.0), (1, 2, "A", "Naive", 1.0, 5.0, 10.0),
+        (1, 2, "A", "Ensemble", 1.0, 6.0, 10.0), (1, 3, "A", "Ensemble", 1.0, 6.0, 10.0), (None, 4, "A", "Naive", 1.0, 6.0, 10.0),
+    ])
+    sales = spark.createDataFrame([(1, 1, 50.0), (1, 1, 150.0), (1, 2, 200.0), (1, 3, 100.0), (None, 4, 100.0)], "Store int, Dept int, Weekly_Sales double")
+    got = {x.Dept: x for x in inventory.improvement_potential(r, sales).collect()}
+    assert sorted(got) == [1, 2]  # no naive forecast in 3, no store in 4
+    assert (got[1].MAPE_Naive, got[1].MAPE_Best, got[2].MAPE_Naive, got[2].MAPE_Best) == (10.0, 4.0, 5.0, 5.0)
+    assert (got[1].Current_Error, got[1].Best_Error, got[1].Potential_Savings) == pytest.approx((520.0, 208.0, 312.0))
+    assert got[2].Potential_Savings == 0.0
+
+
 def test_next_week_forecast_labels(spark):
     scenarios = spark.createDataFrame([(1, 1, 100.0, True), (1, 2, 100.0, True), (1, 3, 100.0, False)], "Store int, Dept int, Base_Value double, Holiday_Next boolean")
     profile = spark.createDataFrame(
