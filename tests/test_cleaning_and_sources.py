@@ -197,6 +197,19 @@ def test_rows_are_numbered_by_position(spark, tmp_path):
         combine.side_by_side(rows, rows, "n")
 
 
+def test_counts_of_two_tables_stand_side_by_side(spark):
+    from types import SimpleNamespace
+
+    from workload.registry import QUERIES
+
+    schema = "Store int, Dept int, Weekly_Sales double"
+    gross = spark.createDataFrame([(1, 1, 5.0), (1, 1, 5.0), (1, 2, 1.0), (2, 1, 1.0), (None, 1, 1.0)], schema)
+    net = spark.createDataFrame([(1, 1, 5.0), (1, 1, -5.0), (1, 2, 0.0), (2, 1, -1.0), (None, 1, 1.0), (3, 3, 1.0)], schema)
+    both = QUERIES["side_by_side_counts"].build(SimpleNamespace(sales=gross, sales_net=net))
+    assert both.columns == ["Store", "Dept", "Weeks_Gross", "Weeks_Net"]
+    assert sorted(tuple(r) for r in both.collect()) == [(1, 1, 2, 1), (1, 2, 1, 1)]
+
+
 def test_profile_counts_distinct_values_exactly(spark):
     df = spark.createDataFrame([(1, None, 1.0), (2, "x", 2.0), (2, "y", 3.0)], "a int, b string, v double")
     got = {(r.metric, r.column): r.value for r in aggregates.profile_table(df, ["v"], date=None).collect()}

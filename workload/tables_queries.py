@@ -257,7 +257,7 @@ def seeded_sample(t):
     JOIN (SELECT Store, Dept, COUNT(*) AS n FROM sales_net WHERE Weekly_Sales >= 0 GROUP BY ALL) b USING (Store, Dept)""")
 def side_by_side_counts(t):
     count = lambda df: df.groupBy("Store", "Dept").agg(F.count(F.lit(1)).alias("Weeks"))
-    return combine.side_by_side(count(t.sales), count(cleaning.remove_negative(t.sales_net)), ["Weeks"], ("_Gross", "_Net"))
+    return combine.measures_side_by_side(count(t.sales), count(cleaning.remove_negative(t.sales_net)), ["Weeks"], ("_Gross", "_Net"))
 
 
 _HIGH = "(SELECT Store, Dept FROM levels WHERE Z_Score > 0.5)"
