@@ -12,6 +12,7 @@ import sys
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 
 from shelfcast.llm import arrays as A
@@ -19,7 +20,7 @@ from shelfcast.llm import arrays as A
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SPACE, LETTER, NUMBER, OTHER = range(4)
-#: Distinct pre-tokens that an encoder remembers; then it starts anew.
+#: Distinct pre-tokens that an encoder remembers; then it keeps those that came again, half as many at most.
 REMEMBERED = 600_000
 #: Code points of white space (fixed values).
 WHITE = (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -121,6 +122,18 @@ def _found(table: tuple[np.ndarray, np.ndarray], key: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == key, rows[at], -1)
 
 
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ascending distinct keys, a place of each, and which of them every key is. Only the distinct ones are sorted."""
+    coded = pa.array(key).dictionary_encode()
+    which, found = coded.indices.to_numpy(), coded.dictionary.to_numpy()
+    example = np.empty(len(found), np.int64)
+    example[which] = np.arange(len(key))
+    order = np.argsort(found)
+    rank = np.empty(len(found), np.int64)
+    rank[order] = np.arange(len(found))
+    return found[order], example[order], rank[which]
+
+
 class Distinct:
     """Remembers a row of numbers for every distinct pre-token it has seen, by its hash."""
 
@@ -132,12 +145,29 @@ class Distinct:
         # Sorted hashes with row numbers: a large table, and a small one for what came last.
         self.old = self.late = (np.zeros(0, A.U64), np.zeros(0, np.int32))
         self.flat, self.bounds = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.slices = np.zeros(0, np.int32)  # that asked for each row since the last trim
+
+    def trim(self) -> None:
+        """Keep the rows that more than one slice asked for since the last trim, the most asked for if they are many."""
+        most = REMEMBERED // 2
+        least = max(1, int(np.partition(self.slices, -most - 1)[-most - 1])) if len(self.slices) > most else 1
+        kept = np.flatnonzero(self.slices > least)
+        key, row = _merged(self.old, self.late)
+        number = np.full(len(self.slices), -1, np.int32)
+        number[kept] = np.arange(len(kept))
+        stays = number[row] >= 0
+        length = np.diff(self.bounds)[kept]
+        flat = self.flat[A.ranges(self.bounds[kept], length)]
+        self.forget()
+        self.old = key[stays], number[row[stays]]
+        self.flat, self.bounds = flat, np.concatenate([[0], np.cumsum(length)])
+        self.slices = np.zeros(len(kept), np.int32)
 
     def look_up(self, part: A.Slice, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The row number of every pre-token; new ones are encoded first."""
         if len(self.bounds) > REMEMBERED:
-            self.forget()
-        key, example, which = np.unique(A.byte_hashes(part.data, begin, end), return_index=True, return_inverse=True)
+            self.trim()
+        key, example, which = _distinct(A.byte_hashes(part.data, begin, end))
         number = _found(self.old, key)
         open_ = np.flatnonzero(number < 0)
         number[open_] = _found(self.late, key[open_])
@@ -151,7 +181,9 @@ class Distinct:
                 self.old, self.late = _merged(self.old, self.late), (self.late[0][:0], self.late[1][:0])
             self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
             self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(length)])
-        return number[which.reshape(-1)]
+            self.slices = np.concatenate([self.slices, np.zeros(len(new), np.int32)])
+        self.slices[number] += 1
+        return number[which]
 
 
 class Memory:

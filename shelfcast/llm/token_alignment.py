@@ -166,6 +166,9 @@ class Aligner(pretokens.Distinct):
         super().forget()
         self.digests: list[bytes] = []
 
+    def trim(self) -> None:
+        self.forget()  # the rows' digests are numbered like the rows
+
     def align(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         made = [self.some(chunks[at : at + ENCODED]) for at in range(0, len(chunks), ENCODED)]
         return np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made])

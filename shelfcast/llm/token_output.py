@@ -47,6 +47,8 @@ _BLOCKS = "part int, block int, start long, doc_ids binary, counts binary, check
 
 #: Words that are encoded as one text.
 JOINED = 500
+#: Stands for the blank in the strings of a byte-level vocabulary.
+BLANK = "Ġ"
 
 
 def _encoder(file: str, _: list[str]):
@@ -55,24 +57,40 @@ def _encoder(file: str, _: list[str]):
 
     tokenizer = Tokenizer.from_str(file)
 
-    def alone(words: list[str]) -> list[list[int]]:
-        return [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    opens = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True), bool)
+    opens[[i for token, i in tokenizer.get_vocab(with_added_tokens=False).items() if token[0] == BLANK]] = True
 
-    def joined(words: list[str]) -> list[list[int]]:
-        """Words that are a blank and letters stay apart in a text of nothing else, which the library encodes faster."""
-        out = []
+    def alone(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([x for i in ids for x in i], dtype=np.int64), np.array([len(i) for i in ids], dtype=np.int64)
+
+    def joined(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words that are a blank and letters stay apart in a text of nothing else, which the library encodes faster.
+
+        The blank is nowhere else in them, so each begins at an id whose string begins with it.
+        """
+        ids, length = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         parts = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
-        for part, e in zip(parts, tokenizer.encode_batch(["".join(p) for p in parts], add_special_tokens=False), strict=True):
-            ids, ends = e.ids, np.cumsum(np.bincount(e.word_ids, minlength=len(part))).tolist()
-            out += [ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if len(ends) == len(part) else alone(part)
-        return out
+        for part, e in zip(parts, tokenizer.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False), strict=True):
+            some = np.array(e.ids, dtype=np.int64)
+            first = np.flatnonzero(opens[some])
+            size = np.diff(first, append=len(some))
+            some, size = (some, size) if len(first) == len(part) and first[0] == 0 else alone(part)
+            ids.append(some)
+            length.append(size)
+        return np.concatenate(ids), np.concatenate(length)
 
     def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         texts = [w.decode() for w in words]
-        plain = [t[0] == " " and t[1:].isalpha() for t in texts]
-        fast, slow = iter(joined([t for t, p in zip(texts, plain, strict=True) if p])), iter(alone([t for t, p in zip(texts, plain, strict=True) if not p]))
-        ids = [next(fast if p else slow) for p in plain]
-        return np.array([x for i in ids for x in i], dtype=np.int64), np.array([len(i) for i in ids], dtype=np.int64)
+        plain = np.array([t[0] == " " and t[1:].isalpha() for t in texts], dtype=bool)
+        length, sides = np.zeros(len(words), np.int64), []
+        for which, how in ((plain, joined), (~plain, alone)):
+            some, length[which] = how([texts[i] for i in np.flatnonzero(which).tolist()])
+            sides.append((which, some))
+        start, ids = np.cumsum(length) - length, np.zeros(length.sum(), np.int64)
+        for which, some in sides:
+            ids[A.ranges(start[which], length[which])] = some
+        return ids, length
 
     return encode
 

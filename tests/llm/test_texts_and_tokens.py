@@ -50,6 +50,54 @@ def test_random_texts_count_as_in_the_library(library):
     assert got == [len(i) for i in encoded(library, texts)]
 
 
+def test_words_that_come_again_are_encoded_once(monkeypatch):
+    """Past the limit rare words are forgotten, those of several slices stay; what is handed out is always the word's own row."""
+    monkeypatch.setattr(pretokens, "REMEMBERED", 60)
+    encoded_words = []
+
+    def encode(words):
+        encoded_words.extend(words)
+        length = np.array([1 + len(w) % 3 for w in words])
+        return np.repeat([zlib.crc32(w) % 1000 for w in words], length), length
+
+    known = pretokens.Distinct(encode)
+    common = [f" common{'x' * i}" for i in range(20)]
+    for k in range(30):
+        words = common + [f" rare{k}w{'y' * i}" for i in range(15)] + common[:3]
+        part = next(A.text_slices(pa.array(["".join(words)])))
+        ends = np.cumsum([len(w) for w in words])
+        number = known.look_up(part, ends - [len(w) for w in words], ends)
+        for w, i in zip(words, number.tolist(), strict=True):
+            assert known.flat[known.bounds[i] : known.bounds[i + 1]].tolist() == [zlib.crc32(w.encode()) % 1000] * (1 + len(w) % 3)
+        assert len(known.bounds) <= 60 + 36
+    assert len(encoded_words) == 20 + 30 * 15
+
+
+def test_all_words_of_many_slices_leave_room_for_others(monkeypatch):
+    monkeypatch.setattr(pretokens, "REMEMBERED", 60)
+    known = pretokens.Distinct(lambda words: (np.array([int(w) for w in words]), np.ones(len(words), np.int64)))
+    for k in range(20):
+        words = [f"{i % 900 + 100}" for i in range(25 * (k // 3), 25 * (k // 3) + 50)]
+        part = next(A.text_slices(pa.array(["".join(words)])))
+        number = known.look_up(part, np.arange(50) * 3, np.arange(50) * 3 + 3)
+        assert known.flat[known.bounds[number]].tolist() == [int(w) for w in words]
+        assert len(known.bounds) <= 60 + 51
+
+
+def test_word_ids_are_those_of_the_library(library):
+    """Mixtures of words that are encoded in one text and others, letters unknown to either side's tables included."""
+    rnd = random.Random(5)
+    letters = [*"abzéß中ñ\u00aa\u1c89\ua7cb\u0345ΐ", "\U00010d4a", "\U0001e030", "한"]
+    words = [" " + "".join(rnd.choice(letters) for _ in range(rnd.randint(1, 9))) for _ in range(3000)] + [" ", " 7", "'s", " x7", "abc", "<|endoftext|>"]
+    rnd.shuffle(words)
+    with open(PATH, encoding="utf-8") as f:
+        encode = token_output._encoder(f.read(), [])
+    for some in (words, words[:1], [" 7"], [" abc"]):
+        ids, length = encode([w.encode() for w in some])
+        want = [library.encode(w, add_special_tokens=False).ids for w in some]
+        assert length.tolist() == [len(x) for x in want] and ids.tolist() == [x for w in want for x in w]
+
+
 def test_token_counts(spark, odd, library):
     got = {r["doc_id"]: r for r in token_counts.token_counts(odd, PATH, limit=5).collect()}
     for (i, text), ids in zip(ODD, encoded(library, [t for _, t in ODD]), strict=True):
