@@ -17,6 +17,7 @@ block of its own.
 
 from __future__ import annotations
 
+import json
 import os
 import sys
 import zlib
@@ -95,11 +96,17 @@ def _encoder(file: str, _: list[str]):
     return encode
 
 
-def tokenised(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text: str) -> DataFrame:
-    """Blocks of raw ids (32-bit, or 16-bit where the vocabulary allows) of documents in ascending order of id."""
-    spark = docs.sparkSession
-    with open(tokenizer, encoding="utf-8") as f:
-        memory = spark.sparkContext.broadcast(P.Memory(f.read()))
+def raw_kind(file: str, end_id: int) -> type[np.unsignedinteger]:
+    """The number type of raw ids: 16-bit where all ids of the tokenizer file's content, and the end id, allow it."""
+    made = json.loads(file)
+    top = max([end_id, *made["model"]["vocab"].values(), *(t["id"] for t in made["added_tokens"])])
+    return np.uint16 if top < 1 << 16 else np.uint32
+
+
+def tokenised(docs: DataFrame, file: str, end_id: int, id_col: str, text: str) -> DataFrame:
+    """Blocks of raw ids (of ``raw_kind``) of documents in ascending order of id. file: the tokenizer file's content."""
+    memory = docs.sparkSession.sparkContext.broadcast(P.Memory(file))
+    kind = raw_kind(file, end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.default_memory_pool().release_unused()  # what earlier tasks of this worker left behind
@@ -110,7 +117,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text: s
         def out() -> pa.RecordBatch:
             nonlocal block, start
             doc_ids, counts, ids = (np.concatenate(x) for x in zip(*held, strict=True))
-            row = (part_number, block, start, A.pack(doc_ids), A.pack(counts.astype(np.uint32)), A.pack(ids.astype(np.uint32)))
+            row = (part_number, block, start, A.pack(doc_ids), A.pack(counts.astype(np.uint32)), A.pack(ids))
             block, start = block + 1, start + len(ids)
             held.clear()
             return pa.RecordBatch.from_arrays(
@@ -128,7 +135,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text: s
                 n = part.last - part.first
                 count = np.bincount(of, length, minlength=n).astype(np.int64)
                 flat = known.flat[A.ranges(known.bounds[number], length)]
-                ids = np.full(len(flat) + n, end_id, np.uint32)
+                ids = np.full(len(flat) + n, end_id, kind)
                 ids[np.arange(len(flat)) + np.repeat(np.arange(n), count)] = flat
                 held.append((doc_ids[part.first : part.last], count + 1, ids))
                 size += len(ids)
@@ -143,14 +150,14 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text: s
     return rows.repartitionByRange("_id", "_mark").sortWithinPartitions("_id", "_mark").select("_id", "_text").mapInArrow(run, _RAW)
 
 
-def id_counts(raw: DataFrame) -> DataFrame:
+def id_counts(raw: DataFrame, kind: type[np.unsignedinteger]) -> DataFrame:
     """token, n over all blocks: summed in each task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
             for ids in batch.column("ids"):
-                more = np.bincount(np.frombuffer(ids.as_buffer(), np.uint32))
+                more = np.bincount(np.frombuffer(ids.as_buffer(), kind))
                 if len(more) > len(total):
                     total, more = more, total
                 total[: len(more)] += more
@@ -258,9 +265,12 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
     if not 0 < max_bits <= 24:
         raise ValueError("a table lookup reads at most 24 bits")
     spark = docs.sparkSession
-    raw, kept = tables.written_at(tokenised(docs, tokenizer, end_id, id_col, text))
+    with open(tokenizer, encoding="utf-8") as f:
+        file = f.read()
+    kind = raw_kind(file, end_id)
+    raw, kept = tables.written_at(tokenised(docs, file, end_id, id_col, text))
     with tables.small_batches(spark):
-        counts = id_counts(raw).orderBy("token").toPandas()  # at most one row per vocabulary entry
+        counts = id_counts(raw, kind).orderBy("token").toPandas()  # at most one row per vocabulary entry
     tokens = counts["token"].to_numpy(np.int64)
     bits = code_lengths(counts["n"].to_numpy(np.int64), max_bits)
     spark.createDataFrame([(int(t), int(b)) for t, b in zip(tokens, bits, strict=True)], "token long, bits int").coalesce(1).write.parquet(f"{path}/codes")
@@ -269,13 +279,13 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
     code_of, bits_of = np.zeros(size, np.int64), np.zeros(size, np.uint8)
     code_of[token], bits_of[token] = code, length
     # Ids of each range partition: as many numbers as partitions.
-    ids = raw.groupBy("part").agg(F.sum(F.octet_length("ids") / 4).cast("long").alias("n")).orderBy("part").collect()
+    ids = raw.groupBy("part").agg((F.sum(F.octet_length("ids")) / np.dtype(kind).itemsize).cast("long").alias("n")).orderBy("part").collect()
     first = dict(zip((r["part"] for r in ids), np.cumsum([0, *(r["n"] for r in ids)]).tolist(), strict=False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids = np.frombuffer(batch.column("ids")[i].as_buffer(), np.uint32)
+                ids = np.frombuffer(batch.column("ids")[i].as_buffer(), kind)
                 payload, marks = pack_bits(ids, code_of, bits_of)
                 start = batch.column("start")[i].as_py() + first[batch.column("part")[i].as_py()]
                 yield pa.RecordBatch.from_arrays(

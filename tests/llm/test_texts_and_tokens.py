@@ -156,6 +156,21 @@ def test_files_give_the_ids_back(spark, odd, library):
     assert token_output.read_ids(spark, path).count() == 0
 
 
+def test_end_ids_beyond_16_bits(spark, library):
+    """Raw ids take 32 bits where one does not fit into 16."""
+    rows = [(1, "some words"), (2, None), (3, "more")]
+    with open(PATH, encoding="utf-8") as f:
+        file = f.read()
+    for end_id, kind in ((0, np.uint16), (65_535, np.uint16), (65_536, np.uint32)):
+        assert token_output.raw_kind(file, end_id) is kind
+        path = fresh(spark)
+        token_output.write_ids(spark.createDataFrame(rows, "doc_id long, text string"), path, PATH, end_id=end_id)
+        got = token_output.read_ids(spark, path, with_ids=True).orderBy("start").collect()
+        want = [[*ids, end_id] for ids in encoded(library, [t for _, t in rows])]
+        assert [np.frombuffer(r["ids"], "<u4").tolist() for r in got] == want
+        assert [r["start"] for r in got] == [0, *np.cumsum([len(w) for w in want])[:-1].tolist()]
+
+
 def test_queries_against_the_library(spark, data_dir, texts, library):
     rows = sorted(texts)
     ids = encoded(library, [t for _, t in rows])
